@@ -12,7 +12,11 @@ from workload.frames import DAILY, K, SUPPLY, daily, rounded, supply
 from workload.registry import query
 
 W = "(PARTITION BY series_id ORDER BY ds)"
-DAY = tick("ds")
+
+
+def day():
+    return tick("ds")
+
 
 
 def lag_sql(columns, lag_list, name, shift=0):
@@ -32,32 +36,32 @@ BOTH = ("revenue", "n_orders")
 
 @query("lag_features", f"WITH {DAILY} SELECT *, {lag_sql(BOTH, range(1, 8), 'lag')} FROM daily")
 def lag_features(spark, sf):
-    return lags.add_blocks(daily(spark, sf), K, DAY, [lags.lag_block(BOTH, lags.LAGS)])
+    return lags.add_blocks(daily(spark, sf), K, day(), [lags.lag_block(BOTH, lags.LAGS)])
 
 
 @query("seasonal_lag_features", f"WITH {DAILY} SELECT *, {lag_sql(BOTH, range(1, 8), 'seaslag', 364)} FROM daily")
 def seasonal_lag_features(spark, sf):
-    return lags.add_blocks(daily(spark, sf), K, DAY, [lags.seasonal_lag_block(BOTH, lags.LAGS, 365)])
+    return lags.add_blocks(daily(spark, sf), K, day(), [lags.seasonal_lag_block(BOTH, lags.LAGS, 365)])
 
 
 @query("rolling_stats", f"""WITH {DAILY}
   SELECT *, {stats_sql('revenue', 'rolling', 7)}, {stats_sql('n_orders', 'rolling', 3)} FROM daily""")
 def rolling_stats(spark, sf):
-    return rounded(lags.add_blocks(daily(spark, sf), K, DAY, [
+    return rounded(lags.add_blocks(daily(spark, sf), K, day(), [
         lags.rolling_block(["revenue"], 7), lags.rolling_block(["n_orders"], 3)]))
 
 
 @query("rolling_seasonal_stats", f"""WITH {DAILY}
   SELECT *, {stats_sql('revenue', 'rolling_seasonal', 4, 366)} FROM daily""")
 def rolling_seasonal_stats(spark, sf):
-    return rounded(lags.add_blocks(daily(spark, sf), K, DAY, [
+    return rounded(lags.add_blocks(daily(spark, sf), K, day(), [
         lags.rolling_seasonal_block(["revenue"], 4, 365), lags.rolling_seasonal_block(["n_orders"], 4, 4)]))
 
 
 @query("rolling_weekday_stats", f"""WITH {DAILY}
   SELECT *, {stats_sql('revenue', 'weekday_rolling', 4, 1, 'series_id, isodow(ds)')} FROM daily""")
 def rolling_weekday_stats(spark, sf):
-    return rounded(lags.add_blocks(daily(spark, sf), K, DAY, [lags.rolling_weekday_block(["revenue"], 4)]))
+    return rounded(lags.add_blocks(daily(spark, sf), K, day(), [lags.rolling_weekday_block(["revenue"], 4)]))
 
 
 STAT_COLUMNS = ", ".join([
@@ -72,7 +76,7 @@ STAT_COLUMNS = ", ".join([
   SELECT *, {STAT_COLUMNS} FROM filled""")
 def stat_features_all(spark, sf):
     rows = daily(spark, sf).fillna(0.0)
-    return rounded(lags.add_statistical_features(rows, K, DAY, BOTH, season=28, non_seasonal=["n_orders"]))
+    return rounded(lags.add_statistical_features(rows, K, day(), BOTH, season=28, non_seasonal=["n_orders"]))
 
 
 WEEK_COLUMNS = ", ".join([
@@ -115,7 +119,7 @@ def sequence_windows(spark, sf):
   SELECT series_id, ds, y, round(d2 - lag(d2, 7) OVER {W}, 2) AS y_diff FROM b""")
 def differencing(spark, sf):
     rows = daily(spark, sf).select("series_id", "ds", F.coalesce("revenue", F.lit(0.0)).alias("y"))
-    return rounded(lags.difference(rows, K, DAY, "y", d=2, seasonal_d=1, season=7), {"y_diff": 2})
+    return rounded(lags.difference(rows, K, day(), "y", d=2, seasonal_d=1, season=7), {"y_diff": 2})
 
 
 # splits ---------------------------------------------------------------------------------------------
