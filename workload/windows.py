@@ -102,7 +102,7 @@ def weekly_features(spark, sf):
 @query("sequence_windows", f"""WITH {SUPPLY}, n AS (
   SELECT series_id, ds, qty AS label, list([qty, price]) OVER (
     PARTITION BY series_id ORDER BY ds ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS seq FROM supply)
-  SELECT series_id, ds, label, len(seq)::INT AS steps, array_to_string(list_transform(seq, r ->
+  SELECT series_id, ds, label, len(seq)::INT AS steps, array_to_string(list_transform(seq, lambda r:
          CAST(CAST(r[1] AS INT) AS VARCHAR) || ':' || CAST(CAST(round(r[2] * 100) AS BIGINT) AS VARCHAR)), ' ') AS seq
   FROM n WHERE len(seq) = 7""")
 def sequence_windows(spark, sf):
