@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,39 +120,51 @@ def solve(g: np.ndarray, cfg: LinearConfig) -> tuple[np.ndarray, np.ndarray, np.
 
 def fit(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str,
         configs: Sequence[LinearConfig]) -> DataFrame:
-    """One model per key and configuration from the train rows."""
+    """One model per key and configuration from the train rows.
+
+    A configuration that cannot be fitted leaves an empty model and says why; the others go on.
+    """
     width = len(features) + 2
     grams = gram(df.filter(F.col("split") == "train"), keys, [*features, y])
     doubles = T.ArrayType(T.DoubleType())
     schema = T.StructType([
         *key_fields(df, keys), T.StructField("cfg_id", T.IntegerType()), T.StructField("intercept", T.DoubleType()),
         T.StructField("coef", doubles), T.StructField("center", doubles), T.StructField("cov", doubles),
-        T.StructField("noise", T.DoubleType()), T.StructField("n_fit", T.LongType())])
+        T.StructField("noise", T.DoubleType()), T.StructField("n_fit", T.LongType()),
+        T.StructField("status", T.StringType())])
     names, grid = list(keys), list(configs)
+    d = len(features)
 
     def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             g = unpack(pdf["m"], width)
             for cfg in grid:
-                w, b, mx, cov, noise = solve(g, cfg)
+                status = "ok"
+                try:
+                    w, b, mx, cov, noise = solve(g, cfg)
+                except (ValueError, np.linalg.LinAlgError) as error:
+                    status, bad = f"failed: {error}", np.full((len(g), d), np.nan)
+                    w, b, mx, cov, noise = bad, bad[:, 0], bad, np.full((len(g), d, d), np.nan), bad[:, 0]
                 out = pdf[names].copy()
                 out["cfg_id"], out["intercept"], out["coef"], out["center"] = cfg.cfg_id, b, list(w), list(mx)
                 out["cov"] = list(cov.reshape(len(cov), -1))
-                out["noise"], out["n_fit"] = noise, g[:, 0, 0].astype("int64")
+                out["noise"], out["n_fit"], out["status"] = noise, g[:, 0, 0].astype("int64"), status
                 yield out
 
     models = grams.mapInPandas(fits, schema)
-    return models.withColumn("noise", F.nanvl("noise", F.lit(None).cast("double")))
+    return models.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("noise", "intercept")})
 
 
-@F.pandas_udf("double")
-def spread(x: pd.Series, center: pd.Series, cov: pd.Series) -> pd.Series:
+def spread(x: Column, center: Column, cov: Column) -> Column:
     """Quadratic form of the centred features with the coefficient covariance."""
-    if not len(x):
-        return pd.Series([], dtype=float)
-    c = np.stack(x.to_numpy()).astype(float) - np.stack(center.to_numpy())
-    s = np.stack(cov.to_numpy()).reshape(len(c), c.shape[1], c.shape[1])
-    return pd.Series(np.einsum("ni,nij,nj->n", c, s, c))
+    def form(xs: pd.Series, mids: pd.Series, covs: pd.Series) -> pd.Series:
+        if not len(xs):
+            return pd.Series([], dtype=float)
+        c = np.stack(xs.to_numpy()).astype(float) - np.stack(mids.to_numpy())
+        s = np.stack(covs.to_numpy()).reshape(len(c), c.shape[1], c.shape[1])
+        return pd.Series(np.einsum("ni,nij,nj->n", c, s, c))
+
+    return F.pandas_udf(form, T.DoubleType())(x, center, cov)
 
 
 def predict(df: DataFrame, models: DataFrame, keys: Sequence[str], features: Sequence[str],
@@ -172,34 +184,43 @@ def predict(df: DataFrame, models: DataFrame, keys: Sequence[str], features: Seq
         out = out.withColumns({"lower_conf": F.col("prediction") - F.lit(interval) * sd,
                                "upper_conf": F.col("prediction") + F.lit(interval) * sd,
                                "variance": sd * sd})
-    return out.drop("intercept", "coef", "center", "cov", "noise", "n_fit")
+    return out.drop("intercept", "coef", "center", "cov", "noise", "n_fit", "status")
+
 
+def rolling_origin(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str,
+                   configs: Sequence[LinearConfig], interval: float | None = None, pos: str = "t") -> DataFrame:
+    """One-step-ahead test forecasts per configuration, each by a model of all rows before it.
 
-def rolling_origin(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str, cfg: LinearConfig,
-                   interval: float | None = None, pos: str = "t") -> DataFrame:
-    """One-step-ahead test forecasts, each by a model of all rows before it."""
-    rows = running_gram(df.select(*keys, pos, "split", *[c for c in df.columns if c in {"ds", "fold"} - set(keys)],
-                                  *features, y), keys, [*features, y], pos)
+    The running sums are computed once; every configuration only solves them. A configuration that
+    cannot be fitted has no forecasts.
+    """
+    passed = [c for c in df.columns if c in {"ds", "fold"} - set(keys)]
+    rows = running_gram(df.select(*keys, pos, "split", *passed, *features, y), keys, [*features, y], pos)
     ready = rows.filter((F.col("split") == "test") & complete(features))
     kept = [f for f in ready.schema.fields if f.name != "m"]
     extra = ["prediction"] + (["lower_conf", "upper_conf", "variance"] if interval is not None else [])
-    schema = T.StructType([*kept, *[T.StructField(c, T.DoubleType()) for c in extra]])
-    width = len(features) + 2
+    schema = T.StructType([*kept, T.StructField("cfg_id", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in extra]])
+    width, grid = len(features) + 2, list(configs)
 
     def forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
-            w, b, mx, cov, noise = solve(unpack(pdf["m"], width), cfg)
-            x = pdf[list(features)].to_numpy(float)
-            out = pdf.drop(columns="m")
-            out["prediction"] = b + np.einsum("ni,ni->n", w, x)
-            if interval is not None:
-                var = np.einsum("ni,nij,nj->n", x - mx, cov, x - mx) + noise
-                out["variance"] = var
-                out["lower_conf"] = out["prediction"] - interval * np.sqrt(var)
-                out["upper_conf"] = out["prediction"] + interval * np.sqrt(var)
-            yield out[[f.name for f in schema.fields]]
+            g, x = unpack(pdf["m"], width), pdf[list(features)].to_numpy(float)
+            for cfg in grid:
+                try:
+                    w, b, mx, cov, noise = solve(g, cfg)
+                except (ValueError, np.linalg.LinAlgError):
+                    continue
+                out = pdf.drop(columns="m")
+                out["cfg_id"] = cfg.cfg_id
+                out["prediction"] = b + np.einsum("ni,ni->n", w, x)
+                if interval is not None:
+                    var = np.einsum("ni,nij,nj->n", x - mx, cov, x - mx) + noise
+                    out["variance"] = var
+                    out["lower_conf"] = out["prediction"] - interval * np.sqrt(var)
+                    out["upper_conf"] = out["prediction"] + interval * np.sqrt(var)
+                yield out[[f.name for f in schema.fields]]
 
     return ready.mapInPandas(forecast, schema)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkcast.operators.chunks import attach
 from sparkcast.operators.impute import fill_values, train_rows
+from sparkcast.session import cut_lineage
 
 LEVELS = tuple(range(0, 32, 2))
 GRID_DIMENSIONS = 3
@@ -69,6 +70,7 @@ def impute_knn(df: DataFrame, keys: Sequence[str], columns: Sequence[str], k: in
         "_have": _mask([g & F.col(c).isNotNull() for g, c in zip(gappy, columns)]),
         "_vals": F.array(*[F.when(g, F.col(c).cast("double")) for g, c in zip(gappy, columns)]),
     }).withColumn("_vec", F.filter("_vals", lambda v: v.isNotNull()))
+    based = cut_lineage(based)  # read by every branch below
 
     pool = [*keys, "_have", "_give"]
     receivers = (based.filter((F.col("_have") != F.col("_all")) & (F.col("_have") != 0))

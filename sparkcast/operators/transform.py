@@ -68,19 +68,19 @@ def yeo_johnson_inverse(z: Column, lam: Column) -> Column:
 
 def power_likelihoods(df: DataFrame, keys: Sequence[str], column: str, lambdas: Column) -> DataFrame:
     """Log likelihood per key and lambda; rows only feed partial sums, they are not shuffled."""
-    x, lam = F.col(column), F.col("lambda")
+    x, lam = F.col(column), F.col("power")
     rows = (df.filter(train_rows(df) & x.isNotNull())
-            .withColumn("lambda", F.explode(lambdas)))
-    sums = rows.groupBy(*keys, "lambda").agg(
+            .withColumn("power", F.explode(lambdas)))
+    sums = rows.groupBy(*keys, "power").agg(
         F.count(F.lit(1)).alias("_n"), F.var_pop(yeo_johnson(x, lam)).alias("_var"),
         F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("_jac"))
-    return sums.select(*keys, "lambda", (
+    return sums.select(*keys, "power", (
         -F.col("_n") / 2.0 * F.ln("_var") + (lam - 1.0) * F.col("_jac")).alias("log_likelihood"))
 
 
 def _best(likelihoods: DataFrame, keys: Sequence[str]) -> DataFrame:
     return likelihoods.groupBy(*keys).agg(
-        F.max(F.struct("log_likelihood", "lambda")).getField("lambda").alias("lambda"))
+        F.max(F.struct("log_likelihood", "power")).getField("power").alias("power"))
 
 
 def power_lambda(df: DataFrame, keys: Sequence[str], column: str, low: float = -2.0, high: float = 4.0,
@@ -92,7 +92,7 @@ def power_lambda(df: DataFrame, keys: Sequence[str], column: str, low: float = -
     if not refine:
         return best
     around = F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda i: F.col("_at") + i * F.lit(width / 10))
-    near = attach(df, best.withColumnRenamed("lambda", "_at"), keys)
+    near = attach(df, best.withColumnRenamed("power", "_at"), keys)
     return _best(power_likelihoods(near, keys, column, around), keys)
 
 
@@ -100,9 +100,9 @@ def power_transform(df: DataFrame, keys: Sequence[str], column: str, lambdas: Da
                     keep_statistics: bool = False, **grid) -> DataFrame:
     """Yeo-Johnson with the best lambda of the train rows, then standardised."""
     lambdas = power_lambda(df, keys, column, **grid) if lambdas is None else lambdas
-    out = attach(df, lambdas, keys).withColumn(column, yeo_johnson(F.col(column), F.col("lambda")))
+    out = attach(df, lambdas, keys).withColumn(column, yeo_johnson(F.col(column), F.col("power")))
     out = standardize(out, keys, [column], keep_statistics=True)
-    return out if keep_statistics else out.drop("lambda", f"_mean_{column}", f"_sd_{column}")
+    return out if keep_statistics else out.drop("power", f"_mean_{column}", f"_sd_{column}")
 
 
 def forward(df: DataFrame, keys: Sequence[str], column: str, kind: str | None) -> DataFrame:
@@ -120,5 +120,5 @@ def backward(df: DataFrame, column: str, kind: str | None, outputs: Sequence[str
         return df.withColumns({c: log_inverse(F.col(c), F.col("_zeros")) for c in outputs})
     if kind == "pw":
         raw = {c: F.col(c) * F.col(f"_sd_{column}") + F.col(f"_mean_{column}") for c in outputs}
-        return df.withColumns({c: yeo_johnson_inverse(v, F.col("lambda")) for c, v in raw.items()})
+        return df.withColumns({c: yeo_johnson_inverse(v, F.col("power")) for c, v in raw.items()})
     return df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="sparkcast-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for the Python workers, once per Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_sparkcast_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="sparkcast-package-"), "sparkcast")
+    context.addPyFile(shutil.make_archive(base, "zip", root, "sparkcast"))
+    context._sparkcast_shipped = True

@@ -56,7 +56,7 @@ def status_sales(spark: SparkSession, sf: str) -> DataFrame:
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
 
     def part(status: str) -> Column:
-        return F.round(F.sum(F.when(F.col("o_orderstatus") == status, F.col("o_totalprice"))) / 1000.0, 4)
+        return F.round(F.sum(F.when(F.col("o_orderstatus") == status, F.col("o_totalprice"))) / 1000.0, 5)
 
     rows = (orders.join(customers, orders.o_custkey == customers.c_custkey)
             .groupBy(F.col("c_mktsegment").alias("series_id"), F.to_date("o_orderdate").alias("ds"))
@@ -103,9 +103,9 @@ HOURLY = """hourly AS (
 
 STATUS = """srows AS (
   SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS ds,
-         round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) / 1000.0, 4) AS rev_f,
-         round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) / 1000.0, 4) AS rev_o,
-         round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) / 1000.0, 4) AS rev_p
+         round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) / 1000.0, 5) AS rev_f,
+         round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) / 1000.0, 5) AS rev_o,
+         round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) / 1000.0, 5) AS rev_p
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 sdays AS (
   SELECT series_id, CAST(unnest(generate_series(CAST(min(ds) AS TIMESTAMP), CAST(max(ds) AS TIMESTAMP),

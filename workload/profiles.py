@@ -138,23 +138,23 @@ def log_transform(spark, sf):
 GRID = [-1.0, -0.5, 0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0]
 
 
-@query("power_transform", f"""WITH {TRAIN}, g AS (SELECT unnest({GRID})::DOUBLE AS lambda),
-  x AS (SELECT series_id, lambda, qty, CASE WHEN lambda = 0 THEN ln(qty + 1)
-        ELSE ((qty + 1) ** lambda - 1) / lambda END AS z, split, ds FROM sp, g),
-  ll AS (SELECT series_id, lambda, -count(*) / 2.0 * ln(var_pop(z)) + (lambda - 1) * sum(ln(qty + 1)) AS l
+@query("power_transform", f"""WITH {TRAIN}, g AS (SELECT unnest({GRID})::DOUBLE AS power),
+  x AS (SELECT series_id, power, qty, CASE WHEN power = 0 THEN ln(qty + 1)
+        ELSE ((qty + 1) ** power - 1) / power END AS z, split, ds FROM sp, g),
+  ll AS (SELECT series_id, power, -count(*) / 2.0 * ln(var_pop(z)) + (power - 1) * sum(ln(qty + 1)) AS l
          FROM x WHERE split = 'train' GROUP BY 1, 2),
-  best AS (SELECT series_id, arg_max(lambda, l) AS lambda FROM ll GROUP BY 1),
-  tr AS (SELECT x.* FROM x JOIN best USING (series_id, lambda)),
+  best AS (SELECT series_id, arg_max(power, l) AS power FROM ll GROUP BY 1),
+  tr AS (SELECT x.* FROM x JOIN best USING (series_id, power)),
   s AS (SELECT series_id, avg(z) AS m, stddev_pop(z) AS sd FROM tr WHERE split = 'train' GROUP BY 1)
-  SELECT series_id, ds, lambda, round(qty, 6) AS qty, round((z - m) / sd, 5) AS transformed FROM tr JOIN s USING (series_id)""")
+  SELECT series_id, ds, power, round(qty, 6) AS qty, round((z - m) / sd, 5) AS transformed FROM tr JOIN s USING (series_id)""")
 def power_transform(spark, sf):
     rows = supply_train(spark, sf).drop("price")
     grid_values = F.array(*[F.lit(v) for v in GRID])
     likelihoods = transform.power_likelihoods(rows, K, "qty", grid_values)
-    best = likelihoods.groupBy(*K).agg(F.max(F.struct("log_likelihood", "lambda")).getField("lambda").alias("lambda"))
+    best = likelihoods.groupBy(*K).agg(F.max(F.struct("log_likelihood", "power")).getField("power").alias("power"))
     out = transform.power_transform(rows, K, "qty", lambdas=best, keep_statistics=True)
     back = transform.backward(out.withColumn("back", F.col("qty")), "qty", "pw", ["back"])
-    return rounded(back.select("series_id", "ds", "lambda", F.col("back").alias("qty"), F.col("qty").alias("transformed")),
+    return rounded(back.select("series_id", "ds", "power", F.col("back").alias("qty"), F.col("qty").alias("transformed")),
                    {"qty": 6, "transformed": 5})
 
 
