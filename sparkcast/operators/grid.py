@@ -65,7 +65,7 @@ def sample_grid(grid: DataFrame, share: float, size: int, seed: int = 42,
 
     ``size`` bounds the configurations of a dataset, so ranking them per dataset is small work.
     """
-    lot = F.xxhash64(F.col("dataset"), F.col("cfg_id"), F.lit(seed))
+    lot = F.md5(F.concat_ws("/", "dataset", "cfg_id", F.lit(seed)))
     drawn = Window.partitionBy("dataset").orderBy(lot, "cfg_id")
     return (grid.withColumn("_rank", F.row_number().over(drawn))
             .filter(F.col("_rank") <= int(share * size)).drop("_rank")

@@ -74,10 +74,10 @@ def shuffle_cv(df: DataFrame, keys: Sequence[str], draws: int = 5, share: float
     """
     out = with_ordinal(df, keys, time, "t", "_n", freq).filter(F.col("_n") >= F.lit(min_rows))
     out = out.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    out = out.withColumn("_h", F.xxhash64(F.col("t"), F.col("fold"), F.lit(seed)))
+    out = out.withColumn("_h", F.md5(F.concat_ws("/", "t", "fold", F.lit(seed))))
     slices = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(1000)))
-    unit = (F.col("_h") / F.lit(2.0 ** 64) + F.lit(0.5))
-    out = out.withColumn("_slice", F.least(F.floor(unit * slices), slices - 1))
+    unit = F.conv(F.substring("_h", 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
+    out = out.withColumn("_slice", F.floor(unit * slices))
     ranked = rank_in_slices(out, [*keys, "fold"], "_slice", ["_h", "t"])
     return ranked.withColumn("split", _train_or_test(
         F.col("_rank") > F.ceil(F.col("_n").cast("double") * F.lit(float(share))))).drop("_rank", "_n", "_h", "_slice")

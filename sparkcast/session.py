@@ -27,13 +27,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` is the shared folder; only a session without it (tests, a laptop)
-    gets a folder of its own.
+    Only a local session without it (tests, a laptop) gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +40,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
             folder = tempfile.mkdtemp(prefix="sparkcast-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute the frame now and keep it as a reliable checkpoint in the shared folder."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

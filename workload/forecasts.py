@@ -237,3 +237,26 @@ def cv_scores(spark, sf):
 def cv_scores_shuffled(spark, sf):
     train = model_rows(spark, sf).filter(F.col("split") == "train")
     return rounded(experiment.cross_validate(train, K, FEATURES, "y", linear.LinearConfig("ridge"), shuffled=True), 5)
+
+
+# cross-validation of one feature ---------------------------------------------------------------------
+
+CV_ROWS = ROWS + """, tr AS (
+  SELECT series_id, ds, y, x7, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS t,
+         count(*) OVER (PARTITION BY series_id) AS n FROM mrows WHERE split = 'train'),
+blocks AS (SELECT *, n // 4 AS size, CAST(unnest([0, 1, 2]) AS INT) AS fold FROM tr WHERE n >= 80),
+cvrows AS (SELECT *, CASE WHEN t < n - (3 - fold) * size THEN 'train' ELSE 'test' END AS split
+  FROM blocks WHERE t < n - (2 - fold) * size),
+f AS (SELECT series_id, fold, """ + FIT + """ FROM cvrows WHERE split = 'train' AND x7 IS NOT NULL GROUP BY 1, 2),
+cvp AS (SELECT series_id, fold, split, y AS actual, my + sxy / (sxx + 1.0::DOUBLE) * (x7 - mx) AS prediction
+  FROM cvrows JOIN f USING (series_id, fold) WHERE split = 'test' AND x7 IS NOT NULL),
+fold_err AS (""" + error_sql("cvp", "series_id, fold") + ")"
+
+
+@query("cv_scores_fixed", f"""WITH {CV_ROWS} SELECT series_id, {", ".join(
+    f"round(avg({m}), 5) AS ts_cv_{m}_mean, round(stddev_pop({m}), 5) AS ts_cv_{m}_std, "
+    + ", ".join(f"round(max({m}) FILTER (WHERE fold = {i}), 5) AS ts_cv_{m}_{i}" for i in range(3))
+    for m in metrics.METRICS)} FROM fold_err GROUP BY 1""")
+def cv_scores_fixed(spark, sf):
+    train = model_rows(spark, sf).filter(F.col("split") == "train")
+    return rounded(experiment.cross_validate(train, K, ["x7"], "y", linear.LinearConfig("ridge"), one_step=False), 5)

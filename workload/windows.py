@@ -165,7 +165,14 @@ def cv_timeseries(spark, sf):
     return split.timeseries_cv(supply(spark, sf).drop("price"), K)
 
 
-@query("cv_shuffle")
+SHUFFLED = NUMBERED + """, draws AS (
+  SELECT series_id, ds, qty, t, CAST(unnest(range(5)) AS INT) AS fold, n FROM numbered WHERE n >= 80),
+shuffled AS (
+  SELECT series_id, ds, qty, t, fold, CASE WHEN row_number() OVER (PARTITION BY series_id, fold
+           ORDER BY md5(t || '/' || fold || '/0'), t) > ceil(n * 0.2::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM draws)"""
+
+
+@query("cv_shuffle", f"WITH {SHUFFLED} SELECT * FROM shuffled")
 def cv_shuffle(spark, sf):
     return split.shuffle_cv(supply(spark, sf).drop("price"), K)
 
