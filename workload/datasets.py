@@ -13,7 +13,7 @@ from sparkcast.sources.series import RunParameters, SeriesConfig
 from workload.frames import DAILY, HOLIDAYS, K, SALES, daily, rounded, sales, with_holidays
 from workload.preparation import CALENDAR_SQL, COUNTERS
 from workload.registry import query
-from workload.windows import STAT_COLUMNS, W
+from workload.windows import EXACT_STAT_COLUMNS, STAT_COLUMNS, W
 
 SCHOOL = {"school_holiday": ["no", "osterferien", "sommerferien"]}
 
@@ -82,10 +82,15 @@ filled AS (SELECT series_id, ds, t, n, coalesce(revenue, mr) AS revenue, coalesc
 ONE_HOT = ", ".join(f"CAST(school_holiday = '{v}' AS DOUBLE) AS school_holiday_{v}" for v in SCHOOL["school_holiday"])
 
 
+def digits_of(c):
+    """Enough digits for exact values, few enough for sums taken in another order."""
+    return 6 if "n_orders" in c else 4 if "weekday_rolling" in c else 3
+
+
 def second_fill(c):
     gap = f"count(*) FILTER (WHERE split = 'train' AND {c} IS NULL) OVER (PARTITION BY s.series_id) > 0"
     mean = f"avg({c}) FILTER (WHERE split = 'train') OVER (PARTITION BY s.series_id)"
-    return f"round(coalesce({c}, CASE WHEN {gap} THEN {mean} END), 3) AS {c}"
+    return f"round(coalesce({c}, CASE WHEN {gap} THEN {mean} END), {digits_of(c)}) AS {c}"
 
 
 SHOP = SeriesConfig("revenue", "shop", 28, ("revenue", "n_orders"), ("revenue",), non_seasonal=("n_orders",))
@@ -93,18 +98,18 @@ SHOP = SeriesConfig("revenue", "shop", 28, ("revenue", "n_orders"), ("revenue",)
 
 @query("prepare_dataset", f"""WITH {HOLIDAYS}, {COUNTERS}, {FILLED},
   stats AS (SELECT *, CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS n_train,
-            CASE WHEN t < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, {STAT_COLUMNS} FROM filled)
-  SELECT s.series_id, s.ds, 0 AS fold, t, n_train, split, round(s.revenue, 3) AS revenue, round(s.n_orders, 3) AS n_orders,
+            CASE WHEN t < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, {EXACT_STAT_COLUMNS} FROM filled)
+  SELECT s.series_id, s.ds, 0 AS fold, t, n_train, split, round(s.revenue, 3) AS revenue, round(s.n_orders, 6) AS n_orders,
          day(s.ds)::DOUBLE AS cal_date_day_of_month, (isodow(s.ds) - 1)::DOUBLE AS cal_date_weekday,
          month(s.ds)::DOUBLE AS cal_date_month, quarter(s.ds)::DOUBLE AS cal_date_quarter,
          (NOT (isodow(s.ds) = 7 OR public_holiday <> 'no'))::DOUBLE AS cal_date_workingday,
          {", ".join(f'"{c}"::DOUBLE AS "{c}"' for c in CALS[5:])}, {ONE_HOT}, {", ".join(second_fill(c) for c in STATS)}
   FROM stats s JOIN near ON near.series_id = s.series_id AND near.ds = s.ds
-  JOIN hol ON hol.series_id = s.series_id AND hol.ds = s.ds""")
+  JOIN hol ON hol.series_id = s.series_id AND hol.ds = s.ds""".replace("0.8::DOUBLE", "0.75::DOUBLE"))
 def prepare_dataset(spark, sf):
-    out = prepare.prepare_dataset(with_holidays(daily(spark, sf)), K, SHOP, RunParameters.of(SHOP, 0.8), "mean",
+    out = prepare.prepare_dataset(with_holidays(daily(spark, sf)), K, SHOP, RunParameters.of(SHOP, 0.75), "mean",
                                   "full", SCHOOL)
-    return rounded(out, 3)
+    return rounded(out, {c: digits_of(c) for c in out.columns})
 
 
 WEEKLY_SHOP = SeriesConfig("revenue", "shop", 364, ("revenue", "n_orders"), ("revenue",), resample_weekly=True,

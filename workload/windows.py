@@ -64,11 +64,16 @@ def rolling_weekday_stats(spark, sf):
     return rounded(lags.add_blocks(daily(spark, sf), K, day(), [lags.rolling_weekday_block(["revenue"], 4)]))
 
 
-STAT_COLUMNS = ", ".join([
-    lag_sql(BOTH, range(1, 8), "lag"), lag_sql(["revenue"], range(1, 8), "seaslag", 27),
-    stats_sql("revenue", "rolling", 7), stats_sql("n_orders", "rolling", 7),
-    stats_sql("revenue", "rolling_seasonal", 7, 29),
-    stats_sql("revenue", "weekday_rolling", 4, 1, "series_id, isodow(ds)")])
+def stat_columns(stats=stats_sql):
+    return ", ".join([
+        lag_sql(BOTH, range(1, 8), "lag"), lag_sql(["revenue"], range(1, 8), "seaslag", 27),
+        stats("revenue", "rolling", 7), stats("n_orders", "rolling", 7), stats("revenue", "rolling_seasonal", 7, 29),
+        stats("revenue", "weekday_rolling", 4, 1, "series_id, isodow(ds)")])
+
+
+STAT_COLUMNS = stat_columns()
+# for further computation: not rounded
+EXACT_STAT_COLUMNS = stat_columns(lambda *args: stats_sql(*args).replace(" END, 4) AS", " END, 12) AS"))
 
 
 @query("stat_features_all", f"""WITH {DAILY}, filled AS (
