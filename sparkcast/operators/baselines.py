@@ -54,14 +54,16 @@ def seasonal_naive_fixed(df: DataFrame, keys: Sequence[str], y: str, season: int
 
 def historical_average(df: DataFrame, keys: Sequence[str], y: str, one_step: bool = True, name: str = "HA") -> DataFrame:
     """The train average, or for test rows the average of all rows before when one step ahead."""
-    mean = df.groupBy(*keys).agg(F.avg(F.when(is_train(), F.col(y))).alias("_mean"))
+    value, known = F.col(y).cast("double"), F.col(y).isNotNull().cast("double")
     if not one_step:
-        return attach(df, mean, keys).withColumnRenamed("_mean", name)
-    sums = {"_sum": F.col(y).cast("double"), "_seen": F.col(y).isNotNull().cast("double")}
-    out = attach(running_sums(df, keys, "t", sums), mean, keys)
+        mean = df.groupBy(*keys).agg(F.avg(F.when(is_train(), value)).alias(name))
+        return attach(df, mean, keys)
+    out = running_sums(df, keys, "t", {"_sum": value, "_seen": known}, whole={
+        "_train_sum": F.when(is_train(), value), "_train_seen": F.when(is_train(), known)})
     expanding = F.try_divide(F.col("_sum"), F.col("_seen"))
-    return (out.withColumn(name, F.when(is_train(), F.col("_mean")).otherwise(expanding))
-            .drop("_sum", "_seen", "_mean"))
+    mean = F.try_divide(F.col("_train_sum"), F.col("_train_seen"))
+    return (out.withColumn(name, F.when(is_train(), mean).otherwise(expanding))
+            .drop("_sum", "_seen", "_train_sum", "_train_seen"))
 
 
 def long_predictions(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[str], time: str = "ds") -> DataFrame:

@@ -82,16 +82,23 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], time: str = "ds", name: str
     return out.drop("_chunk", "_offset", "_total", "_rows")
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], pos: str | Column,
-                 sums: Mapping[str, Column], size: int = CHUNK_ROWS) -> DataFrame:
-    """Add, for every row, sums over all earlier rows of its key (0 for the first row)."""
+def running_sums(df: DataFrame, keys: Sequence[str], pos: str | Column, sums: Mapping[str, Column],
+                 whole: Mapping[str, Column] | None = None, size: int = CHUNK_ROWS) -> DataFrame:
+    """Add, for every row, sums over all earlier rows of its key (0 for the first row).
+
+    ``whole`` adds sums over all rows of the key, from the same chunk totals.
+    """
+    whole = whole or {}
     place = pos if isinstance(pos, Column) else F.col(pos)
     marked = df.withColumn("_pos", place.cast("long")).withColumn("_chunk", chunk_index("_pos", size))
     totals = marked.groupBy(*keys, "_chunk").agg(
-        *[F.sum(e).alias(f"_sum_{n}") for n, e in sums.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_chunk", *[
-        F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0.0)).alias(f"_carry_{n}") for n in sums])
+        *[F.sum(e).alias(f"_sum_{n}") for n, e in {**sums, **whole}.items()])
+    by_key = Window.partitionBy(*keys)
+    earlier = by_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        *keys, "_chunk",
+        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0.0)).alias(f"_carry_{n}") for n in sums],
+        *[F.sum(f"_sum_{n}").over(by_key).alias(n) for n in whole])
     inside = (Window.partitionBy(*keys, "_chunk").orderBy("_pos")
               .rowsBetween(Window.unboundedPreceding, -1))
     joined = marked.join(carried, [*keys, "_chunk"], "inner")

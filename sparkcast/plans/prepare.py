@@ -15,6 +15,7 @@ from sparkcast.operators.clean import (condense, drop_null_target, drop_other_ta
 from sparkcast.operators.impute import impute
 from sparkcast.operators.lags import LAGS, add_statistical_features
 from sparkcast.operators.split import split
+from sparkcast.session import cut_lineage
 from sparkcast.sources.series import RunParameters, SeriesConfig
 
 FEATURESETS = ("full", "cal", "stat", "none")
@@ -67,7 +68,7 @@ def prepare_dataset(df: DataFrame, keys: Sequence[str], config: SeriesConfig, pa
     rows = split(df, keys, params.split_share, params.initial_train, params.test_length, time)
     raw = numeric_columns(df, exclude=[*keys, time, *config.holiday_columns])
     rows = impute(rows, by, raw, imputation, time, **impute_options)
-    rows = rows.drop(*helpers)
+    rows = cut_lineage(rows.drop(*helpers))
     rows = add_features(rows, by, config.stat_features, config.seasonal_periods, config.condense, config.condensed_name,
                         calendar, statistics and not weekly, non_seasonal=config.non_seasonal, time=time)
     encode = {c: (categories or {}).get(c, ()) for c in config.holiday_columns if c in rows.columns}
@@ -84,7 +85,7 @@ def prepare_dataset(df: DataFrame, keys: Sequence[str], config: SeriesConfig, pa
                 numbered, by, "_t", config.stat_features, params.seasonal_periods, WEEKLY_LAGS, WEEKLY_WIDTH,
                 WEEKLY_WIDTH, weekday_stats=False, non_seasonal=config.non_seasonal, time=time,
                 extra_widths=(WEEKLY_EXTRA_WIDTH,)).drop("_t")
-    rows = drop_other_targets(rows, config.target_candidates, config.target)
+    rows = cut_lineage(drop_other_targets(rows, config.target_candidates, config.target))
 
     if params.split_share is not None:
         rows = split(rows.drop("fold"), keys, params.split_share, time=time, freq=freq)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +45,14 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute the frame now and keep it as a reliable checkpoint in the shared folder."""
-    scratch_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to a table in the shared folder and go on from there.
+
+    For frames that several branches or rounds read: the work before is done once, a lost executor
+    does not bring it back, and later readers still prune columns.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/frame-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcast.operators.clean import regularize
+from sparkcast.session import cut_lineage
 
 K = ["series_id"]
 
@@ -31,7 +32,8 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
-    return regularize(sales(spark, sf), K)
+    """One row per day; the orders are read once and only their daily sums are used further."""
+    return regularize(cut_lineage(sales(spark, sf)), K)
 
 
 def supply(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,6 +44,11 @@ def supply(spark: SparkSession, sf: str) -> DataFrame:
                  F.round(F.sum("l_extendedprice"), 2).alias("price")))
 
 
+def stored_supply(spark: SparkSession, sf: str) -> DataFrame:
+    """The supply series as a table, for queries that read it several times."""
+    return cut_lineage(supply(spark, sf))
+
+
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Events and summed value per event type and hour, irregular."""
     return (table(spark, sf, "events")
@@ -61,7 +68,7 @@ def status_sales(spark: SparkSession, sf: str) -> DataFrame:
     rows = (orders.join(customers, orders.o_custkey == customers.c_custkey)
             .groupBy(F.col("c_mktsegment").alias("series_id"), F.to_date("o_orderdate").alias("ds"))
             .agg(part("F").alias("rev_f"), part("O").alias("rev_o"), part("P").alias("rev_p")))
-    return regularize(rows, K)
+    return regularize(cut_lineage(rows), K)
 
 
 def holiday_name() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkcast.operators import calendar, clean
 from sparkcast.sources import results, series
-from workload.frames import (DAILY, HOLIDAYS, HOURLY, K, SALES, SCHOOL_SQL, SUPPLY, daily, hourly, rounded, sales,
+from workload.frames import (DAILY, HOLIDAYS, HOURLY, K, SALES, SCHOOL_SQL, SUPPLY, daily, hourly, rounded, sales, stored_supply,
                              supply, table, with_holidays)
 from workload.registry import query
 
@@ -113,7 +113,7 @@ def drop_dummy(spark, sf):
     from sparkcast.operators import baselines
     from sparkcast.operators.chunks import with_ordinal
 
-    rows = with_ordinal(supply(spark, sf), K).drop("n_rows")
+    rows = with_ordinal(stored_supply(spark, sf), K).drop("n_rows")
     sentinel = baselines.random_walk(rows, K, "qty").withColumn("prediction", F.coalesce("prediction", F.lit(-9999.0)))
     return (clean.drop_unpredicted(sentinel, dummy=-9999.0)
             .select("series_id", "ds", F.col("qty").alias("actual"), "prediction"))
@@ -136,7 +136,7 @@ def nan_zero(spark, sf):
 @query("reset_index", f"""WITH {SUPPLY}
   SELECT series_id, qty, price, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS t FROM supply""")
 def reset_index(spark, sf):
-    return clean.reset_index(supply(spark, sf), K)
+    return clean.reset_index(stored_supply(spark, sf), K)
 
 
 @query("duplicate_columns", """

@@ -8,7 +8,7 @@ from sparkcast.models import pca
 from sparkcast.operators import grid, impute, profile, transform
 from sparkcast.operators.chunks import attach
 from sparkcast.operators.split import split
-from workload.frames import DAILY, K, STATUS, SUPPLY, daily, rounded, sales, status_sales, supply
+from workload.frames import DAILY, K, STATUS, SUPPLY, daily, rounded, sales, status_sales, stored_supply, supply
 from workload.registry import query
 from workload.windows import W
 
@@ -110,7 +110,7 @@ sp AS (SELECT series_id, ds, qty, price, CASE WHEN t < floor(n * 0.8::DOUBLE) TH
 
 
 def supply_train(spark, sf):
-    return split(supply(spark, sf), K, 0.8).select("series_id", "ds", "qty", "price", "split")
+    return split(stored_supply(spark, sf), K, 0.8).select("series_id", "ds", "qty", "price", "split")
 
 
 @query("standardize", f"""WITH {TRAIN}, s AS (
@@ -192,7 +192,7 @@ LONG = SUPPLY + """, long AS (
     AND value >= lower AND (value < upper OR (bin = 9 AND value <= upper))
   GROUP BY ALL""")
 def histogram(spark, sf):
-    return rounded(profile.histogram(supply(spark, sf), K, PAIR))
+    return rounded(profile.histogram(stored_supply(spark, sf), K, PAIR))
 
 
 @query("box_stats", f"""WITH {LONG}, q AS (
@@ -207,7 +207,7 @@ def histogram(spark, sf):
     "round(q.q1, 4) AS q1, round(q.median, 4) AS median, round(q.q3, 4) AS q3").replace(
     "GROUP BY series_id, \"column\", q1, median, q3", "GROUP BY series_id, \"column\", q.q1, q.median, q.q3"))
 def box_stats(spark, sf):
-    return rounded(profile.box_statistics(supply(spark, sf), K, PAIR))
+    return rounded(profile.box_statistics(stored_supply(spark, sf), K, PAIR))
 
 
 @query("autocorrelation", f"""WITH {SUPPLY}, c AS (
@@ -218,7 +218,7 @@ def box_stats(spark, sf):
   SELECT series_id, CAST(lag AS INT) AS lag, round(ch / c0, 6) AS r, round(1.959963984540054::DOUBLE / sqrt(n), 6) AS band95,
          round(2.5758293035489004::DOUBLE / sqrt(n), 6) AS band99 FROM l JOIN v USING (series_id)""")
 def autocorrelation(spark, sf):
-    return rounded(profile.autocorrelation(supply(spark, sf), K, "qty", 40), 6)
+    return rounded(profile.autocorrelation(stored_supply(spark, sf), K, "qty", 40), 6)
 
 
 @query("pca_features")

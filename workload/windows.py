@@ -8,7 +8,8 @@ from sparkcast.operators import baselines, lags, metrics, split
 from sparkcast.operators.chunks import tick, with_ordinal
 from sparkcast.operators.clean import resample_weekly
 from sparkcast.operators.impute import impute_simple
-from workload.frames import DAILY, K, SUPPLY, daily, rounded, supply
+from sparkcast.session import cut_lineage
+from workload.frames import DAILY, K, SUPPLY, daily, rounded, stored_supply, supply
 from workload.registry import query
 
 W = "(PARTITION BY series_id ORDER BY ds)"
@@ -111,7 +112,7 @@ def weekly_features(spark, sf):
          CAST(CAST(r[1] AS INT) AS VARCHAR) || ':' || CAST(CAST(round(r[2] * 100) AS BIGINT) AS VARCHAR)), ' ') AS seq
   FROM n WHERE len(seq) = 7""")
 def sequence_windows(spark, sf):
-    rows = with_ordinal(supply(spark, sf), K)
+    rows = with_ordinal(stored_supply(spark, sf), K)
     out = lags.sequence_windows(rows, K, "t", ["qty", "price"], "qty", 7)
     text = F.array_join(F.transform("seq", lambda r: F.concat_ws(
         ":", r[0].cast("int").cast("string"), F.round(r[1] * 100).cast("bigint").cast("string"))), " ")
@@ -138,7 +139,7 @@ split80 AS (SELECT *, 0 AS fold, CASE WHEN t < n_train THEN 'train' ELSE 'test'
 
 
 def supply_split(spark, sf):
-    return split.split(supply(spark, sf), K, 0.8)
+    return split.split(stored_supply(spark, sf), K, 0.8)
 
 
 @query("train_test_split", f"WITH {SPLIT80} SELECT * FROM split80")
@@ -154,7 +155,7 @@ tsfolds AS (SELECT *, CASE WHEN t < n_train THEN 'train' ELSE 'test' END AS spli
 
 @query("tssplit", f"WITH {FOLDS} SELECT * FROM tsfolds")
 def tssplit(spark, sf):
-    return split.split(supply(spark, sf).drop("price"), K, None, 100, 30)
+    return split.split(stored_supply(spark, sf).drop("price"), K, None, 100, 30)
 
 
 CV = NUMBERED + """, blocks AS (
@@ -167,7 +168,7 @@ cv AS (
 
 @query("cv_timeseries", f"WITH {CV} SELECT * FROM cv")
 def cv_timeseries(spark, sf):
-    return split.timeseries_cv(supply(spark, sf).drop("price"), K)
+    return split.timeseries_cv(stored_supply(spark, sf).drop("price"), K)
 
 
 SHUFFLED = NUMBERED + """, draws AS (
@@ -179,7 +180,7 @@ shuffled AS (
 
 @query("cv_shuffle", f"WITH {SHUFFLED} SELECT * FROM shuffled")
 def cv_shuffle(spark, sf):
-    return split.shuffle_cv(supply(spark, sf).drop("price"), K)
+    return split.shuffle_cv(stored_supply(spark, sf).drop("price"), K)
 
 
 @query("cv_shuffle_sizes", f"""WITH {NUMBERED}
@@ -379,6 +380,6 @@ scores AS (
   FROM scores""")
 def evaluate_baselines(spark, sf):
     rows = split.split(daily(spark, sf).select("series_id", "ds", F.col("revenue").alias("qty")), K, 0.8)
-    filled = impute_simple(rows, K, ["qty"])
+    filled = cut_lineage(impute_simple(rows, K, ["qty"]))
     scores = metrics.score(baseline_pairs(spark, sf, filled), ["series_id", "split", "model"])
     return rounded(scores, {"rmse": 4, "mape": 6, "smape": 6})
