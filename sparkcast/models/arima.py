@@ -123,6 +123,7 @@ def _from_train_end(rows: DataFrame, keys: Sequence[str], model: DataFrame, cfg:
         w, e, v = (list(part) for part in state[n_coef:].reshape(3, depth))
         x = pdf[names].to_numpy(float) if names else np.zeros((len(pdf), 0))
         test, actual = (pdf["split"] == "test").to_numpy(), pdf["_y"].to_numpy(float)
+        residual = pdf["_e"].to_numpy(float)
         out = np.empty(len(pdf))
         for i in range(len(pdf)):
             z = [*[w[-k] for k in ar], *[e[-k] for k in ma], *x[i]] or [0.0]
@@ -131,13 +132,13 @@ def _from_train_end(rows: DataFrame, keys: Sequence[str], model: DataFrame, cfg:
             out[i] = guess + base
             value = out[i] if test[i] or not np.isfinite(actual[i]) else actual[i]
             now = value - base
-            # while the history is still short there is no residual to learn from
-            error = now - guess if np.isfinite(guess) and not test[i] else 0.0
+            error = 0.0 if test[i] or not np.isfinite(residual[i]) else residual[i]
             w, e, v = [*w[1:], now], [*e[1:], error], [*v[1:], value]
         return out, np.concatenate([coef, w, e, v])
 
     empty = F.array_repeat(F.lit(float("nan")), depth)
     start = model.select(*keys, F.concat(
         F.array("intercept"), "coef", empty, F.array_repeat(F.lit(0.0), depth), empty).alias("state"))
-    predictions, _ = relay(rows.select(*keys, "t", "split", *exog, "_y"), keys, start, step, size)
+    known = rows if ma else rows.withColumn("_e", F.lit(0.0))
+    predictions, _ = relay(known.select(*keys, "t", "split", *exog, "_y", "_e"), keys, start, step, size)
     return attach(rows.join(predictions, [*keys, "t"], "left"), model.select(*keys, "noise"), keys)

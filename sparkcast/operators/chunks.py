@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1024
+SPREAD = 16
 
 
 def tick(time: str | Column, freq: str = "D") -> Column:
@@ -108,10 +109,14 @@ def running_sums(df: DataFrame, keys: Sequence[str], pos: str | Column, sums: Ma
     return out.drop("_pos", "_chunk", *[f"_carry_{n}" for n in sums])
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put per-key statistics next to the rows of the key.
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], spread: int = SPREAD) -> DataFrame:
+    """Put the statistics of a key next to all of its rows (a left join).
 
-    A plain join: the optimizer broadcasts the statistics only below its own size threshold, and
-    splits hot keys otherwise.
+    Unless the optimizer finds the statistics small enough to broadcast, both sides are shuffled by
+    key and a number drawn from the row itself, so that a key with very many rows is not sent to one
+    task, neither by the join nor by an aggregation that would reuse its partitioning.
     """
-    return df.join(stats, list(keys), "left")
+    content = [c for c in df.columns if c not in keys]
+    lot = F.pmod(F.xxhash64(*content), F.lit(spread)) if content else F.lit(0).cast("long")
+    copies = stats.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    return df.withColumn("_lot", lot).join(copies, [*keys, "_lot"], "left").drop("_lot")

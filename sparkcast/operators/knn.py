@@ -82,7 +82,7 @@ def impute_knn(df: DataFrame, keys: Sequence[str], columns: Sequence[str], k: in
     common = F.col("_have").bitwiseAND(F.col("_give"))
     useful = (common != 0) & (F.col("_give") != common)
 
-    offers = (donors.join(wanted, keys).filter(useful)
+    offers = (attach(donors, wanted, keys).filter(useful)
               .withColumn("_u", _shared(F.col("_dvals"), common, width)))
     same = Window.partitionBy(*pool, "_u").orderBy("_dtime")
     offers = offers.withColumn("_i", F.row_number().over(same)).filter(F.col("_i") <= k).drop("_i")
@@ -107,7 +107,7 @@ def impute_knn(df: DataFrame, keys: Sequence[str], columns: Sequence[str], k: in
 
     who = [*pool, "_who"]
     asking = attach(
-        receivers.join(offered, keys).filter(useful).withColumn("_u", _shared(F.col("_vals"), common, width)),
+        attach(receivers, offered, keys).filter(useful).withColumn("_u", _shared(F.col("_vals"), common, width)),
         spans, pool).select(*who, "_u", "_all", "_low", "_width")
     asking = cut_lineage(asking)
     around = asking.withColumn("_level", levels).withColumns(places)

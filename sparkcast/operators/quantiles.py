@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcast.operators.chunks import attach
 from sparkcast.session import cut_lineage
 
 SLICES = 64
@@ -27,7 +28,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = cut_lineage(counts.groupBy(*ids).agg(
         F.percentile_approx("value", steps, F.lit(1000)).alias("_cuts"), F.sum("_c").alias("n")))
-    sliced = counts.join(cuts, ids, "inner").withColumn(
+    sliced = attach(counts, cuts, ids).withColumn(
         "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col("value")))).drop("_cuts")
     per_slice = sliced.groupBy(*ids, "_slice").agg(F.sum("_c").alias("_in"))
     before = Window.partitionBy(*ids).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
