@@ -42,6 +42,22 @@ def expanding_split(df: DataFrame, keys: Sequence[str], initial_train: int, test
     return out.withColumn("split", _train_or_test(F.col("t") < F.col("n_train"))).drop("_n")
 
 
+def test_folds(df: DataFrame, keys: Sequence[str], initial_train: int, test_length: int, time: str = "ds",
+               freq: str = "D", all_folds: bool = False) -> DataFrame:
+    """The folds of ``expanding_split`` without repeating a row: ``fold`` is where a row is tested.
+
+    A row is a test row of at most one fold; rows that only ever train have none. One-step-ahead
+    forecasts use all earlier rows whatever the fold, so scoring them needs nothing else, and the
+    size stays that of the series where repeated train rows would grow with its square.
+    """
+    out = with_ordinal(df, keys, time, "t", "_n", freq)
+    tested = F.floor((F.col("t") - F.lit(initial_train)) / F.lit(test_length)).cast("int")
+    inside = F.col("t") >= F.lit(initial_train)
+    if not all_folds:
+        inside = inside & (tested < F.ceil(F.col("_n") / F.lit(initial_train + test_length)))
+    return out.withColumn("fold", F.when(inside, tested)).drop("_n")
+
+
 def split(df: DataFrame, keys: Sequence[str], share: float | None, initial_train: int | None = None,
           test_length: int | None = None, time: str = "ds", freq: str = "D") -> DataFrame:
     """A percentage split, or expanding folds when there is no share."""

@@ -67,6 +67,11 @@ def test_expanding_split_equals_slicing(spark, n, initial, test):
         assert list(here[here["split"] == "train"]["t"]) == list(range(min(end, n)))
         assert list(here[here["split"] == "test"]["t"]) == list(range(end, min(end + test, n)))
     assert out["fold"].max() == math.ceil(n / (initial + test)) - 1
+    once = collected(split.test_folds(series(spark, range(n)), K, initial, test), "t")
+    assert len(once) == n
+    tested = out[out["split"] == "test"]
+    assert sorted(zip(tested["fold"], tested["t"])) == sorted(
+        (int(f), t) for f, t in zip(once["fold"], once["t"]) if f == f)
 
 
 def test_all_folds_option(spark):

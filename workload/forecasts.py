@@ -54,6 +54,24 @@ def fixed_origin_ridge(spark, sf):
     return rounded(out.select("series_id", "ds", "split", "prediction"), 6)
 
 
+def shrunk_query(name, method, l1, l2):
+    """Lasso and elastic net of one feature in closed form."""
+    @query(name, f"""WITH {ROWS}, f AS (
+      SELECT series_id, {FIT} FROM mrows WHERE split = 'train' AND x7 IS NOT NULL GROUP BY 1)
+      SELECT series_id, ds, split, round(my + sign(sxy) * greatest(abs(sxy) / n - {l1}::DOUBLE, 0)
+             / (sxx / n + {l2}::DOUBLE) * (x7 - mx), 6) AS prediction
+      FROM mrows JOIN f USING (series_id) WHERE x7 IS NOT NULL""")
+    def run(spark, sf):
+        rows = model_rows(spark, sf)
+        models = linear.fit(rows, K, ["x7"], "y", one_config(method, alpha=0.004, l1_ratio=0.25))
+        out = linear.predict(rows.filter(F.col("x7").isNotNull()), models, K, ["x7"])
+        return rounded(out.select("series_id", "ds", "split", "prediction"), 6)
+
+
+shrunk_query("fixed_origin_lasso", "lasso", 0.004, 0.0)
+shrunk_query("fixed_origin_elasticnet", "elasticnet", 0.001, 0.003)
+
+
 ROLLED = ROWS + """, run AS (
   SELECT series_id, ds, split, t, y, x7, count(x7) OVER w AS n, sum(x7) OVER w AS sx,
          sum(CASE WHEN x7 IS NOT NULL THEN y END) OVER w AS sy, sum(x7 * x7) OVER w AS sx2, sum(x7 * y) OVER w AS sxy
@@ -117,6 +135,27 @@ def ses_forecast(spark, sf):
     return rounded(out.select("series_id", "t", "y", "prediction"), 6)
 
 
+@query("holt_winters_fixed", f"""WITH RECURSIVE {ROWS}, head AS (
+  SELECT series_id, avg(y) FILTER (WHERE t < 7) AS level, (avg(y) FILTER (WHERE t >= 7) - avg(y) FILTER (WHERE t < 7)) / 7 AS trend,
+         list(y ORDER BY t) FILTER (WHERE t < 7) AS ys FROM mrows WHERE t < 14 GROUP BY 1),
+hw AS (
+  SELECT series_id, CAST(-1 AS BIGINT) AS t, level, trend, list_transform(ys, lambda v: v - level) AS season,
+         CAST(NULL AS DOUBLE) AS prediction FROM head UNION ALL
+  SELECT series_id, t, 0.3::DOUBLE * (y - s) + 0.7::DOUBLE * (level + trend),
+         0.1::DOUBLE * (0.3::DOUBLE * (y - s) + 0.7::DOUBLE * (level + trend) - level) + 0.9::DOUBLE * trend,
+         list_concat(list_concat(season[1:place - 1], [0.2::DOUBLE * (y - level - trend) + 0.8::DOUBLE * s]), season[place + 1:7]),
+         level + trend + s
+  FROM (SELECT m.series_id, m.t, m.y, h.level, h.trend, h.season, CAST(m.t % 7 AS INT) + 1 AS place,
+               h.season[CAST(m.t % 7 AS INT) + 1] AS s
+        FROM hw h JOIN mrows m ON m.series_id = h.series_id AND m.t = h.t + 1))
+SELECT series_id, t, round(prediction, 6) AS prediction FROM hw WHERE t >= 0""")
+def holt_winters_fixed(spark, sf):
+    rows = model_rows(spark, sf)
+    cfg = smoothing.SmoothingConfig("add", False, "add", 7)
+    out = smoothing.smoothing_forecast(rows, K, "y", cfg, np.array([0.3, 0.1, 0.2, 1.0]))
+    return rounded(out.select("series_id", "t", "prediction"), 6)
+
+
 @query("holt_winters_forecast")
 def holt_winters_forecast(spark, sf):
     cfg = smoothing.SmoothingConfig("add", True, "add", 7, remove_bias=True)
@@ -134,6 +173,27 @@ def holt_winters_multiplicative_log(spark, sf):
         log.select(*ids, F.lit("log").alias("model"), "prediction")), 5)
 
 
+@query("ar1_forecast", f"""WITH {ROWS}, l AS (SELECT *, lag(y) OVER {W} AS x FROM mrows), f AS (
+  SELECT series_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b,
+         (regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) AS v
+  FROM l WHERE split = 'train' AND x IS NOT NULL GROUP BY 1)
+  SELECT series_id, ds, round(my + b * (x - mx), 6) AS prediction,
+         round(my + b * (x - mx) - 1.959963984540054::DOUBLE * sqrt(v), 6) AS lower_conf,
+         round(my + b * (x - mx) + 1.959963984540054::DOUBLE * sqrt(v), 6) AS upper_conf FROM l JOIN f USING (series_id)""")
+def ar1_forecast(spark, sf):
+    out = arima.arima_forecast(model_rows(spark, sf), K, "y", arima.ArimaConfig(p=1))
+    return rounded(out.select("series_id", "ds", "prediction", "lower_conf", "upper_conf"), 6)
+
+
+@query("seasonal_difference_forecast", f"""WITH {ROWS}, w AS (SELECT *, y - lag(y, 7) OVER {W} AS w FROM mrows),
+  f AS (SELECT series_id, avg(w) AS c FROM w WHERE split = 'train' GROUP BY 1)
+  SELECT series_id, ds, round(lag(y, 7) OVER (PARTITION BY series_id ORDER BY ds) + c, 6) AS prediction FROM w JOIN f USING (series_id)""")
+def seasonal_difference_forecast(spark, sf):
+    """A seasonal random walk with drift: orders (0, 0, 0)(0, 1, 0)."""
+    out = arima.arima_forecast(model_rows(spark, sf), K, "y", arima.ArimaConfig(p=0, seasonal_d=1, season=7))
+    return rounded(out.select("series_id", "ds", "prediction"), 6)
+
+
 @query("arx_forecast")
 def arx_forecast(spark, sf):
     out = arima.arima_forecast(model_rows(spark, sf), K, "y", arima.ArimaConfig(p=3, d=1), ["sunday"])

@@ -158,9 +158,21 @@ def power_transform(spark, sf):
                    {"qty": 6, "transformed": 5})
 
 
-@query("power_lambda_search")
+@query("power_lambda_search", f"""WITH {TRAIN}, coarse AS (SELECT -2.0::DOUBLE + i * 0.25::DOUBLE AS power FROM range(25) r(i)),
+  first AS (
+    SELECT series_id, power, -count(*) / 2.0 * ln(var_pop(CASE WHEN abs(power) < 1e-12 THEN ln(qty + 1)
+           ELSE ((qty + 1) ** power - 1) / power END)) + (power - 1) * sum(ln(qty + 1)) AS l
+    FROM sp, coarse WHERE split = 'train' GROUP BY 1, 2),
+  best AS (SELECT series_id, arg_max(power, l) AS around FROM first GROUP BY 1),
+  second AS (
+    SELECT series_id, around + i * 0.025::DOUBLE AS power, -count(*) / 2.0 * ln(var_pop(
+           CASE WHEN abs(around + i * 0.025::DOUBLE) < 1e-12 THEN ln(qty + 1)
+           ELSE ((qty + 1) ** (around + i * 0.025::DOUBLE) - 1) / (around + i * 0.025::DOUBLE) END))
+           + (around + i * 0.025::DOUBLE - 1) * sum(ln(qty + 1)) AS l
+    FROM sp JOIN best USING (series_id), range(-10, 11) r(i) WHERE split = 'train' GROUP BY series_id, around, i)
+  SELECT series_id, round(arg_max(power, l), 6) AS power FROM second GROUP BY 1""")
 def power_lambda_search(spark, sf):
-    return transform.power_lambda(supply_train(spark, sf), K, "qty")
+    return rounded(transform.power_lambda(supply_train(spark, sf), K, "qty"), 6)
 
 
 # profiles -------------------------------------------------------------------------------------------
@@ -233,6 +245,17 @@ def pca_features(spark, sf):
     return pca.pca_transform(filled, K, features)
 
 
+@query("pca_two_features", f"""WITH {TRAIN}, s AS (
+  SELECT series_id, avg(qty) AS mq, stddev_pop(qty) AS sq, avg(price) AS mp, stddev_pop(price) AS spr, corr(qty, price) AS r
+  FROM sp WHERE split = 'train' GROUP BY 1)
+  SELECT series_id, ds, split, CASE WHEN (1 + abs(r)) / 2 > 0.95::DOUBLE THEN 1 ELSE 2 END AS n_components,
+         round(((qty - mq) / sq + (price - mp) / spr) / sqrt(2.0::DOUBLE), 5) AS "PC0" FROM sp JOIN s USING (series_id)""")
+def pca_two_features(spark, sf):
+    """Two positively related features have the components sum and difference."""
+    out = pca.pca_transform(supply_train(spark, sf), K, ["qty", "price"])
+    return rounded(out.drop("PC1"), 5)
+
+
 # grids ----------------------------------------------------------------------------------------------
 
 # A small grid of runs, in list order.
