@@ -35,7 +35,6 @@ class ArimaConfig:
     seasonal_d: int = 0
     seasonal_q: int = 0
     season: int = 7
-    intercept: bool = True
     transf: str | None = None
 
     def lags(self, short: int, long: int) -> list[int]:

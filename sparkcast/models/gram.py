@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,24 @@ def running_gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str], pos
     return out.withColumn("m", F.array(*[F.col(n) for n in terms])).drop(*terms)
 
 
+def carried_gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Per key and ``_chunk`` the product sums ``m`` of all earlier chunks, for many columns.
+
+    Chunk sums are added up cell by cell, so no task gathers the sums of a whole key.
+    """
+    by_chunk = gram(df, [*keys, "_chunk"], columns)
+    earlier = (Window.partitionBy(*keys, "_i").orderBy("_chunk")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    # chunks without a complete row have no sums of their own but still need those before them
+    every = df.select(*keys, "_chunk").distinct()
+    size = len(pairs(len(columns) + 1))
+    cells = every.join(by_chunk, [*keys, "_chunk"], "left").select(
+        *keys, "_chunk", F.posexplode(F.coalesce("m", F.array_repeat(F.lit(0.0), size))).alias("_i", "_v"))
+    before = cells.withColumn("_v", F.coalesce(F.sum("_v").over(earlier), F.lit(0.0)))
+    return before.groupBy(*keys, "_chunk").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda c: c["_v"]).alias("m"))
+
+
 def unpack(m: Sequence[np.ndarray], width: int) -> np.ndarray:
     """Upper triangles to symmetric matrices, stacked along the first axis."""
     flat = np.array([np.asarray(r, float) for r in m]).reshape(len(m), -1)

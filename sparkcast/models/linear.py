@@ -15,8 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcast.models.gram import centred, complete, gram, key_fields, running_gram, unpack
-from sparkcast.operators.chunks import attach
+from sparkcast.models.gram import (MAX_JVM_SUMS, carried_gram, centred, complete, gram, key_fields, pairs, running_gram,
+                                   unpack)
+from sparkcast.operators.chunks import CHUNK_ROWS, attach, chunk_index
+from sparkcast.session import cut_lineage
+
+# Rows of a chunk solved together when there are many features.
+WIDE_BATCH = 128
 
 
 @dataclass(frozen=True)
@@ -191,38 +196,64 @@ def rolling_origin(df: DataFrame, keys: Sequence[str], features: Sequence[str],
                    configs: Sequence[LinearConfig], interval: float | None = None, pos: str = "t") -> DataFrame:
     """One-step-ahead test forecasts per configuration, each by a model of all rows before it.
 
-    The running sums are computed once; every configuration only solves them. A configuration that
-    cannot be fitted has no forecasts.
+    The running sums are computed once; every configuration only solves them. With few features they
+    are window sums per row. With many, only the sums of earlier chunks are, and the rows of a chunk
+    add theirs one after the other. A configuration that cannot be fitted has no forecasts.
     """
     passed = [c for c in df.columns if c in {"ds", "fold"} - set(keys)]
-    rows = running_gram(df.select(*keys, pos, "split", *passed, *features, y), keys, [*features, y], pos)
-    ready = rows.filter((F.col("split") == "test") & complete(features))
-    kept = [f for f in ready.schema.fields if f.name != "m"]
+    rows = df.select(*keys, pos, "split", *passed, *features, y)
     extra = ["prediction"] + (["lower_conf", "upper_conf", "variance"] if interval is not None else [])
-    schema = T.StructType([*kept, T.StructField("cfg_id", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in extra]])
-    width, grid = len(features) + 2, list(configs)
-
-    def forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
+    schema = T.StructType([*rows.schema.fields, T.StructField("cfg_id", T.IntegerType()),
+                           *[T.StructField(c, T.DoubleType()) for c in extra]])
+    order = [f.name for f in schema.fields]
+    used, width, grid = [*features, y], len(features) + 2, list(configs)
+
+    def forecasts(pdf: pd.DataFrame, g: np.ndarray) -> list[pd.DataFrame]:
+        x, done = pdf[list(features)].to_numpy(float), []
+        for cfg in grid:
+            try:
+                w, b, mx, cov, noise = solve(g, cfg)
+            except (ValueError, np.linalg.LinAlgError):
                 continue
-            g, x = unpack(pdf["m"], width), pdf[list(features)].to_numpy(float)
-            for cfg in grid:
-                try:
-                    w, b, mx, cov, noise = solve(g, cfg)
-                except (ValueError, np.linalg.LinAlgError):
-                    continue
-                out = pdf.drop(columns="m")
-                out["cfg_id"] = cfg.cfg_id
-                out["prediction"] = b + np.einsum("ni,ni->n", w, x)
-                if interval is not None:
-                    var = np.einsum("ni,nij,nj->n", x - mx, cov, x - mx) + noise
-                    out["variance"] = var
-                    out["lower_conf"] = out["prediction"] - interval * np.sqrt(var)
-                    out["upper_conf"] = out["prediction"] + interval * np.sqrt(var)
-                yield out[[f.name for f in schema.fields]]
-
-    return ready.mapInPandas(forecast, schema)
+            out = pdf.copy()
+            out["cfg_id"] = cfg.cfg_id
+            out["prediction"] = b + np.einsum("ni,ni->n", w, x)
+            if interval is not None:
+                out["variance"] = np.einsum("ni,nij,nj->n", x - mx, cov, x - mx) + noise
+                half = interval * np.sqrt(out["variance"])
+                out["lower_conf"], out["upper_conf"] = out["prediction"] - half, out["prediction"] + half
+            done.append(out[order])
+        return done
+
+    def from_running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield from forecasts(pdf.drop(columns="m"), unpack(pdf["m"], width))
+
+    def from_chunk(part: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop(columns="_chunk").sort_values(pos).reset_index(drop=True)
+        z = np.column_stack([np.ones(len(part)), part[used].to_numpy(float)])
+        whole = np.isfinite(z).all(axis=1)
+        ready = np.isfinite(z[:, :-1]).all(axis=1) & (part["split"] == "test").to_numpy()
+        g, done = unpack(carried["m"], width)[0], []
+        for start in range(0, len(part), WIDE_BATCH):
+            stop = min(start + WIDE_BATCH, len(part))
+            seen = np.where(whole[start:stop, None], z[start:stop], 0.0)
+            steps = np.cumsum(seen[:, :, None] * seen[:, None, :], axis=0)
+            before = g + np.concatenate([np.zeros((1, width, width)), steps[:-1]])
+            test = ready[start:stop]
+            if test.any():
+                done += forecasts(part.iloc[start:stop][test], before[test])
+            g = g + steps[-1]
+        return pd.concat(done, ignore_index=True) if done else pd.DataFrame(columns=order)
+
+    if len(pairs(width)) <= MAX_JVM_SUMS:
+        running = running_gram(rows, keys, used, pos)
+        return running.filter((F.col("split") == "test") & complete(features)).mapInPandas(from_running, schema)
+    chunked = rows.withColumn("_chunk", chunk_index(pos, CHUNK_ROWS))
+    carried = cut_lineage(carried_gram(chunked, keys, used))
+    by = [*keys, "_chunk"]
+    return chunked.groupBy(*by).cogroup(carried.groupBy(*by)).applyInPandas(from_chunk, schema)
 
 
 def grid_of(method: str, values: Mapping[str, Sequence]) -> list[LinearConfig]:

@@ -57,6 +57,20 @@ def test_rolling_origin_over_chunks(spark, monkeypatch):
     close(collected(linear.rolling_origin(*args), "t")["prediction"], whole["prediction"], 1e-8)
 
 
+def test_rolling_origin_with_many_features(spark, monkeypatch):
+    x, y, df = regression(spark)
+    df = df.withColumn("x1", F.when(F.col("t").isin(5, 95), None).otherwise(F.col("x1")))
+    df = df.withColumn("y", F.when(F.col("t") == 100, None).otherwise(F.col("y")))
+    args = (df, K, ["x0", "x1", "x2"], "y", linear.grid_of("ridge", {"alpha": [0.5, 5.0]}))
+    narrow = collected(linear.rolling_origin(*args).orderBy("cfg_id"), "t")
+    for name, value in (("MAX_JVM_SUMS", 1), ("CHUNK_ROWS", 16), ("WIDE_BATCH", 5)):
+        monkeypatch.setattr(linear, name, value)
+    wide = collected(linear.rolling_origin(*args).orderBy("cfg_id"), "t")
+    assert len(wide) == 2 * 29
+    a = narrow.sort_values(["cfg_id", "t"])["prediction"]
+    close(wide.sort_values(["cfg_id", "t"])["prediction"], a, 1e-7)
+
+
 @pytest.mark.parametrize("alpha, share", [(0.1, 1.0), (0.1, 0.3), (1.5, 0.7)])
 def test_elastic_net_meets_its_optimality_conditions(spark, alpha, share):
     x, y, df = regression(spark)

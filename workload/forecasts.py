@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from sparkcast.models import arima, evaluate, gp, linear, smoothing, trees
 from sparkcast.operators import lags, metrics
 from sparkcast.operators.split import split
-from sparkcast.plans import experiment, prepare
+from sparkcast.plans import experiment
 from sparkcast.sources.series import RunParameters, SeriesConfig
-from workload.frames import DAILY, HOLIDAYS, K, daily, rounded, with_holidays
+from workload.frames import DAILY, K, daily, rounded, with_holidays
 from workload.registry import query
 from workload.windows import MAPE, RMSE, SMAPE, W, day
 
@@ -320,3 +318,26 @@ fold_err AS (""" + error_sql("cvp", "series_id, fold") + ")"
 def cv_scores_fixed(spark, sf):
     train = model_rows(spark, sf).filter(F.col("split") == "train")
     return rounded(experiment.cross_validate(train, K, ["x7"], "y", linear.LinearConfig("ridge"), one_step=False), 5)
+
+
+SHOP = SeriesConfig("revenue", "shop", 28, ("revenue",), ("revenue",))
+SCHOOL = {"school_holiday": ["no", "osterferien", "sommerferien"]}
+
+
+@query("optimization_run")
+def optimization_run(spark, sf):
+    """Two ways to prepare the data, two penalties, refits before every test day."""
+    rows = with_holidays(daily(spark, sf))
+    out = experiment.optimize_linear(rows, K, SHOP, RunParameters.of(SHOP, 0.8), linear.grid_of("ridge", {"alpha": [1.0, 100.0]}),
+                                     reductions=(None, "pca"), categories=SCHOOL)
+    return rounded(out, 3)
+
+
+@query("smoothing_run")
+def smoothing_run(spark, sf):
+    """Smoothing configurations side by side, one of which cannot work."""
+    rows = model_rows(spark, sf)
+    runs = {i: (lambda frame, c=c: smoothing.smoothing_forecast(frame, K, "y", c)) for i, c in enumerate([
+        smoothing.SmoothingConfig(), smoothing.SmoothingConfig("add", True, "add", 7)])}
+    runs[2] = lambda frame: smoothing.smoothing_forecast(frame, K, "unheard_of", smoothing.SmoothingConfig())
+    return rounded(experiment.run_models(rows, K, "y", 7, runs))
