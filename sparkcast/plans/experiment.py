@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcast.models import linear
-from sparkcast.models.pca import pca_transform
 from sparkcast.models.evaluate import BASELINES, baseline_predictions, evaluate, leaderboard
 from sparkcast.models.gram import complete
-from sparkcast.operators.metrics import cv_summary, mean_over_folds, score
+from sparkcast.models.pca import pca_transform
 from sparkcast.operators.clean import numeric_columns
+from sparkcast.operators.metrics import cv_summary, mean_over_folds, score
 from sparkcast.operators.split import shuffle_cv, timeseries_cv
 from sparkcast.plans.prepare import prepare_dataset
 from sparkcast.session import cut_lineage
@@ -26,9 +26,10 @@ FAILURE = "Failure"
 
 
 def linear_predictions(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str,
-                       configs: Sequence[linear.LinearConfig], one_step: bool = True) -> DataFrame:
+                       configs: Sequence[linear.LinearConfig], one_step: bool = True,
+                       models: DataFrame | None = None) -> DataFrame:
     """Long ``(keys, t, cfg_id, split, actual, prediction)``: in-sample for train, forecasts for test."""
-    models = linear.fit(df, keys, features, y, configs)
+    models = linear.fit(df, keys, features, y, configs) if models is None else models
     scored = linear.predict(df.filter(complete(features)), models, keys, features)
     columns = [*keys, "t", "cfg_id", "split", F.col(y).alias("actual"), "prediction"]
     if not one_step:
@@ -43,11 +44,12 @@ def run_linear(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: s
 
     A failed configuration has NULL errors and the dataset name ``Failure``.
     """
-    predictions = linear_predictions(df, keys, features, y, configs, one_step)
+    models = cut_lineage(linear.fit(df, keys, features, y, configs))
+    predictions = linear_predictions(df, keys, features, y, configs, one_step, models)
     own = evaluate(predictions.withColumn("model", F.lit("")), [*keys, "cfg_id"])
     mine = leaderboard(own, [*keys, "cfg_id"], [""])
     theirs = leaderboard(evaluate(baseline_predictions(df, keys, y, season), keys), keys, BASELINES)
-    status = linear.fit(df, keys, features, y, configs).select(*keys, "cfg_id", "status")
+    status = models.select(*keys, "cfg_id", "status")
     failed = F.col("status") != "ok"
     errors = [c for c in [*mine.columns, *theirs.columns] if c not in (*keys, "cfg_id")]
     out = status.join(mine, [*keys, "cfg_id"], "left").join(theirs, list(keys), "left")
@@ -133,6 +135,7 @@ def optimize_linear(df: DataFrame, keys: Sequence[str], config: SeriesConfig, pa
                 # components a fold does not need are constant
                 rows = rows.withColumns({c: F.when(F.col("n_components").isNotNull(), F.coalesce(c, F.lit(0.0)))
                                          for c in features})
+                rows = cut_lineage(rows)
             rows = rows.withColumns({c: F.col(c).cast("double") for c in features})
             scores = run_linear(rows, by, features, config.target, params.seasonal_periods, configs, one_step)
             over = results_over_folds(scores, [*keys, "cfg_id"])
