@@ -18,7 +18,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     """Linearly interpolated quantiles: one row ``(keys, column, n, q array)`` per key and column.
 
     Equal values are counted together first. A sketch then only proposes where to cut the values of a
-    key into slices; ranks come from exact counts, so no task holds a whole key and the result does
+    key into ``slices``, a power of two; ranks come from exact counts, so no task holds a whole key and the result does
     not depend on the sketch. The cuts are checkpointed: a repeated task must see the same ones.
     """
     ids = [*keys, "column"]
@@ -28,8 +28,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = cut_lineage(counts.groupBy(*ids).agg(
         F.percentile_approx("value", steps, F.lit(1000)).alias("_cuts"), F.sum("_c").alias("n")))
-    sliced = attach(counts, cuts, ids).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col("value")))).drop("_cuts")
+    sliced = attach(counts, cuts, ids).withColumn("_slice", F.lit(0))
+    step = slices // 2
+    while step:  # bisection: the number of cuts below the value
+        below = F.get("_cuts", F.col("_slice") + F.lit(step - 1)) < F.col("value")
+        sliced = sliced.withColumn("_slice", F.col("_slice") + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    sliced = sliced.drop("_cuts")
     per_slice = sliced.groupBy(*ids, "_slice").agg(F.sum("_c").alias("_in"))
     before = Window.partitionBy(*ids).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(*ids, "_slice", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
