@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkcast.llm.skew import loose
 from sparkcast.llm.words import word_blocks
 from sparkcast.session import cut_lineage
 
@@ -187,7 +188,7 @@ def _result_rows(window: int):
 
 
 def _repeated(values: DataFrame, name: str) -> DataFrame:
-    return values.groupBy(name).count().where("count > 1").select(name)
+    return loose(values.groupBy(name).count().where("count > 1"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
