@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcast.llm import bpe, simhash, substrings
+from sparkcast.llm import bpe, pii, quality, simhash, substrings
 from sparkcast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,45 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+
+
+@query("op3_quality_rules", rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\x0c\r]')) AS lines FROM d),
+g AS (SELECT doc_id, i, array_to_string(words[i + 1:i + 8], ' ') AS gram
+      FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 7, 0))) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + 8)) AS p
+        FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, len(lines) AS n_lines,
+         CAST(length(regexp_replace(t, '[ \t\n\x0b\x0c\r]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         length(t) - length(replace(t, '!', '')) AS shouts,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         len(list_filter(words, lambda x: lower(x) IN ({_STOPS}))) AS stops,
+         len(list_filter(lines, lambda x: suffix(x, '...') OR suffix(x, '…'))) AS ellipses,
+         len(list_filter(lines, lambda x: prefix(x, '- ') OR prefix(x, '* ') OR prefix(x, '• '))) AS bullets
+  FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.5 AND shouts / n_words <= 0.4
+       AND stops / n_words >= 0.04 AND n_dup_lines / n_lines <= 0.5 AND ellipses / n_lines <= 0.5
+       AND bullets / n_lines <= 0.9 AS kept FROM b""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+                        pii.written(F.col("spans")).alias("spans"))
