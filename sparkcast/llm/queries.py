@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcast.llm import bpe, pii, quality, simhash, substrings
+from sparkcast.llm import bpe, pii, quality, simhash, substrings, toxicity
 from sparkcast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
                         pii.written(F.col("spans")).alias("spans"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).withColumn("severity", F.round("severity", 9))
