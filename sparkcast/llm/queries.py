@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcast.llm import bpe, pii, quality, simhash, substrings, toxicity
+from sparkcast.llm import bpe, lines, pii, quality, simhash, substrings, toxicity
 from sparkcast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.grade(docs, model).withColumn("severity", F.round("severity", 9))
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_duplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+                        F.sha2("text", 256).alias("kept_sha256"))
