@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcast.llm import bpe, lines, pii, quality, simhash, substrings, toxicity
+from sparkcast.llm import bpe, lines, mixing, pii, quality, simhash, substrings, toxicity
 from sparkcast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.without_duplicate_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
                         F.sha2("text", 256).alias("kept_sha256"))
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """The labelled table of the mixing queries: toxic, curated (good quality) or raw."""
+    return labels.select("doc_id", F.when(F.col("toxic") > 0, "toxic").when(F.col("quality") > 0, "curated")
+                         .otherwise("raw").alias("domain"))
+
+
+@query("op4_source_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = {"curated": 0.85, "raw": 0.10, "toxic": 0.05}
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), weights)
+    shares = [F.round(F.col("_posterior")[i], 9).alias(f"p_{d}") for i, d in enumerate(weights)]
+    return mixed.select("doc_id", F.col("_tokens").alias("n_tokens"), *shares, F.round("_rate", 9).alias("rate"),
+                        F.col("_copies").alias("copies"))
