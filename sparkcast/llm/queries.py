@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcast.llm import bpe, lines, mixing, pii, quality, simhash, substrings, toxicity
+from sparkcast.llm import bpe, chat, hamming, lines, mixing, pii, quality, simhash, substrings, toxicity
 from sparkcast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -123,3 +123,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = [F.round(F.col("_posterior")[i], 9).alias(f"p_{d}") for i, d in enumerate(weights)]
     return mixed.select("doc_id", F.col("_tokens").alias("n_tokens"), *shares, F.round("_rate", 9).alias("rate"),
                         F.col("_copies").alias("copies"))
+
+
+@query("op5_exact_top_k", """
+WITH bits AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS id,
+                 CAST(len(list_filter(range(1, 65), lambda i: q.b[i] <> e.b[i])) AS INTEGER) AS distance
+          FROM bits q, bits e WHERE q.vec_id % 20 = 0)
+SELECT query_id, id, distance, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs) WHERE rank <= 10""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.nearest(rows, rows.where("vec_id % 20 = 0"), k=10)
+
+
+@query("op10_chat_format")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.repair(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "step", "action", "role", "cost", F.sha2("rendered", 256).alias("rendered_sha256"))
