@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
+BATCH = 1000  # rows encoded before they are handed on
 CHUNK = 1 << 16
 _LAST = 256  # symbols from here on end a word
 _NEVER = 1 << 62
@@ -33,18 +35,6 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def _unassigned() -> str:
-    """Code points that this Python doesn't know: newer letters and digits, on which libraries differ by their age."""
-    ranges: list[list[int]] = []
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if ranges and ranges[-1][1] == c - 1:
-                ranges[-1][1] = c
-            else:
-                ranges.append([c, c])
-    return "[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges) + "]"
-
-
 class WordBpe:
     """A vocabulary of lower-case words that end in a suffix, read from a tokenizer file."""
 
@@ -55,10 +45,12 @@ class WordBpe:
         suffix, symbols = model["end_of_word_suffix"], _byte_symbols()
         self.path = path
         self.library: Tokenizer | None = None
-        self.unknown = regex.compile(_unassigned()).search
+        self.assigned: set[str] = set()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         patterns = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.pieces = regex.compile(patterns[0].replace(r"\s", _SPACE), regex.V0).findall
+        # Runs of letters first: no other alternative begins with a letter, and most pieces are such runs.
+        ways = sorted(patterns[0].replace(r"\s", _SPACE).split("|"), key=lambda way: way != r"[\p{L}]+")
+        self.pieces = regex.compile("|".join(ways), regex.V0).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
 
         def plain(token: str) -> str:
@@ -104,34 +96,35 @@ class WordBpe:
             token = parts[side]
 
     def fits(self, left: int, right: int) -> bool:
-        known = self.compatible.get((left, right))
-        if known is None:
-            known = not any(
-                m is not None and m < a_taken and m <= b_taken
-                for a, a_taken in self._edge(left, 1) for b, b_taken in self._edge(right, 0)
-                for m in (self.rank.get((a, b)),))
-            if len(self.compatible) >= 5 * CACHED_WORDS:
-                self.compatible.clear()
-            self.compatible[left, right] = known
-        return known
+        """Whether no merge across the border of the two comes before those that made them; kept in the table."""
+        fits = not any(
+            m is not None and m < a_taken and m <= b_taken
+            for a, a_taken in self._edge(left, 1) for b, b_taken in self._edge(right, 0)
+            for m in (self.rank.get((a, b)),))
+        if len(self.compatible) >= 5 * CACHED_WORDS:
+            self.compatible.clear()
+        self.compatible[left, right] = fits
+        return fits
 
     def word(self, symbols: str) -> list[int]:
         """The tokens of one word, given as symbols of which the last ends the word."""
-        n = len(symbols)
+        n, length, shorter, known = len(symbols), self.length, self.shorter, self.compatible
         longest: list[int | None] = [None] * n
-        for end, token in self.find.iter(symbols):
-            at = end - self.length[token] + 1
-            if longest[at] is None or self.length[longest[at]] < self.length[token]:
-                longest[at] = token
+        for end, token in self.find.iter(symbols):  # in the order of the ends, so the last match of a start is its longest
+            longest[end + 1 - length[token]] = token
         dead = bytearray(n + 1)
         tokens: list[int] = []
         at, token = 0, longest[0]
         while at < n:
             while token is not None:
-                end = at + self.length[token]
-                if not dead[end] and (not tokens or self.fits(tokens[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + length[token]
+                if not dead[end]:
+                    if not tokens:
+                        break
+                    fits = known.get((tokens[-1], token))
+                    if self.fits(tokens[-1], token) if fits is None else fits:
+                        break
+                token = shorter[token]
             if token is not None:
                 tokens.append(token)
                 at = end
@@ -139,20 +132,28 @@ class WordBpe:
             else:
                 dead[at] = 1
                 last = tokens.pop()
-                at -= self.length[last]
-                token = self.shorter[last]
+                at -= length[last]
+                token = shorter[last]
         return tokens
 
     def _packed(self, piece: str) -> bytes:
         raw = piece.encode()
-        tokens = self.word(raw[:-1].decode("latin-1") + chr(raw[-1] + _LAST))
+        symbols = raw[:-1].decode("latin-1") + chr(raw[-1] + _LAST)
+        whole = self.ids.get(symbols)
+        tokens = self.word(symbols) if whole is None else [whole]
         if len(self.words) >= CACHED_WORDS:
             self.words.clear()
-        packed = self.words[piece] = np.array(tokens, "<u4").tobytes()
+        packed = self.words[piece] = pack(f"<{len(tokens)}I", *tokens)
         return packed
 
+    def _known(self, text: str) -> bool:
+        """Whether this Python knows all characters. On newer letters and digits libraries differ by their age."""
+        fresh = set(text) - self.assigned
+        self.assigned.update(c for c in fresh if unicodedata.category(c) != "Cn")
+        return fresh <= self.assigned
+
     def _pieces(self, text: str) -> list[str]:
-        if text.isascii() or not self.unknown(text):
+        if text.isascii() or self._known(text):
             # Lower case goes character by character: no special form of sigma at the end of a word.
             return self.pieces(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         self.library = self.library or Tokenizer.from_file(self.path)
@@ -161,12 +162,12 @@ class WordBpe:
 
     def encode(self, text: str | None) -> bytes:
         """Token ids of a text as little-endian unsigned 32-bit integers."""
-        out, get, pack = [], self.words.get, self._packed
+        out, get, make = [], self.words.get, self._packed
         for i, part in enumerate(self.split(text or "")):
             if i % 2:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
-            out += [get(p) or pack(p) for p in self._pieces(part)]
+            out += [get(p) or make(p) for p in self._pieces(part)]
         return b"".join(out)
 
     def decode(self, packed: bytes) -> str:
@@ -217,3 +218,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: ``(doc_id, n_tokens, ids, decoded)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                found = [bpe.encode(t.as_py()) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary()),
+                     pa.array(map(bpe.decode, found), pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        run, "doc_id long, n_tokens long, ids binary, decoded string")

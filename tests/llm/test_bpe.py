@@ -42,4 +42,5 @@ def test_frames(spark, reference):
     want = [(d, (e := reference.encode(t or "", add_special_tokens=False)).__len__(), reference.decode(e.ids, skip_special_tokens=False))
             for d, t, _ in rows]
     assert sorted(((r.doc_id, r.n_tokens, r.decoded) for r in got), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, bpe.round_trip(docs, PATH).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).collect() == []
