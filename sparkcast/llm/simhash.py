@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkcast.llm.components import EDGES, Links, components
+from sparkcast.llm.skew import loose
 from sparkcast.llm.words import word_blocks
 from sparkcast.session import cut_lineage
 
@@ -26,7 +28,7 @@ def _bit_counts(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     """Signed 64-bit SimHash of the word shingles of a text, A-Z in lower case.
 
     Fewer words than ``shingle``: the whole sequence is the one shingle. NULL or no words: zero.
@@ -41,13 +43,13 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate([[0], ends[:-shingle]])
         cuts = zip(starts.tolist(), (ends[shingle - 1:] - 1).tolist())
-        hashes = list(map(xxhash.xxh64_intdigest, [joined[i:j] for i, j in cuts], repeat(SEED)))
+        hashes = list(map(xxhash.xxh64_intdigest, [joined[i:j] for i, j in cuts], repeat(seed)))
         counts += _bit_counts(hashes)
         total += len(hashes)
     if not total:
         if not tail:
             return 0
-        counts, total = _bit_counts([xxhash.xxh64_intdigest(b" ".join(tail), SEED)]), 1
+        counts, total = _bit_counts([xxhash.xxh64_intdigest(b" ".join(tail), seed)]), 1
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.int64)[0])
 
 
@@ -79,12 +81,12 @@ def _steps(radius: int, segments: int) -> list[int]:
     return [sum(x << 8 * i for i, x in enumerate(s)) for s in near if s >= (0,) * segments]
 
 
-def tiles(points: DataFrame, segments: int, tile: int = TILE) -> DataFrame:
-    """``(cell, block, fps)``: distinct fingerprints packed by population counts into blocks of about ``tile``."""
+def tiles(points: DataFrame, segments: int, tile: int = TILE, packed: Column | None = None) -> DataFrame:
+    """``(cell, block, fps)``: rows of ``points`` (or ``packed`` of them) packed by population counts into blocks of about ``tile``."""
     celled = points.withColumn("cell", _cell(F.col("fp"), segments))
     blocks = celled.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("blocks"))
-    placed = celled.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    return placed.groupBy("cell", "block").agg(F.collect_list("fp").alias("fps"))
+    placed = celled.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64(*points.columns), F.col("blocks")))
+    return placed.groupBy("cell", "block").agg(F.collect_list(F.col("fp") if packed is None else packed).alias("fps"))
 
 
 def _compare(radius: int):
@@ -104,16 +106,17 @@ def _compare(radius: int):
     return run
 
 
-def tile_pairs(points: DataFrame, radius: int, segments: int, salts: int = 1, tile: int = TILE) -> DataFrame:
+def tile_pairs(points: DataFrame, radius: int, segments: int, salts: int = 1, tile: int = TILE,
+               packed: Column | None = None) -> DataFrame:
     """``(fps, others)``: every pair of tiles whose population counts allow a distance within the radius, once."""
-    packed = cut_lineage(tiles(points, segments, tile).withColumn("salt", F.pmod("block", F.lit(salts))))
+    whole = cut_lineage(tiles(points, segments, tile, packed).withColumn("salt", F.pmod("block", F.lit(salts))))
     steps = F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(radius, segments)])).alias("step")
-    left = packed.select("cell", "block", "fps", steps).withColumn("key", F.col("cell") + F.col("step"))
+    left = whole.select("cell", "block", "fps", steps).withColumn("key", F.col("cell") + F.col("step"))
     if salts > 1:
         left = left.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     else:
         left = left.withColumn("salt", F.lit(0).cast("long"))
-    right = packed.select(F.col("cell").alias("key"), "salt", F.col("block").alias("other"), F.col("fps").alias("others"))
+    right = whole.select(F.col("cell").alias("key"), "salt", F.col("block").alias("other"), F.col("fps").alias("others"))
     met = left.join(right, ["key", "salt"]).where((F.col("step") != 0) | (F.col("other") >= F.col("block")))
     return met.select("fps", "others")
 
@@ -139,3 +142,106 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = rooted.join(named, "root").select("fp", "component_id")
     return known.join(member, "fp").select("doc_id", "fp", "component_id")
+
+
+# Whole texts that are similar: two fingerprints each, so that random pairs hardly ever meet, and an exact comparison.
+SIMILAR = 0.8
+FIRST, BOTH = 20, 26  # bits that the first fingerprints, and both together, may differ in
+SECOND_SEED = 43
+
+
+def _shingles(text: str | None, shingle: int) -> set[bytes]:
+    words = (text or "").encode().lower().split()
+    if not words:
+        return set()
+    return {b" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+
+def similarity(a: str | None, b: str | None, shingle: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; texts without words are equal to each other."""
+    x, y = _shingles(a, shingle), _shingles(b, shingle)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
+
+
+def _double(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array([fingerprint(t, shingle, s) for t in texts], pa.int64()) for s in (SEED, SECOND_SEED))],
+                ["w", "doc_id", "fp", "fp2"])
+
+    return run
+
+
+def _compare_both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = Links()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            left, right = (batch.column(c)[i].values for c in (0, 1))
+            (wx, x, x2), (wy, y, y2) = ([np.asarray(part.field(n)).view(np.uint64) for n in ("w", "fp", "fp2")] for part in (left, right))
+            for at in range(0, len(x), _ROWS):
+                near = np.bitwise_count(x[at:at + _ROWS, None] ^ y[None, :])
+                p, q = np.nonzero(near <= FIRST)
+                both = near[p, q] + np.bitwise_count(x2[at + p] ^ y2[q]) <= BOTH
+                a, b = wx[at + p[both]].view(np.int64), wy[q[both]].view(np.int64)
+                yield from links.add(a[a != b], b[a != b])
+    yield from links.flush()
+
+
+def _alike(similar: float, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            found = pa.array([similarity(x, y, shingle) >= similar for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], found], ["component", "w", "alike"])
+
+    return run
+
+
+def copies_of_earlier(texts: DataFrame, similar: float = SIMILAR, shingle: int = 5) -> DataFrame:
+    """``(w)`` of the texts that are similar to one that stays; ``texts`` has ``w`` (number of the text), ``doc_id`` and ``text``.
+
+    Texts whose fingerprints are close form components. In each the text with the smallest id stays and takes the similar
+    ones away; what is left of the component goes on likewise, until nothing is. So a text only goes for one that stays.
+    """
+    known = texts.mapInArrow(_double(shingle), "w long, doc_id long, fp long, fp2 long")
+    points = cut_lineage(known.groupBy("w").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")))
+    pairs = tile_pairs(points.select("w", "fp", "fp2"), FIRST, segments=1, salts=8, packed=F.struct("w", "fp", "fp2"))
+    found = components(pairs.mapInArrow(_compare_both, EDGES))
+    every = found.select("component", F.col("node").alias("w")).unionByName(
+        found.select("component", F.col("component").alias("w")).distinct())
+    late = F.col("doc_id").isNull()
+    left = cut_lineage(every.join(points, "w").select("component", "w", F.struct(late.alias("late"), "doc_id", "w").alias("place")))
+    held = cut_lineage(texts.select("w", "text").join(loose(left.select("w", "component")), "w").groupBy("w").agg(F.first("text").alias("text")))
+    gone = []
+    while not left.isEmpty():
+        heads = left.groupBy("component").agg(F.min("place").alias("head")).select("component", F.col("head.w").alias("head"))
+        heads = heads.join(held.toDF("head", "head_text"), "head")
+        judged = left.join(loose(heads), "component").where("w != head").join(held, "w").select("component", "w", "text", "head_text")
+        judged = cut_lineage(judged.mapInArrow(_alike(similar, shingle), "component long, w long, alike boolean"))
+        gone.append(judged.where("alike").select("w"))
+        left = cut_lineage(left.join(judged.where("NOT alike").select("w"), "w", "left_semi"))
+    if not gone:
+        return points.select("w").limit(0)
+    whole = gone[0]
+    for part in gone[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def first_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which no equal or similar one with a smaller id (NULL last) stays.
+
+    Of rows with equal texts one stays, repeated rows too. Texts are similar when their word shingles have at least the Jaccard
+    similarity given; pairs at 0.8 are found with 96 %, at 0.9 with more than 99.9 % probability, and none is removed that isn't similar to
+    one that stays. A NULL text counts as empty, texts without words are equal. An empty table gives an empty result. Equal
+    texts are told by a 64-bit hash. Runs jobs when called.
+    """
+    plain = docs.withColumn("_w", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    place = F.row_number().over(W.partitionBy("_w").orderBy(F.col(doc_id).asc_nulls_last()))
+    single = plain.withColumn("_place", place).where("_place <= 1")
+    texts = plain.select(F.col("_w").alias("w"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    gone = cut_lineage(copies_of_earlier(texts, similar, shingle))
+    return single.join(gone.withColumnRenamed("w", "_w"), "_w", "left_anti").select(*docs.columns)

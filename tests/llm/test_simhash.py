@@ -102,3 +102,31 @@ def test_components(spark):
     want = {x: top(x) for x in root if top(x) != x}
     frame = spark.createDataFrame(links, "x long, y long").repartition(5)
     assert {r.node: r.component for r in components(frame).collect()} == want
+
+
+def test_first_of_similar(spark):
+    rng = random.Random(8)
+    rows, want = [(900, None, "x"), (901, "", "x"), (902, " \n", "x")], {900}
+    for g in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        want.add(10 * g)
+        for j in range(rng.choice([1, 3, 5])):
+            copy = list(words)
+            for _ in range(min(j, 3)):
+                copy[rng.randrange(300)] = "other"
+            rows.append((10 * g + j, " ".join(copy), "x"))
+    rows += [(0, rows[3][1], "x"), (950, rows[3][1].upper(), "x"), (None, rows[3][1], "x"), (903, "a text of its own", "x"), (904, "a b", "x"), (905, "A b", "x")]
+    want |= {903, 904}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, w string").repartition(4)
+    got = simhash.first_of_similar(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(want)
+    assert simhash.first_of_similar(docs.limit(0)).collect() == []
+
+
+def test_chain_keeps_what_is_not_similar(spark):
+    words = [f"v{i}" for i in range(400)]
+    docs = [(i, " ".join(words[12 * i:12 * i + 150])) for i in range(12)]
+    kept = {r.doc_id for r in simhash.first_of_similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        if i not in kept:
+            assert any(j in kept and simhash.similarity(t, u) >= 0.8 for j, u in docs)
