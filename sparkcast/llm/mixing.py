@@ -2,9 +2,10 @@
 
 A document belongs to each domain with a probability: a naive Bayes classifier on the words that tell the domains of a labelled
 table apart. With tokens ``t``, memberships ``p`` and rates ``w`` the expected totals are the sum of ``t p w``; they shall equal
-the targets ``T``. Rates start at 1 and follow projected gradient steps of the least squares between the two, weighted by
-the inverse of ``G``, the sum of ``t p p'``: ``w <- clip(w - p' G^-1 (sum(t p w) - T))``. In this metric the step size 1 is the
-inverse of the Lipschitz constant. A step is one sum over the documents; rates are folded from the few vectors of the steps.
+the targets ``T``. Rates start at 1 and follow projected gradient steps of the least squares between the two, each document's part
+of the gradient over its tokens: ``w <- clip(y - p' (sum(t p y) - T) / L)``, where ``y`` goes on from the last two rates with a
+momentum and ``L`` is the largest eigenvalue of the sum of ``t p p'``. A step is one sum over the documents; rates are folded from
+the few vectors of the steps.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ MIN_DOCS = 3
 MIN_Z = 4.0
 STEPS = 100
 FOLDED = 8  # steps after which the rates are written down
-CLOSE = 1e-6
+CLOSE = 1e-5
 _CUT = r"\s+|(?<=\p{L})(?=[^\p{L}\s])"
 
 
@@ -148,17 +149,16 @@ def match(members: DataFrame, weights: list[float], total: float | None = None,
     mix = Mixture(targets.tolist(), have.tolist(), most)
     if have.sum() == 0:
         return mix
-    inverse = np.linalg.pinv(gram)
+    size = 1 / np.linalg.eigvalsh(gram)[-1]
     held, first = members.select("tokens", "posterior", mix.start().alias("state")), 0
     at, here, pace, worst = have * (1.0 if most is None else min(1.0, most)), have, 1.0, np.inf
     for _ in range(STEPS):
         off = here - targets
-        worse = off @ inverse @ off > worst
-        worst = off @ inverse @ off
+        worse, worst = off @ off > worst, off @ off
         if np.abs(off).max() <= CLOSE * max(total, 1.0):
             break
         pace, old = (1.0, 1.0) if worse else ((1 + np.sqrt(1 + 4 * pace * pace)) / 2, pace)
-        mix.steps.append(((-inverse @ (at - targets)).tolist(), float((old - 1) / pace)))
+        mix.steps.append(((-size * (at - targets)).tolist(), float((old - 1) / pace)))
         if len(mix.steps) - first == FOLDED:
             held = cut_lineage(held.withColumn("state", mix.state(F.col("posterior"), F.col("state"), first)))
             first = len(mix.steps)

@@ -32,15 +32,15 @@ def test_totals_and_brute_force(spark):
     assert np.mean([list(weights)[k] == truth[i] for k, i in zip(p.argmax(1), got.doc_id) if i >= 400]) > 0.97
     t, w = got._tokens.to_numpy(float), got._rate.to_numpy()
     assert (t == [len(x.split()) for x in got.text]).all()
-    assert np.allclose((t * w) @ p, np.array([0.3, 0.3, 0.4]) * t.sum(), rtol=1e-4) and (w >= 0).all()
+    assert np.allclose((t * w) @ p, np.array([0.3, 0.3, 0.4]) * t.sum(), rtol=1e-3) and (w >= 0).all()
     assert abs((t * got._copies).sum() / t.sum() - 1) < 0.1 and (np.abs(got._copies - w) < 1).all()
 
 
 def plain_steps(t, p, target, most, rounds=20_000):
     """Projected gradient in numpy, to the end."""
-    inverse, w = np.linalg.pinv((p * t[:, None]).T @ p), np.ones(len(t))
+    size, w = 1 / np.linalg.eigvalsh((p * t[:, None]).T @ p)[-1], np.ones(len(t))
     for _ in range(rounds):
-        w = np.clip(w - p @ inverse @ ((t * w) @ p - target), 0, most)
+        w = np.clip(w - size * p @ ((t * w) @ p - target), 0, most)
     return w
 
 
@@ -49,13 +49,13 @@ def test_bounds_and_infeasible_targets(spark):
     p = rng.dirichlet([0.4, 0.4, 0.4], 300)
     t = rng.integers(0, 90, 300).astype(float)
     members = spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(t, p)], "tokens double, posterior array<double>").coalesce(1)
-    have, inverse = t @ p, np.linalg.pinv((p * t[:, None]).T @ p)
+    have = t @ p
     for weights, anchor, most in (([0.6, 0.3, 0.1], 0, 1.0), ([1.0, 0.0, 0.0], None, 2.0)):
         fitted = mixing.match(members, weights, anchor=anchor, most=most)
         total = have.sum() if anchor is None else have[anchor] / weights[anchor]
         target = np.array(weights) * total
         got = members.select(fitted.rate(F.col("posterior")).alias("w")).toPandas().w.to_numpy()
-        loss = lambda w: (off := (t * w) @ p - target) @ inverse @ off
+        loss = lambda w: (off := (t * w) @ p - target) @ off
         start, end = loss(np.ones(300)), loss(plain_steps(t, p, target, most))
         assert loss(got) <= end + 1e-3 * start
         assert np.allclose((t * got) @ p, fitted.expected) and (got >= 0).all() and (got <= most).all()
