@@ -120,15 +120,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not telling:
         return SeverityModel()
     at = {w: i for i, w in enumerate(telling)}
-    kept = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in telling], "word string"))
-    entries = found.join(kept, "word").select("id", "word", "n").toPandas()
-    ids = per_doc.toPandas().sort_values("id", ignore_index=True)
-    entries = entries.sort_values(["id", "word"], ignore_index=True)
-    rows = np.searchsorted(ids["id"].to_numpy(), entries["id"].to_numpy())
-    cols = entries["word"].map(at).to_numpy(np.int64)
-    counts = entries["n"].to_numpy(np.float64)
-    total = np.bincount(rows, counts, len(ids))
-    is_toxic = ids["toxic"].to_numpy() > 0
+    kept = F.broadcast(docs.sparkSession.createDataFrame(list(at.items()), "word string, at int"))
+    # Numbers only, of at most ``sample`` documents.
+    entries = found.join(kept, "word").select("id", "at", "n").orderBy("id", "at").toArrow()
+    per = per_doc.orderBy("id").toArrow()
+    rows = np.searchsorted(per["id"].to_numpy(), entries["id"].to_numpy())
+    cols, counts = entries["at"].to_numpy().astype(np.int64), entries["n"].to_numpy().astype(np.float64)
+    total = np.bincount(rows, counts, per.num_rows)
+    is_toxic = per["toxic"].to_numpy() > 0
     grades = np.where(is_toxic, 1 + sum((total >= c).astype(np.int64) for c in CUTS), 0)
     weights, thresholds = fit_ordinal(rows, cols, 1 + np.log(counts), grades, len(telling), len(CUTS) + 2)
     return SeverityModel({w: float(weights[i]) for w, i in at.items()}, thresholds.tolist())
