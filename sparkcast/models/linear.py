@@ -44,6 +44,14 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.solve(a + 1e-12 * np.eye(a.shape[-1]), b[..., None])[..., 0]
 
 
+def _check_independent(sxx: np.ndarray) -> None:
+    """Without a penalty, features that depend on each other have no one solution."""
+    size = np.sqrt(np.maximum(np.diagonal(sxx, axis1=1, axis2=2), 0.0))
+    scale = np.where(size > 0, size, 1.0)
+    if (np.linalg.eigvalsh(sxx / (scale[:, :, None] * scale[:, None, :]))[:, 0] < 1e-10).any():
+        raise np.linalg.LinAlgError("features depend on each other")
+
+
 def _descent(sxx: np.ndarray, sxy: np.ndarray, n: np.ndarray, l1: float, l2: float, tol: float = 1e-8,
              rounds: int = 2000) -> np.ndarray:
     """Cyclic coordinate descent for all keys of a batch at once."""
@@ -102,6 +110,8 @@ def solve(g: np.ndarray, cfg: LinearConfig) -> tuple[np.ndarray, np.ndarray, np.
     d = sxy.shape[1]
     cov, noise = np.zeros_like(sxx), np.full(len(n), np.nan)
     if cfg.method == "ridge":
+        if cfg.alpha == 0 and d:
+            _check_independent(sxx)
         w = _solve(sxx + cfg.alpha * np.eye(d), sxy)
     elif cfg.method == "ols":
         w = np.stack([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(sxx, sxy)])
@@ -123,11 +133,35 @@ def solve(g: np.ndarray, cfg: LinearConfig) -> tuple[np.ndarray, np.ndarray, np.
     return w, my - np.einsum("ni,ni->n", w, mx), mx, cov, noise
 
 
+def solve_each(g: np.ndarray, cfg: LinearConfig) -> tuple[tuple[np.ndarray, ...], list[str]]:
+    """``solve`` with a status per row: what cannot be solved is empty and says why, whatever it is stacked with."""
+    try:
+        found = solve(g, cfg)
+        if all(np.isfinite(part).all() for part in found[:2]):
+            return found, ["ok"] * len(g)
+    except (ValueError, np.linalg.LinAlgError):
+        pass
+    rows, status = [], []
+    d = g.shape[1] - 2
+    empty = (np.full((1, d), np.nan), np.full(1, np.nan), np.full((1, d), np.nan), np.full((1, d, d), np.nan), np.full(1, np.nan))
+    for i in range(len(g)):
+        try:
+            one = solve(g[i:i + 1], cfg)
+            if not all(np.isfinite(part).all() for part in one[:2]):
+                raise np.linalg.LinAlgError("no finite solution")
+            rows.append(one)
+            status.append("ok")
+        except (ValueError, np.linalg.LinAlgError) as error:
+            rows.append(empty)
+            status.append(f"failed: {error}")
+    return tuple(np.concatenate(parts) for parts in zip(*rows)), status
+
+
 def fit(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str,
         configs: Sequence[LinearConfig]) -> DataFrame:
     """One model per key and configuration from the train rows.
 
-    A configuration that cannot be fitted leaves an empty model and says why; the others go on.
+    A model that cannot be fitted is empty and says why; other keys and configurations go on.
     """
     width = len(features) + 2
     grams = gram(df.filter(F.col("split") == "train"), keys, [*features, y])
@@ -142,14 +176,11 @@ def fit(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str,
 
     def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             g = unpack(pdf["m"], width)
             for cfg in grid:
-                status = "ok"
-                try:
-                    w, b, mx, cov, noise = solve(g, cfg)
-                except (ValueError, np.linalg.LinAlgError) as error:
-                    status, bad = f"failed: {error}", np.full((len(g), d), np.nan)
-                    w, b, mx, cov, noise = bad, bad[:, 0], bad, np.full((len(g), d, d), np.nan), bad[:, 0]
+                (w, b, mx, cov, noise), status = solve_each(g, cfg)
                 out = pdf[names].copy()
                 out["cfg_id"], out["intercept"], out["coef"], out["center"] = cfg.cfg_id, b, list(w), list(mx)
                 out["cov"] = list(cov.reshape(len(cov), -1))
@@ -192,13 +223,17 @@ def predict(df: DataFrame, models: DataFrame, keys: Sequence[str], features: Seq
     return out.drop("intercept", "coef", "center", "cov", "noise", "n_fit", "status")
 
 
+def _null_forecasts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in columns})
+
+
 def rolling_origin(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str,
                    configs: Sequence[LinearConfig], interval: float | None = None, pos: str = "t") -> DataFrame:
     """One-step-ahead test forecasts per configuration, each by a model of all rows before it.
 
     The running sums are computed once; every configuration only solves them. With few features they
     are window sums per row. With many, only the sums of earlier chunks are, and the rows of a chunk
-    add theirs one after the other. A configuration that cannot be fitted has no forecasts.
+    add theirs one after the other. A row whose model cannot be fitted has a NULL forecast.
     """
     passed = [c for c in df.columns if c in {"ds", "fold"} - set(keys)]
     rows = df.select(*keys, pos, "split", *passed, *features, y)
@@ -211,10 +246,7 @@ def rolling_origin(df: DataFrame, keys: Sequence[str], features: Sequence[str],
     def forecasts(pdf: pd.DataFrame, g: np.ndarray) -> list[pd.DataFrame]:
         x, done = pdf[list(features)].to_numpy(float), []
         for cfg in grid:
-            try:
-                w, b, mx, cov, noise = solve(g, cfg)
-            except (ValueError, np.linalg.LinAlgError):
-                continue
+            (w, b, mx, cov, noise), _ = solve_each(g, cfg)
             out = pdf.copy()
             out["cfg_id"] = cfg.cfg_id
             out["prediction"] = b + np.einsum("ni,ni->n", w, x)
@@ -249,11 +281,12 @@ def rolling_origin(df: DataFrame, keys: Sequence[str], features: Sequence[str],
 
     if len(pairs(width)) <= MAX_JVM_SUMS:
         running = running_gram(rows, keys, used, pos)
-        return running.filter((F.col("split") == "test") & complete(features)).mapInPandas(from_running, schema)
+        tested = running.filter((F.col("split") == "test") & complete(features))
+        return _null_forecasts(tested.mapInPandas(from_running, schema), extra)
     chunked = rows.withColumn("_chunk", chunk_index(pos, CHUNK_ROWS))
     carried = cut_lineage(carried_gram(chunked, keys, used))
     by = [*keys, "_chunk"]
-    return chunked.groupBy(*by).cogroup(carried.groupBy(*by)).applyInPandas(from_chunk, schema)
+    return _null_forecasts(chunked.groupBy(*by).cogroup(carried.groupBy(*by)).applyInPandas(from_chunk, schema), extra)
 
 
 def grid_of(method: str, values: Mapping[str, Sequence]) -> list[LinearConfig]:

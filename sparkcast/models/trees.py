@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkcast.models.gram import complete
 from sparkcast.operators.chunks import attach
+from sparkcast.session import scratch_folder
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,12 @@ def _assembled(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: s
 
 
 def fit_trees(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str, cfg: TreeConfig) -> GBTRegressionModel:
+    scratch_folder(df.sparkSession)  # every tenth tree is written there, so the lineage stays short
     rows, _ = _assembled(df, keys, features, y)
     train = rows.filter((F.col("split") == "train") & F.col(y).isNotNull())
     return GBTRegressor(featuresCol="_x", labelCol=y, stepSize=cfg.learning_rate, maxDepth=cfg.max_depth,
                         subsamplingRate=cfg.subsample, maxIter=cfg.n_estimators, minInfoGain=float(cfg.gamma),
-                        seed=cfg.seed, checkpointInterval=-1).fit(train)
+                        seed=cfg.seed, checkpointInterval=10).fit(train)
 
 
 def predict_trees(df: DataFrame, model: GBTRegressionModel, keys: Sequence[str], features: Sequence[str], y: str) -> DataFrame:

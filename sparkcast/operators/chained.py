@@ -1,7 +1,7 @@
 """Chained imputation: each column with gaps is regressed on the others, round after round.
 
 Rows without gaps never change, so their product sums are gathered once. A round only touches the rows
-with gaps, which are checkpointed between rounds.
+with gaps, which are written after each column.
 """
 
 from __future__ import annotations
@@ -98,6 +98,6 @@ def impute_iterative(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
             if max_value is not None:
                 value = F.least(value, F.lit(float(max_value)))
             holes = rows.withColumn(c, F.when(F.col(f"_gap_{c}"), F.coalesce(value, F.col(c))).otherwise(F.col(c)))
-            holes = holes.drop("_b", "_w", "_mid", "_cov", "_noise")
-        holes = cut_lineage(holes)
+            # The next column reads these rows twice: without a cut the plan would double with every column.
+            holes = cut_lineage(holes.drop("_b", "_w", "_mid", "_cov", "_noise"))
     return settled.unionByName(holes).select(*df.columns)

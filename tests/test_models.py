@@ -264,3 +264,24 @@ def test_cross_validation_columns_and_short_series(spark):
     shuffled = experiment.cross_validate(df, K, ["x0", "x2"], "y", linear.LinearConfig(alpha=0.1), shuffled=True).first()
     assert shuffled["shuf_cv_rmse_4"] is not None
     assert pd.notna(shuffled["shuf_cv_rmse_std"])
+
+
+def test_one_singular_series_leaves_the_others_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for key in ("bad", "good", "fine"):
+        for t in range(40):
+            a, b = rng.normal(), rng.normal()
+            rows.append((key, t, "train" if t < 30 else "test", a, a if key == "bad" else b, 2 * a - b + 0.01 * rng.normal()))
+    frame = spark.createDataFrame(rows, "series_id string, t long, split string, a double, b double, y double").coalesce(1)
+    configs = [linear.LinearConfig("ridge", alpha=0.0)]
+    seen = []
+    for size in ("1", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        status = {r.series_id: r.status for r in linear.fit(frame, ["series_id"], ["a", "b"], "y", configs).collect()}
+        assert status["good"] == status["fine"] == "ok" and status["bad"].startswith("failed")
+        rolled = linear.rolling_origin(frame, ["series_id"], ["a", "b"], "y", configs).toPandas()
+        assert rolled.groupby("series_id").prediction.count().to_dict() == {"bad": 0, "fine": 10, "good": 10}
+        seen.append(rolled.sort_values(["series_id", "t"]).prediction.to_numpy())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(*seen, equal_nan=True)

@@ -160,8 +160,10 @@ def drop_null_features(spark, sf):
 
 
 @query("align_actual_pred", f"""WITH {SUPPLY}
-  SELECT a.series_id, a.ds, a.qty AS actual, p.qty AS prediction, round(a.qty - p.qty, 4) AS error
-  FROM supply a JOIN supply p ON a.series_id = p.series_id AND a.ds = p.ds + 7""")
+  SELECT series_id, ds, qty AS actual, old AS prediction, round(qty - old, 4) AS error
+  FROM (SELECT *, max(qty) OVER w AS old, count(*) OVER w AS n FROM supply
+        WINDOW w AS (PARTITION BY series_id ORDER BY ds RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING))
+  WHERE n > 0""")
 def align_actual_pred(spark, sf):
     rows = supply(spark, sf)
     actual = rows.select("series_id", "ds", F.col("qty").alias("actual"))

@@ -222,18 +222,19 @@ def baseline_seas_rw(spark, sf):
 
 
 @query("baseline_naive_fixed", f"""WITH {SPLIT80}
-  SELECT s.series_id, s.ds, s.split, s.qty, CASE WHEN s.split = 'test' THEN l.qty ELSE p.qty END AS prediction
-  FROM split80 s LEFT JOIN split80 l ON l.series_id = s.series_id AND l.t = s.n_train - 1
-  LEFT JOIN split80 p ON p.series_id = s.series_id AND p.t = s.t - 1""")
+  SELECT series_id, ds, split, qty, CASE WHEN split = 'test' THEN
+           max(CASE WHEN t = n_train - 1 THEN qty END) OVER (PARTITION BY series_id) ELSE lag(qty) OVER {W} END AS prediction
+  FROM split80""")
 def baseline_naive_fixed(spark, sf):
     return baselines.naive_fixed(supply_split(spark, sf), K, "qty").select(BASE)
 
 
 @query("baseline_seas_naive_fixed", f"""WITH {SPLIT80}, season AS (
-  SELECT series_id, qty, t - (n_train - 28) AS place FROM split80 WHERE t >= n_train - 28 AND t < n_train)
-  SELECT s.series_id, s.ds, s.split, s.qty, CASE WHEN s.split = 'test' THEN l.qty ELSE p.qty END AS prediction
-  FROM split80 s LEFT JOIN season l ON l.series_id = s.series_id AND l.place = (s.t - s.n_train) % 28
-  LEFT JOIN split80 p ON p.series_id = s.series_id AND p.t = s.t - 28""")
+  SELECT series_id, list(qty ORDER BY t) AS last FROM split80 WHERE t >= n_train - 28 AND t < n_train GROUP BY series_id),
+  before AS (SELECT *, lag(qty, 28) OVER {W} AS earlier FROM split80)
+  SELECT b.series_id, b.ds, b.split, b.qty,
+         CASE WHEN b.split = 'test' THEN last[(b.t - b.n_train) % 28 + 1] ELSE earlier END AS prediction
+  FROM before b LEFT JOIN season USING (series_id)""")
 def baseline_seas_naive_fixed(spark, sf):
     return baselines.seasonal_naive_fixed(supply_split(spark, sf), K, "qty", 28).select(BASE)
 
