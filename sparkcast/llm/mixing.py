@@ -1,6 +1,6 @@
 """Rates for documents, so that expected domain totals match target weights.
 
-A document belongs to each domain with a probability: a naive Bayes classifier on the words that tell the domains of a labelled
+A document belongs to each domain with a probability: a naive Bayes classifier on the words and signs that tell the domains of a labelled
 table apart. With tokens ``t``, memberships ``p`` and rates ``w`` the expected totals are the sum of ``t p w``; they shall equal
 the targets ``T``. Rates start at 1 and follow projected gradient steps of the least squares between the two, each document's part
 of the gradient over its tokens: ``w <- clip(y - p' (sum(t p y) - T) / L)``, where ``y`` goes on from the last two rates with a
@@ -24,18 +24,20 @@ MIN_DOCS = 3
 MIN_Z = 4.0
 STEPS = 100
 FOLDED = 8  # steps after which the rates are written down
-CLOSE = 1e-5
-_CUT = r"\s+|(?<=\p{L})(?=[^\p{L}\s])"
+CLOSE = 1e-4
+_SIGNS = "#*$%&|<>!?@=+~^"
+_GAPS = " \t\n\x0b\x0c\r.,;:()[]{}\"'/\\-_"
 
 
-def _tokens(text: Column) -> Column:
-    """Different words and runs of signs of a text."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(text), _CUT), ""))
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case: what is between white space, punctuation and signs."""
+    gaps = _GAPS + _SIGNS
+    return F.array_remove(F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), gaps, " " * len(gaps)), " "), "")
 
 
-def n_words(text: Column) -> Column:
-    spaces = " \t\n\x0b\x0c\r"
-    return F.size(F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), spaces, " " * 6), " "), "")).cast("long")
+def signs_of(text: Column) -> Column:
+    """The signs that a text has, each once."""
+    return F.filter(F.array(*map(F.lit, _SIGNS)), lambda c: F.contains(F.coalesce(text, F.lit("")), c))
 
 
 @dataclass
@@ -44,18 +46,24 @@ class DomainModel:
     priors: list[float]  # logarithms
     words: dict[str, list[float]] = field(default_factory=dict)  # log odds of each domain against all
 
-    def posterior(self, text: Column) -> Column:
+    def posterior(self, words: Column, signs: Column) -> Column:
         """An array of the probabilities of the domains, by functions of the row alone."""
         start = F.array(*[F.lit(float(p)) for p in self.priors])
         scores = start
         if self.words:
             names = sorted(self.words)
             at = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.array(*[F.lit(x) for x in self.words[w]]) for w in names]))
-            held = F.array_intersect(_tokens(F.coalesce(text, F.lit(""))), F.array(*map(F.lit, names)))
+            held = F.array_distinct(F.filter(F.concat(words, signs), lambda w: w.isin(names)))
             scores = F.aggregate(held, start, lambda acc, w: F.zip_with(acc, F.element_at(at, w), lambda a, b: a + b))
         shifted = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
         return F.transform(shifted, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))[0]
 
+    def members(self, docs: DataFrame, text: str) -> DataFrame:
+        """``docs`` with ``_tokens`` (its words) and ``_posterior``."""
+        split = docs.withColumns({"_words": words_of(F.col(text)), "_signs": signs_of(F.col(text))})
+        found = split.withColumns({"_tokens": F.size("_words").cast("long"), "_posterior": self.posterior(F.col("_words"), F.col("_signs"))})
+        return found.drop("_words", "_signs")
+
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str = "doc_id", text: str = "text",
         domain: str = "domain", sample: int = SAMPLE, words: int = WORDS) -> DomainModel:
@@ -69,7 +77,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str =
              .orderBy(F.xxhash64("id"), "id").limit(sample))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     found = cut_lineage(rows.join(F.broadcast(known), "id").select(  # at most ``sample`` short rows
-        "domain", _tokens(F.coalesce("text", F.lit(""))).alias("words")))
+        "domain", F.array_distinct(F.concat(words_of(F.col("text")), signs_of(F.col("text")))).alias("words")))
     sizes = {r["domain"]: r["count"] for r in found.groupBy("domain").count().collect()}
     total, k = sum(sizes.values()), len(domains)
     priors = [float(np.log((sizes.get(d, 0) + 1) / (total + k))) for d in domains]
@@ -173,20 +181,32 @@ def match(members: DataFrame, weights: list[float], total: float | None = None,
     return mix
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text",
-        domain: str = "domain", anchor: str | None = None, most: float | None = None, seed: int = 0) -> DataFrame:
-    """``docs`` with all columns and ``_tokens``, ``_posterior`` (by the order of ``weights``), ``_rate`` and ``_copies``.
+def _rated(members: DataFrame, fitted: Mixture, doc_id: str, key: Column, seed: int) -> DataFrame:
+    draw = F.pmod(F.xxhash64(F.lit(seed), key, F.col(doc_id)), F.lit(1 << 52)) / float(1 << 52)
+    rated = members.withColumn("_rate", fitted.rate(F.col("_posterior")))
+    return rated.withColumn("_copies", F.floor(F.col("_rate") + draw).cast("long"))
+
+
+def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text",
+          domain: str = "domain", anchor: str | None = None, most: float | None = None, seed: int = 0) -> tuple[DataFrame, DomainModel, Mixture]:
+    """``(doc_id, _key, _tokens, _posterior, _rate, _copies)`` of every row of ``docs``, with the models they come from.
 
-    ``_copies`` is the rate rounded up or down by a draw from id and text, so that its mean is the rate and a repeated task
-    draws alike; rows equal in both share their draw. A NULL or empty text has no tokens and gets the rate of its prior.
-    An empty table gives an empty result. The classifier and the steps run jobs when called.
+    ``_posterior`` goes by the order of ``weights``; ``_key`` is a hash of the text. ``_copies`` is the rate rounded up or down by
+    a draw from id and text, so that its mean is the rate and a repeated task draws alike; rows equal in both share their
+    draw. A NULL or empty text has no tokens and gets the rate of its prior; other columns are not read. An empty table gives an
+    empty result. The classifier and the steps run jobs when called.
     """
     domains = list(weights)
     model = fit(docs, labelled, domains, doc_id, text, domain)
-    column = F.col(text)
-    members = cut_lineage(docs.select(n_words(column).alias("tokens"), model.posterior(column).alias("posterior")))
-    fitted = match(members, list(weights.values()), anchor=None if anchor is None else domains.index(anchor), most=most)
-    rated = docs.withColumns({"_tokens": n_words(column), "_posterior": model.posterior(column)})
-    rated = rated.withColumn("_rate", fitted.rate(F.col("_posterior")))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(text), F.col(doc_id)), F.lit(1 << 52)) / float(1 << 52)
-    return rated.withColumn("_copies", F.floor(F.col("_rate") + draw).cast("long"))
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
+    members = cut_lineage(model.members(read, "_text").drop("_text"))
+    sums = members.select(F.col("_tokens").alias("tokens"), F.col("_posterior").alias("posterior"))
+    fitted = match(sums, list(weights.values()), anchor=None if anchor is None else domains.index(anchor), most=most)
+    return _rated(members, fitted, "doc_id", F.col("_key"), seed), model, fitted
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text",
+        domain: str = "domain", anchor: str | None = None, most: float | None = None, seed: int = 0) -> DataFrame:
+    """``docs`` with all columns and ``_tokens``, ``_posterior``, ``_rate`` and ``_copies``; see ``rates``."""
+    _, model, fitted = rates(docs, labelled, weights, doc_id, text, domain, anchor, most, seed)
+    return _rated(model.members(docs, text), fitted, doc_id, F.xxhash64(text), seed)
