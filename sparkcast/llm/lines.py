@@ -25,6 +25,7 @@ from sparkcast.session import cut_lineage
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 9, 5
+APART = 10  # bits of 45 that the sketches of candidates may differ in; at similarity 0.8 more do with 0.03 % probability
 CHUNK = 1 << 16  # characters hashed at a time
 SEEN = 1 << 18  # lines a task remembers to have signed
 TABLE = 26  # the table of wanted lines has 2 ** 26 bits, 8 MB, for any number of lines
@@ -41,8 +42,8 @@ def _factors() -> np.ndarray:
     return np.array([xxhash.xxh32_intdigest(i.to_bytes(4, "little"), 7) | 1 for i in range(BANDS * ROWS)], np.uint32)
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """A row of band keys for each plain line: 64-bit hashes of their minima."""
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row for each plain line: the 64-bit hash of the minima of every band, and a sketch of one bit of each minimum."""
     padded = [s if len(s) >= SHINGLE else s.ljust(SHINGLE, "\0") for s in lines]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
@@ -54,7 +55,8 @@ def band_keys(lines: list[str]) -> np.ndarray:
     mixed = np.append(mixed, np.uint32(0))
     ends = np.cumsum(sizes)
     cuts = np.stack([ends - sizes, ends - SHINGLE + 1], axis=1).ravel()
-    keys = np.empty((len(lines), BANDS), np.uint64)
+    keys = np.empty((len(lines), BANDS + 1), np.uint64)
+    sketch = np.zeros(len(lines), np.uint64)
     factors = _factors()
     for band in range(BANDS):
         key = np.full(len(lines), _EMPTY + np.uint64(band))
@@ -62,7 +64,9 @@ def band_keys(lines: list[str]) -> np.ndarray:
             least = np.minimum.reduceat(mixed * factors[band * ROWS + row], cuts)[::2]
             key = (key ^ least) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
+            sketch = sketch << np.uint64(1) | (least * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64)
         keys[:, band] = key
+    keys[:, BANDS] = sketch
     return keys.view(np.int64)
 
 
@@ -100,14 +104,14 @@ def _numbered(text: str | None) -> Iterator[tuple[int, str, int]]:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line with its place; its band keys too, where this task hasn't met it lately."""
+    """Every line with its place; its band keys and sketch too, where this task hasn't met it lately."""
     names = ["doc_id", "k1", "k2", "line", "h", "bands"]
     seen: set[int] = set()
 
     def out(rows: list, fresh: list[int], texts: list[str]) -> pa.RecordBatch:
         bands: list = [None] * len(rows)
         if texts:
-            for at, keys in zip(fresh, band_keys(texts)):
+            for at, keys in zip(fresh, signatures(texts)):
                 bands[at] = keys
         columns = list(zip(*rows))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
@@ -136,34 +140,36 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among sorted ``(band, h)``: each with the first of its band here and with the one before. Bands that may go on
-    in other tasks are handed on by their first line."""
+    """Candidates among sorted ``(band, h, sketch)``: each with the first of its band here and with the one before, if their
+    sketches are close. Bands that may go on in other tasks are handed on by their first line."""
     first_band = band = head = last = None
     for batch in batches:
-        bands, hs = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        bands, *row = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         n = len(bands)
         if not n:
             continue
+        rows = np.stack(row, axis=1)
         starts = np.concatenate([[band is None or bands[0] != band], bands[1:] != bands[:-1]])
         run = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
-        heads = np.where(run >= 0, hs[np.maximum(run, 0)], hs[0] if head is None else head)
-        before = np.concatenate([[hs[0] if last is None else last], hs[:-1]])
+        heads = np.where((run >= 0)[:, None], rows[np.maximum(run, 0)], rows[0] if head is None else head)
+        before = np.concatenate([rows[:1] if last is None else last[None], rows[:-1]])
         inner = ~starts
-        a, b = np.concatenate([hs[inner], hs[inner]]), np.concatenate([heads[inner], before[inner]])
-        apart = a != b
-        found = np.unique(np.stack([np.maximum(a, b)[apart], np.minimum(a, b)[apart]], axis=1), axis=0)
+        a, b = np.concatenate([rows[inner], rows[inner]]), np.concatenate([heads[inner], before[inner]])
+        close = (a[:, 0] != b[:, 0]) & (np.bitwise_count(a[:, 1].view(np.uint64) ^ b[:, 1].view(np.uint64)) <= APART)
+        found = np.unique(np.sort(np.stack([a[close, 0], b[close, 0]], axis=1), axis=1), axis=0)
         if first_band is None:
             first_band = bands[0]
-            yield pa.RecordBatch.from_pydict({"band": bands[:1], "a": hs[:1], "b": hs[:1]})
-        yield pa.RecordBatch.from_pydict({"band": np.zeros(len(found), np.int64), "a": found[:, 0], "b": found[:, 1]})
-        band, head, last = bands[-1], heads[-1], hs[-1]
+            yield pa.RecordBatch.from_pydict({"band": bands[:1], "a": rows[:1, 0], "b": rows[:1, 0]})
+        yield pa.RecordBatch.from_pydict({"band": np.zeros(len(found), np.int64), "a": found[:, 1], "b": found[:, 0]})
+        band, head, last = bands[-1], heads[-1], rows[-1]
     if band is not None and band != first_band:
-        yield pa.RecordBatch.from_pydict({"band": [int(band)], "a": [int(head)], "b": [int(head)]})
+        yield pa.RecordBatch.from_pydict({"band": [int(band)], "a": [int(head[0])], "b": [int(head[0])]})
 
 
 def candidates(signed: DataFrame) -> DataFrame:
     """``(a, b)``, a > b: distinct pairs of lines that share a band; ``signed`` has ``h`` and ``bands`` (NULL: signed elsewhere)."""
-    rows = signed.where("bands IS NOT NULL").select(F.explode("bands").alias("band"), "h")
+    rows = signed.where("bands IS NOT NULL").select(
+        F.explode(F.slice("bands", 1, BANDS)).alias("band"), "h", F.element_at("bands", BANDS + 1).alias("sketch"))
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = rows.repartitionByRange(int(parts), "band", "h").sortWithinPartitions("band", "h")
     found = cut_lineage(ordered.mapInArrow(_pairs, "band long, a long, b long"))

@@ -71,8 +71,8 @@ def test_recall_of_bands():
         assert lines.are_similar(a, b, 0.8) == (lines.jaccard(a, b) >= 0.8)
         if lines.jaccard(a, b) >= 0.8:
             total += 1
-            x, y = lines.band_keys([a, b])
-            hit += bool((x == y).any())
+            x, y = lines.signatures([a, b])
+            hit += bool((x[:-1] == y[:-1]).any()) and bin(int(x[-1] ^ y[-1])).count("1") <= lines.APART
     assert total > 200 and hit >= 0.96 * total
 
 
