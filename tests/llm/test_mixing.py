@@ -66,10 +66,10 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (5, ""), (6, rows[0][1]), (6, rows[0][1]), (7, "court " * 200_000)],
                                  "doc_id long, text string")
     labelled = spark.createDataFrame([(i, d) for i, _, d in rows], "doc_id long, domain string")
-    got = mixing.mix(docs, labelled, dict.fromkeys(TELLING, 1.0))
+    got = mixing.mix(docs, labelled, {"law": 0.6, "food": 0.3, "sea": 0.1})
     assert got.count() == 125 and got.where("_rate IS NULL OR _copies < 0").count() == 0
     assert mixing.mix(docs, labelled.limit(0), {"law": 1.0, "sea": 1.0}).where("_rate = 1").count() == 125
     assert mixing.mix(docs.limit(0), labelled, {"law": 1.0, "sea": 1.0}).collect() == []
-    plain = mixing.rates(docs, labelled, dict.fromkeys(TELLING, 1.0))[0]
+    plain = mixing.rates(docs, labelled, {"law": 0.6, "food": 0.3, "sea": 0.1})[0]
     assert sorted(r[0] for r in plain.select("_copies").collect()) == sorted(r[0] for r in got.select("_copies").collect())
     assert "Python" not in got._jdf.queryExecution().toString()
