@@ -51,7 +51,8 @@ def _round(active: DataFrame, index: DataFrame, s: int) -> DataFrame:
     rows = index.select("id", "code", _segments(F.col("code")))
     apart = F.col("query").bitwiseXOR(F.col("code"))
     nearest = F.least(*[F.bit_count(_segment(apart, j)) * SEGMENTS + j for j in range(SEGMENTS)])
-    return (probes.join(rows, ["segment", "value"]).where(nearest == s * SEGMENTS + F.col("segment"))
+    # Both sides grow by their explodes, which estimates of size don't see: neither may be broadcast.
+    return (probes.join(rows.hint("merge"), ["segment", "value"]).where(nearest == s * SEGMENTS + F.col("segment"))
             .select("query", F.bit_count(apart).cast("int").alias("distance"), "id"))
 
 
