@@ -18,7 +18,7 @@ from sparkcast.llm.queries import label_domains
 from sparkcast.session import scratch_folder, ship_package
 
 #: Curated text is kept whole, low quality is thinned to its share.
-WEIGHTS = {"curated": 0.86, "raw": 0.12, "toxic": 0.02}
+WEIGHTS = {"curated": 0.985, "raw": 0.015}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
