@@ -4,8 +4,9 @@ Lines are compared in lower case with single spaces. MinHash signatures of their
 share a band are candidates, exact Jaccard similarity decides, union-find joins what is similar, and one line per component stays.
 
 With 5 rows in 9 bands a pair at similarity 0.8 is missed with 2.8 % probability, at 0.9 with 0.03 %. Lines of one band are
-sorted by band and line over all tasks, and each is paired with the first of the band in its task and with its neighbour: pairs
-grow with the lines, not with their square, and the similar lines of a band are linked by way of each other.
+sorted by band and line over all tasks, and each is paired with the first of the band in its task and with its neighbour, which
+links the similar lines of most bands by way of each other. Bands that still hold lines of several components are then compared in
+full, block by block: two lines that share a band and have close sketches are always held against each other or already linked.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcast.llm.components import components
+from sparkcast.llm.components import EDGES, Links, components
 from sparkcast.llm.skew import loose
 from sparkcast.session import cut_lineage
 
@@ -26,9 +27,12 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 9, 5
 APART = 10  # bits of 45 that the sketches of candidates may differ in; at similarity 0.8 more do with 0.03 % probability
+COVERED = 3  # lines of a band whose pairs with the first and the neighbour are all pairs
 CHUNK = 1 << 16  # characters hashed at a time
 SEEN = 1 << 18  # lines a task remembers to have signed
 TABLE = 26  # the table of wanted lines has 2 ** 26 bits, 8 MB, for any number of lines
+BLOCK, BLOCK_CHARS = 1 << 10, 1 << 18  # lines, and their characters, of a crowded band that are compared with as many others at a time
+COLUMNS = 1 << 12  # shingles counted at a time
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,8 +145,14 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates among sorted ``(band, h, sketch)``: each with the first of its band here and with the one before, if their
-    sketches are close. Bands that may go on in other tasks are handed on by their first line."""
+    sketches are close. Bands that may go on in other tasks are handed on by their first line. Distinct lines of a band that has
+    more than these pairs cover, or may have with other tasks, follow without ``b``."""
     first_band = band = head = last = None
+    open_bands = open_lines = np.zeros(0, np.int64)
+
+    def members(at: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"band": at, "a": lines, "b": pa.nulls(len(at), pa.int64())})
+
     for batch in batches:
         bands, *row = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         n = len(bands)
@@ -161,13 +171,25 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first_band = bands[0]
             yield pa.RecordBatch.from_pydict({"band": bands[:1], "a": rows[:1, 0], "b": rows[:1, 0]})
         yield pa.RecordBatch.from_pydict({"band": np.zeros(len(found), np.int64), "a": found[:, 1], "b": found[:, 0]})
+        fresh = starts | (rows[:, 0] != before[:, 0])
+        fresh[0] |= last is None
+        open_bands, open_lines = np.concatenate([open_bands, bands[fresh]]), np.concatenate([open_lines, rows[fresh, 0]])
+        ended = open_bands != bands[-1]
+        _, at, sizes = np.unique(open_bands[ended], return_inverse=True, return_counts=True)
+        many = (sizes[at] > COVERED) | (open_bands[ended] == first_band)
+        yield members(open_bands[ended][many], open_lines[ended][many])
+        open_bands, open_lines = open_bands[~ended], open_lines[~ended]
         band, head, last = bands[-1], heads[-1], rows[-1]
+    yield members(open_bands, open_lines)
     if band is not None and band != first_band:
         yield pa.RecordBatch.from_pydict({"band": [int(band)], "a": [int(head[0])], "b": [int(head[0])]})
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """``(a, b)``, a > b: distinct pairs of lines that share a band; ``signed`` has ``h`` and ``bands`` (NULL: signed elsewhere)."""
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``, a > b: distinct pairs of lines that share a band; and ``(band, h)``: the lines of bands that have more pairs.
+
+    ``signed`` has ``h`` and ``bands`` (NULL: signed elsewhere).
+    """
     rows = signed.where("bands IS NOT NULL").select(
         F.explode(F.slice("bands", 1, BANDS)).alias("band"), "h", F.element_at("bands", BANDS + 1).alias("sketch"))
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -176,7 +198,91 @@ def candidates(signed: DataFrame) -> DataFrame:
     ends = found.where("a = b")
     heads = ends.groupBy("band").agg(F.min("a").alias("head"))
     across = ends.join(heads, "band").where("a > head").select("a", F.col("head").alias("b"))
-    return found.where("a > b").select("a", "b").unionByName(across).distinct()
+    pairs = found.where("a > b").select("a", "b").unionByName(across).distinct()
+    members = found.where("b IS NULL").select("band", F.col("a").alias("h"))
+    large = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= COVERED)
+    return pairs, members.join(loose(large), "band").select("band", "h")
+
+
+def _overlaps(texts: list[str], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of every line of ``left`` with every one of ``right``, and the shingles of each text."""
+    number: dict[str, int] = {}
+    held = [np.fromiter((number.setdefault(g, len(number)) for g in _shingles(t)), np.int64) for t in texts]
+    sizes = np.array([len(x) for x in held])
+    ids, owner = np.concatenate(held), np.repeat(np.arange(len(texts)), sizes)
+    shared = np.bincount(ids, minlength=len(number)) > 1
+    ids, owner, columns = (np.cumsum(shared) - 1)[ids[shared[ids]]], owner[shared[ids]], int(shared.sum())
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, columns, COLUMNS):
+        part = slice(*np.searchsorted(ids, [start, start + COLUMNS]))
+        has = np.zeros((len(texts), min(COLUMNS, columns - start)), np.float32)
+        has[owner[part], ids[part] - start] = 1
+        both += (has[left] @ has[right].T).astype(np.int64)
+    return both, sizes
+
+
+def _near(band: int, lo: int, hi: int, rows: pa.StructArray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similar lines of different components, one of block ``lo`` and one of ``hi``, that share no earlier band and have close sketches."""
+    block, h, c = (rows.field(n).to_numpy(zero_copy_only=False) for n in ("block", "h", "c"))
+    keys = rows.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS + 1)
+    left, right = np.nonzero(block == lo)[0], np.nonzero(block == hi)[0]
+    sketch = keys[:, BANDS].astype(np.uint64)
+    open_ = (c[left][:, None] != c[right]) & (np.bitwise_count(sketch[left][:, None] ^ sketch[right]) <= APART)
+    if lo == hi:
+        open_ &= left[:, None] < right
+    for k in range(int(np.nonzero(keys[0, :BANDS] == band)[0][0])):
+        open_ &= keys[left, k][:, None] != keys[right, k]
+    x, y = open_.any(axis=1), open_.any(axis=0)
+    left, right, open_ = left[x], right[y], open_[x][:, y]
+    if not len(left):
+        return left, right
+    used, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    both, sizes = _overlaps(rows.field("line").take(pa.array(used)).to_pylist(), at[:len(left)], at[len(left):])
+    total = sizes[at[:len(left)]][:, None] + sizes[at[len(left):]]
+    i, j = np.nonzero(open_ & (both / (total - both) >= similar))
+    return h[left[i]], h[right[j]]
+
+
+def _compare_blocks(similar: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = Links()
+        for batch in batches:
+            for band, lo, hi, rows in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                yield from links.add(*_near(band, lo, hi, rows.values, similar))
+        yield from links.flush()
+
+    return run
+
+
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            keys = pa.array(list(signatures(part.column(1).to_pylist())), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, keys], ["h", "line", "keys"])
+
+
+def left_over(crowds: DataFrame, texts: DataFrame, roots: DataFrame, similar: float) -> DataFrame | None:
+    """Links between lines that share a band and that ``roots`` (``node``, ``component``) doesn't join; None without such a band.
+
+    Lines of a band are dealt into blocks, and each pair of blocks is a group of its own. A pair of lines that shares several bands is
+    compared in the first.
+    """
+    placed = crowds.join(loose(roots.toDF("h", "c")), "h", "left").select("band", "h", F.coalesce("c", "h").alias("c"))
+    placed = cut_lineage(placed)
+    several = placed.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    placed = cut_lineage(placed.join(loose(several.select("band")), "band")
+                         .join(texts.select("h", F.length("line").alias("chars")), "h"))
+    if placed.isEmpty():
+        return None
+    sizes = placed.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
+    dealt = placed.join(loose(sizes), "band").withColumn("block", F.pmod(F.xxhash64("h"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    known = texts.join(loose(placed.select("h").distinct()), "h", "left_semi").mapInArrow(_with_keys, "h long, line string, keys array<long>")
+    rows = dealt.join(cut_lineage(known), "h").select(
+        "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("block", "h", "c", "line", "keys").alias("row"))
+    return rows.groupBy("band", "lo", "hi").agg(F.collect_list("row").alias("rows")).mapInArrow(_compare_blocks(similar), EDGES)
 
 
 def _similar(similar: float):
@@ -225,15 +331,17 @@ def _line_texts(table):
 
 def linked_lines(docs: DataFrame, signed: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``(node, component)`` of the lines that are similar to others; ``docs`` has ``text``."""
-    pairs = cut_lineage(candidates(signed))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    pairs, crowds = map(cut_lineage, candidates(signed))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(crowds.select("h")).distinct()
     table = docs.sparkSession.sparkContext.broadcast(wanted_table(wanted))
     texts = (docs.select("text").mapInArrow(_line_texts(table), "h long, line string").join(loose(wanted), "h", "left_semi")
              .groupBy("h").agg(F.first("line").alias("line")))
     texts = cut_lineage(texts)
     left, right = texts.toDF("a", "x"), texts.toDF("b", "y")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return components(both.mapInArrow(_similar(similar), "a long, b long"))
+    roots = components(both.mapInArrow(_similar(similar), EDGES))
+    more = left_over(crowds, texts, roots, similar)
+    return roots if more is None else components(roots.toDF("a", "b").unionByName(more))
 
 
 def duplicate_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

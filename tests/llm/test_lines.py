@@ -83,6 +83,29 @@ def test_one_large_group(spark):
     assert [r.doc_id for r in got.where("text != ''").collect()] == [0]
 
 
+def test_copies_inside_a_family_of_a_template(spark, monkeypatch):
+    """Lines of a family are 0.7 to 0.79 alike and share bands; what bands and sketches offer of their changed copies is found."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = "this notice may be used under the terms of the licence that the holder of all rights has given to every reader of the work"
+    own = [f"{base} {word()} {word()} {word()}" for _ in range(200)]
+    assert all(0.7 < lines.jaccard(own[0], s) < 0.79 for s in own[1:])
+    rows, want = list(enumerate(own)), set()
+    for i, s in enumerate(own):
+        changed = list(s)
+        for _ in range(3):
+            changed[rng.randrange(len(s))] = "z"
+        rows.append((1000 + i, "".join(changed)))
+        x, y = lines.signatures([s, rows[-1][1]])
+        close = bin(int(x[-1] ^ y[-1])).count("1") <= lines.APART
+        if lines.jaccard(s, rows[-1][1]) >= 0.8 and (x[:-1] == y[:-1]).any() and close:
+            want.add(1000 + i)
+    assert len(want) > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(lines, "BLOCK", 32)
+    assert {r.doc_id for r in lines.without_duplicate_lines(docs).where("text = ''").collect()} == want
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(5, "one same line here"), (5, "one same line here"), (6, "one same line here"), (7, None)],
                                  "doc_id long, text string")
