@@ -2,14 +2,14 @@
 
 A document belongs to each domain with a probability: a naive Bayes classifier on the words and signs that tell the domains of a labelled
 table apart. With tokens ``t``, memberships ``p`` and rates ``w`` the expected totals are the sum of ``t p w``; they shall equal
-the targets ``T``. Rates start at 1 and follow projected gradient steps of the least squares between the two, each document's part
-of the gradient over its tokens: ``w <- clip(y - p' (sum(t p y) - T) / L)``, where ``y`` goes on from the last two rates with a
-momentum and ``L`` is the largest eigenvalue of the sum of ``t p p'``. A step is one sum over the documents; rates are folded from
-the few vectors of the steps.
+the targets ``T``. Of the rates between their bounds those count whose totals have the least squares to the targets and, among these,
+that are nearest to 1: ``w = clip(1 + p' v)`` with one number ``v`` for each domain, where ``sum(t p w) + RIDGE v = T``. Newton steps
+find ``v``; a step is one sum over the documents, and its size doesn't depend on how rare a domain is.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,9 +22,10 @@ SAMPLE = 20_000  # labelled documents the classifier is fitted on
 WORDS = 2_000  # words it may hold
 MIN_DOCS = 3
 MIN_Z = 4.0
-STEPS = 100
-FOLDED = 8  # steps after which the rates are written down
-CLOSE = 1e-4
+STEPS = 200
+TRIED = (1.0, 0.25, 0.0625, 0.0078125)  # parts of a Newton step that one pass tries
+RIDGES = (1.0, 1e-2, 1e-4, 1e-6, 1e-8)  # of all tokens, one after the other; the last is the one of the result
+CLOSE = 1e-4  # of each target
 _SIGNS = "#*$%&|<>!?@=+~^"
 # White space, punctuation and signs, as a class of a pattern: one of plain characters only, which Java tests by a table.
 _GAPS = r"[ \t\n\x0B\f\r.,;:()\[\]{}\"'/\\_#*$%&|<>!?@=+~^-]+"
@@ -102,40 +103,59 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str =
 
 @dataclass
 class Mixture:
-    """The steps that lead from rates of 1 to the fitted ones, and how far the expected totals are from their targets.
+    """The number of each domain that the rates are made of, and how far the expected totals are from their targets.
 
-    A step is the vector that is added along the memberships, and the momentum with which the rates go on.
+    ``converged``: the rates are the nearest there are; ``met``: the expected total of every domain is its target, up to ``CLOSE`` of it.
     """
 
     targets: list[float]
     expected: list[float]
     most: float | None
-    steps: list[tuple[list[float], float]] = field(default_factory=list)
+    pull: list[float] = field(default_factory=list)
+    converged: bool = True
 
-    def state(self, posterior: Column, start: Column, first: int = 0) -> Column:
-        """``(w, y)``: the rates after the steps from ``first`` on, and the point at which the next step is taken."""
-        if first == len(self.steps):
-            return start
-        steps = F.array(*[F.struct(F.array(*map(F.lit, v)).alias("v"), F.lit(m).alias("m")) for v, m in self.steps[first:]])
-        dot = lambda v: F.aggregate(F.zip_with(posterior, v, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
+    @property
+    def met(self) -> bool:
+        return _within(np.array(self.expected) - np.array(self.targets), np.array(self.targets))
 
-        def step(now: Column, s: Column) -> Column:
-            w = F.greatest(F.lit(0.0), now.y + dot(s.v))
-            w = w if self.most is None else F.least(F.lit(float(self.most)), w)
-            return F.struct(w.alias("w"), now.w.alias("before"), s.m.alias("m"))
+    def rate(self, posterior: Column) -> Column:
+        return _clip(_raw(posterior, self.pull, self.most), self.most)
 
-        def moved(now: Column, s: Column) -> Column:
-            to = step(now, s)
-            return F.transform(F.array(to), lambda x: F.struct(x.w.alias("w"), (x.w + x.m * (x.w - x.before)).alias("y")))[0]
 
-        return F.aggregate(steps, start, moved)
+def _within(off: np.ndarray, targets: np.ndarray) -> bool:
+    """Every domain is off by at most ``CLOSE`` of its target; targets of nothing go by the sum of all."""
+    return bool((np.abs(off) <= CLOSE * np.where(targets > 0, targets, max(targets.sum(), 1.0))).all())
 
-    def start(self) -> Column:
-        one = F.lit(1.0 if self.most is None else min(1.0, float(self.most)))
-        return F.struct(one.alias("w"), one.alias("y"))
 
-    def rate(self, posterior: Column) -> Column:
-        return self.state(posterior, self.start()).w
+def _raw(posterior: Column, pull: list[float], most: float | None) -> Column:
+    """The rate before it is brought between its bounds."""
+    start = F.lit(1.0 if most is None else min(1.0, float(most)))
+    return sum((posterior[i] * F.lit(float(v)) for i, v in enumerate(pull)), start)
+
+
+def _clip(rate: Column, most: float | None) -> Column:
+    low = F.greatest(F.lit(0.0), rate)
+    return low if most is None else F.least(F.lit(float(most)), low)
+
+
+def _passes(members: DataFrame, pulls: list[np.ndarray], most: float | None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each of ``pulls``, of one pass: the integral of the totals along the pull, the totals, and their derivative."""
+    k, t = len(pulls[0]), F.col("tokens")
+    p = [F.col("posterior")[i] for i in range(k)]
+    raws = members.select("tokens", "posterior", *[_raw(F.col("posterior"), v.tolist(), most).alias(f"r{n}") for n, v in enumerate(pulls)])
+    sums = []
+    for n in range(len(pulls)):
+        r, w = F.col(f"r{n}"), _clip(F.col(f"r{n}"), most)
+        free = (r > 0) if most is None else (r > 0) & (r < float(most))
+        sums += [F.sum(t * w * (r - w / 2)), *[F.sum(t * w * x) for x in p]]
+        sums += [F.sum(F.when(free, t * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i + 1)]
+    got = np.array([x or 0.0 for x in raws.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first()]).reshape(len(pulls), -1)
+    found = []
+    for row in got:
+        slope = np.zeros((k, k))
+        slope[np.tril_indices(k)] = row[1 + k:]
+        found.append((row[0], row[1:1 + k], slope + np.tril(slope, -1).T))
+    return found
 
 
 def match(members: DataFrame, weights: list[float], total: float | None = None, anchor: int | None = None,
@@ -143,41 +163,46 @@ def match(members: DataFrame, weights: list[float], total: float | None = None,
     """Rates for ``members`` (``tokens``, ``posterior``) whose expected totals are nearest to ``weights`` times ``total``.
 
     ``total`` is the tokens there are, unless given; with ``anchor`` it is what makes the target of this domain the tokens it
-    has. Rates are at least 0 and at most ``most``. Stops when the totals are met, when they no longer move, or after ``STEPS``.
+    has. Rates are at least 0 and at most ``most``. Stops when the rates solve their equation up to ``CLOSE`` of each target; if
+    they don't after ``STEPS`` passes, ``converged`` is false and a warning says so. Targets that the bounds rule out are
+    missed by least squares; see ``met``.
     """
     k, share = len(weights), np.array(weights) / sum(weights)
-    p = [F.col("posterior")[i] for i in range(k)]
-    sums = [F.sum(F.col("tokens") * p[i]) for i in range(k)] + [F.sum(F.col("tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]
-    got = np.array([x or 0.0 for x in members.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first()])
-    have, gram = got[:k], got[k:].reshape(k, k)
+    sums = [F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)]
+    have = np.array([x or 0.0 for x in members.agg(*sums).first()])
     total = float(have.sum() if total is None else total)
     if anchor is not None:
         total = float(have[anchor] / share[anchor])
-    targets = share * total
-    mix = Mixture(targets.tolist(), have.tolist(), most)
-    if have.sum() == 0:
+    targets, tokens = share * total, have.sum()
+    mix = Mixture(targets.tolist(), have.tolist(), most, [0.0] * k)
+    if tokens == 0:
         return mix
-    size = 1 / np.linalg.eigvalsh(gram)[-1]
-    held, first = members.select("tokens", "posterior", mix.start().alias("state")), 0
-    at, here, pace, worst = have * (1.0 if most is None else min(1.0, most)), have, 1.0, np.inf
-    for _ in range(STEPS):
-        off = here - targets
-        worse, worst = off @ off > worst, off @ off
-        if np.abs(off).max() <= CLOSE * max(total, 1.0):
-            break
-        pace, old = (1.0, 1.0) if worse else ((1 + np.sqrt(1 + 4 * pace * pace)) / 2, pace)
-        mix.steps.append(((-size * (at - targets)).tolist(), float((old - 1) / pace)))
-        if len(mix.steps) - first == FOLDED:
-            held = cut_lineage(held.withColumn("state", mix.state(F.col("posterior"), F.col("state"), first)))
-            first = len(mix.steps)
-        now = held.select("tokens", "posterior", mix.state(F.col("posterior"), F.col("state"), first).alias("state"))
-        found = np.array([x or 0.0 for x in now.agg(*[F.sum(F.col("tokens") * F.col(f"state.{v}") * p[i]).alias(f"{v}{i}")
-                                                      for v in "wy" for i in range(k)]).first()])
-        moved = np.abs(found[:k] - here).max()
-        here, at = found[:k], found[k:]
-        mix.expected = here.tolist()
-        if moved <= CLOSE / 10 * have.sum():
+    pull = np.zeros(k)
+    value, here, slope = _passes(members, [pull], most)[0]
+    passes, parts = 1, np.array(TRIED)
+    for ridge in np.array(RIDGES) * tokens:
+        while not (done := _within(here + ridge * pull - targets, targets)) and passes < STEPS:
+            off = here + ridge * pull - targets
+            step = -np.linalg.solve(slope + ridge * np.eye(k), off)
+            tried = [pull + part * step for part in parts]
+            found = _passes(members, tried, most)
+            passes += 1
+            height = lambda v, x: x + ridge / 2 * (v @ v) - targets @ v
+            lower = [height(v, f[0]) - height(pull, value) for v, f in zip(tried, found)]
+            left = [np.linalg.norm(f[1] + ridge * v - targets) for v, f in zip(tried, found)]
+            better = [n for n, x in enumerate(lower) if x < 0 or left[n] < np.linalg.norm(off) / 2]
+            if not better:
+                parts = parts / 1024
+                if parts[0] < 1e-12:
+                    break
+                continue
+            best = min(better, key=lambda n: lower[n] if min(lower) < -1e-9 * tokens else left[n])
+            pull, (value, here, slope), parts = tried[best], found[best], np.array(TRIED)
+        if passes >= STEPS:
             break
+    mix.pull, mix.expected, mix.converged = pull.tolist(), here.tolist(), bool(done)
+    if not done:
+        warnings.warn(f"the rates are not settled after {passes} passes: {mix.expected} instead of {mix.targets}", stacklevel=2)
     return mix
 
 

@@ -61,6 +61,16 @@ def test_bounds_and_infeasible_targets(spark):
         assert np.allclose((t * got) @ p, fitted.expected) and (got >= 0).all() and (got <= most).all()
 
 
+def test_rare_domains_meet_their_targets(spark):
+    """Totals of a domain with 0.05 % of the tokens were 3.4 % of all instead of 5 % when the steps ended."""
+    rows = [(1000.0, [1.0, 0.0, 0.0])] * 1799 + [(1000.0, [0.0, 1.0, 0.0])] * 200 + [(1000.0, [0.0, 0.0, 1.0])]
+    members = spark.createDataFrame(rows, "tokens double, posterior array<double>").coalesce(1)
+    fitted = mixing.match(members, [0.85, 0.10, 0.05])
+    assert fitted.converged and fitted.met and np.allclose(fitted.expected, fitted.targets, rtol=1e-4)
+    bounded = mixing.match(members, [0.85, 0.10, 0.05], most=4.0)
+    assert bounded.converged and not bounded.met and abs(bounded.expected[2] - 4000) < 1
+
+
 def test_odd_rows(spark):
     rows = corpus(120, 3)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (5, ""), (6, rows[0][1]), (6, rows[0][1]), (7, "court " * 200_000)],
