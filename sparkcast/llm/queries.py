@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcast.llm import bpe, chat, exact, hamming, lines, mixing, pii, quality, simhash, substrings, toxicity
+from sparkcast.llm import bpe, chat, exact, hamming, lines, mixing, phrases, pii, quality, simhash, substrings, toxicity, whitening
 from sparkcast.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,29 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+@query("op12_phrase_collocations", r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS piece FROM documents),
+s AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM t),
+n AS (SELECT lang, sum(len(ws)) AS n FROM s GROUP BY lang),
+e AS (SELECT lang, ws, unnest(range(1, 6)) AS k FROM s),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM e) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM g WHERE k > 1),
+m AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n.n, (1000 * CAST(a AS HUGEINT) * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS score, cut
+      FROM c JOIN n USING (lang) JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+      JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.lang = b.lang AND g.f >= b.a AND g.phrase <> b.phrase
+        AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), top=2000, least=100)
