@@ -23,56 +23,121 @@ from pyspark.sql import functions as F
 
 from sparkcast.llm import bits
 from sparkcast.llm.skew import loose
-from sparkcast.llm.words import word_blocks
 from sparkcast.session import cut_lineage
 
 LONGEST = 5
 WAVE = 4000  # first words of the first wave of a language; a wave that can't tell is followed by one of four times as many
 ROW = 512  # hashes of a row of the written corpus that phrases may begin at; those that only end phrases follow
+SLICE = 1 << 10  # such rows that are walked at a time
+BLOCK = 1 << 20  # bytes of text that are hashed at a time
 HELD = 1 << 18  # distinct words, or hashes, that a task gathers before it hands them on
 COUNTED = 1 << 20  # places of phrases that are counted together
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
-_ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
-_END = b"."
+_KINDS = np.zeros(256, np.uint8)  # of bytes: 0 of words, 1 between words, 2 between pieces
+_KINDS[list(b" \t")] = 1
+_KINDS[list(b".,;:!?\n\x0b\x0c\r")] = 2
+_FACTOR = 0x5851F42D4C957F2D  # odd, so that its powers have inverses
 
 
-def _tokens(text: str | None) -> Iterator[list[bytes]]:
-    """The words of a text in blocks, with ``_END`` between pieces (no word is that)."""
-    return word_blocks((text or "").encode().lower().translate(_ENDS).replace(_END, b" . "))
+def _powers(factor: int, size: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, factor, np.uint64)]))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+class _Words:
+    """Words of a language in UTF-8, hashed many at a time: sums of a number for each byte times a power of its place."""
+
+    def __init__(self, lang: str, seed: int) -> None:
+        start = np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed))
+        self.salt, self.numbers = start, _mixed(np.arange(256, dtype=np.uint64) * np.uint64(_FACTOR) + start)
+        self.up, self.down = _powers(_FACTOR, BLOCK), _powers(pow(_FACTOR, -1, 1 << 64), BLOCK)
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """None of them is zero, which parts pieces."""
+        if len(data) > len(self.up):
+            self.up, self.down = _powers(_FACTOR, len(data)), _powers(pow(_FACTOR, -1, 1 << 64), len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.numbers[data] * self.up[:len(data)])])
+        words = (sums[stops] - sums[starts]) * self.down[starts]
+        return np.maximum(_mixed(words ^ (stops - starts).astype(np.uint64) * self.salt), np.uint64(1))
+
+
+def _words_at(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of a block start and stop, and which of them another piece comes after."""
+    kinds = _KINDS[data]
+    edges = np.diff(np.concatenate([[0], (kinds == 0).view(np.int8), [0]]))
+    starts, stops = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+    ends = np.append(0, np.cumsum(kinds == 2))
+    return starts, stops, ends[np.append(starts[1:], len(data))[:len(starts)]] != ends[stops]
+
+
+def _blocks(texts: list[str | None]) -> Iterator[bytes]:
+    """The texts, A-Z in lower case, as blocks of about ``BLOCK`` bytes that end before a word; a piece ends with its text."""
+    data = b".".join((t or "").encode().lower() for t in texts) + b"."
+    start = 0
+    while start < len(data):
+        stop = min(len(data), start + BLOCK)
+        while stop < len(data) and (_KINDS[data[stop - 1]] == 0 or _KINDS[data[stop]]):
+            stop += 1
+        yield data[start:stop]
+        start = stop
+
+
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str | None]]]:
+    """The texts of a language in groups of about ``BLOCK`` characters."""
+    for batch in batches:
+        held: dict[str, list] = {}
+        sizes: Counter = Counter()
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            held.setdefault(lang, []).append(text.as_py())
+            sizes[lang] += len(held[lang][-1] or "")
+            if sizes[lang] >= BLOCK:
+                yield lang, held.pop(lang)
+                del sizes[lang]
+        yield from held.items()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
+    hashers: dict[str, _Words] = {}
+    held: dict[str, dict[int, list]] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            counts.pop(_END, None)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([w.decode() for w in counts], pa.string()),
-                                              pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
+        for lang, found in held.items():
+            counts, words = zip(*found.values())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()),
+                                              pa.array(counts, pa.int64())], ["lang", "word", "n"])
         held.clear()
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counts = held.setdefault(lang, Counter())
-            for block in _tokens(text.as_py()):
-                counts.update(block)
-                if len(counts) > HELD:
-                    yield from out()
-                    counts = held.setdefault(lang, Counter())
+    for lang, texts in _by_language(batches):
+        hasher = hashers.setdefault(lang, _Words(lang, 0))
+        for block in _blocks(texts):
+            data = np.frombuffer(block, np.uint8)
+            starts, stops, _ = _words_at(data)
+            if not len(starts):
+                continue
+            h, first, counts = np.unique(hasher.hashes(data, starts, stops), return_index=True, return_counts=True)
+            found = held.setdefault(lang, {})
+            for key, i, j, n in zip(h.tolist(), starts[first].tolist(), stops[first].tolist(), counts.tolist()):
+                if key in found:
+                    found[key][0] += n
+                else:
+                    found[key] = [n, block[i:j]]
         if sum(map(len, held.values())) > HELD:
             yield from out()
     yield from out()
 
 
-def _word_hash(lang: str, word: bytes, seed: int) -> int:
-    """Of a word of a language; zero, which parts pieces, is no hash."""
-    return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word, seed) or 1
-
-
 def _with_hashes(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashers: dict[str, _Words] = {}
         for batch in batches:
-            h = np.array([_word_hash(x, w.encode(), seed) for x, w in zip(*(c.to_pylist() for c in batch.columns[:2]))], np.uint64)
+            h = np.array([hashers.setdefault(lang, _Words(lang, seed)).hashes(
+                np.frombuffer(word.encode(), np.uint8), np.zeros(1, np.int64), np.array([len(word.encode())]))[0]
+                for lang, word in zip(*(c.to_pylist() for c in batch.columns[:2]))], np.uint64)
             grams = pa.array([x.tobytes() for x in h], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, grams, pa.array(_fold([h]).view(np.int64))], ["lang", "word", "f", "gram", "h"])
 
@@ -88,33 +153,24 @@ def _fold(words: list[np.ndarray]) -> np.ndarray:
     return folded
 
 
-class _Hashes(dict):
-    """The hashes of the words of a language, as a task meets them."""
-
-    def __init__(self, lang: str, seed: int) -> None:
-        super().__init__({_END: 0})
-        self.of = lang, seed
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = _word_hash(self.of[0], word, self.of[1])
-        return found
+def _beside(flat: np.ndarray) -> np.ndarray:
+    """Whether a word is just before or after a place."""
+    word = np.concatenate([[False], flat != 0, [False]])
+    return word[:-2] | word[2:]
 
 
 def _encode(table, seed: int):
     """``(lang, own, seg)``: the texts as hashes of words that may be frequent. Zeros stand for what parts them; a phrase counts in the row
     where it begins among the first ``own``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caches: dict[str, _Hashes] = {}
+        hashers: dict[str, _Words] = {}
         held: dict[str, list[np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 flat = np.concatenate(parts)
-                word, none = flat != 0, np.zeros(1, bool)
-                flat = flat[np.concatenate([none, word[:-1]]) | np.concatenate([word[1:], none])]  # words and ends beside words
-                word = flat != 0
-                alone = word & ~np.concatenate([none, word[:-1]]) & ~np.concatenate([word[1:], none])
-                flat = flat[~alone]
+                flat = flat[(flat != 0) | _beside(flat)]  # words, and ends beside words
+                flat = flat[(flat == 0) | _beside(flat)]  # no words that stand alone
                 starts = np.arange(0, len(flat), ROW)
                 stops = np.minimum(starts + ROW + LONGEST - 1, len(flat))
                 offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
@@ -124,20 +180,21 @@ def _encode(table, seed: int):
             held.clear()
 
         size = 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                cache = caches.setdefault(lang, _Hashes(lang, seed))
-                for block in _tokens(text.as_py()):
-                    if len(cache) > HELD:
-                        cache = caches[lang] = _Hashes(lang, seed)
-                    found = np.fromiter(map(cache.__getitem__, block), np.uint64, len(block))
-                    found[~bits.held(table.value, _fold([found]))] = 0
-                    held.setdefault(lang, []).append(found)
-                    size += len(found)
-                held.setdefault(lang, []).append(np.zeros(1, np.uint64))
-                if size > HELD:
-                    yield from out()
-                    size = 0
+        for lang, texts in _by_language(batches):
+            hasher = hashers.setdefault(lang, _Words(lang, seed))
+            for block in _blocks(texts):
+                data = np.frombuffer(block, np.uint8)
+                starts, stops, after = _words_at(data)
+                found = hasher.hashes(data, starts, stops)
+                found[~bits.held(table.value, _fold([found]))] = 0
+                places = np.arange(len(found)) + np.concatenate([[0], np.cumsum(after)[:-1]])[:len(found)]
+                spaced = np.zeros(len(found) + int(after.sum()), np.uint64)
+                spaced[places] = found
+                held.setdefault(lang, []).append(spaced)
+                size += len(found)
+            if size > HELD:
+                yield from out()
+                size = 0
         yield from out()
 
     return run
@@ -175,7 +232,7 @@ def _grams(jobs: list[tuple[int, int, int]], tables):
                 yield out(job, lang, [x for x in held[job] if x[0] == lang])
             held[job], sizes[job] = [], 0
 
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             segs = batch.column(2)
             flat, ends = segs.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(segs.value_lengths().to_numpy(zero_copy_only=False))
             if not len(flat):

@@ -72,6 +72,8 @@ def test_rows_are_cut(spark, monkeypatch):
     monkeypatch.setattr(phrases, "ROW", 3)
     monkeypatch.setattr(phrases, "HELD", 5)
     monkeypatch.setattr(phrases, "COUNTED", 4)
+    monkeypatch.setattr(phrases, "BLOCK", 20)
+    monkeypatch.setattr(phrases, "SLICE", 2)
     rows = corpus(random.Random(3), ["a", "b"], 60, 15) + [("a", "x y z " * 40)]
     frame = spark.createDataFrame(rows, "lang string, text string")
     got = sorted(tuple(r) for r in phrases.collocations(frame, 50, 4).collect())
