@@ -27,10 +27,10 @@ from sparkcast.session import cut_lineage
 
 LONGEST = 5
 WAVE = 4000  # first words of the first wave of a language; a wave that can't tell is followed by one of four times as many
-ROW = 512  # hashes of a row of the written corpus that phrases may begin at; those that only end phrases follow
-SLICE = 1 << 10  # such rows that are walked at a time
+ROW = 128  # hashes of a row of the written corpus that phrases may begin at; those that only end phrases follow
+SLICE = 1 << 12  # such rows that are walked at a time
 BLOCK = 1 << 20  # bytes of text that are hashed at a time
-HELD = 1 << 18  # distinct words, or hashes, that a task gathers before it hands them on
+HELD = 1 << 17  # distinct words, or hashes, that a task gathers before it hands them on
 COUNTED = 1 << 20  # places of phrases that are counted together
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 _KINDS = np.zeros(256, np.uint8)  # of bytes: 0 of words, 1 between words, 2 between pieces
@@ -49,6 +49,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+class _Hashers(dict):
+    """The ``_Words`` of each language that a task meets."""
+
+    def __init__(self, seed: int) -> None:
+        super().__init__()
+        self.seed = seed
+
+    def __missing__(self, lang: str) -> _Words:
+        found = self[lang] = _Words(lang, self.seed)
+        return found
+
+
 class _Words:
     """Words of a language in UTF-8, hashed many at a time: sums of a number for each byte times a power of its place."""
 
@@ -102,7 +114,7 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashers: dict[str, _Words] = {}
+    hashers = _Hashers(0)
     held: dict[str, dict[int, list]] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -113,7 +125,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for lang, texts in _by_language(batches):
-        hasher = hashers.setdefault(lang, _Words(lang, 0))
+        hasher = hashers[lang]
         for block in _blocks(texts):
             data = np.frombuffer(block, np.uint8)
             starts, stops, _ = _words_at(data)
@@ -133,9 +145,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_hashes(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers: dict[str, _Words] = {}
+        hashers = _Hashers(seed)
         for batch in batches:
-            h = np.array([hashers.setdefault(lang, _Words(lang, seed)).hashes(
+            h = np.array([hashers[lang].hashes(
                 np.frombuffer(word.encode(), np.uint8), np.zeros(1, np.int64), np.array([len(word.encode())]))[0]
                 for lang, word in zip(*(c.to_pylist() for c in batch.columns[:2]))], np.uint64)
             grams = pa.array([x.tobytes() for x in h], pa.binary())
@@ -163,7 +175,7 @@ def _encode(table, seed: int):
     """``(lang, own, seg)``: the texts as hashes of words that may be frequent. Zeros stand for what parts them; a phrase counts in the row
     where it begins among the first ``own``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers: dict[str, _Words] = {}
+        hashers = _Hashers(seed)
         held: dict[str, list[np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -181,7 +193,7 @@ def _encode(table, seed: int):
 
         size = 0
         for lang, texts in _by_language(batches):
-            hasher = hashers.setdefault(lang, _Words(lang, seed))
+            hasher = hashers[lang]
             for block in _blocks(texts):
                 data = np.frombuffer(block, np.uint8)
                 starts, stops, after = _words_at(data)
@@ -252,8 +264,8 @@ def _grams(jobs: list[tuple[int, int, int]], tables):
                         grams = np.stack([flat[own + i] for i in range(k)], axis=1)
                         held[job].append((lang, grams, _fold(list(grams.T))))
                         sizes[job] += len(own)
-                if sizes[job] >= COUNTED:
-                    yield from flush(job)
+            if sum(sizes) >= COUNTED:
+                yield from flush(int(np.argmax(sizes)))
         for job in range(len(jobs)):
             if held[job]:
                 yield from flush(job)
