@@ -1,7 +1,7 @@
 """Linear forecasts: ridge, lasso, elastic net, Bayesian ridge, automatic relevance determination.
 
-One fit per key and configuration from product sums; a one-step-ahead forecast refits on all earlier
-rows by running sums instead of by repeated training.
+One fit per key and configuration from moments; a one-step-ahead forecast refits on all earlier
+rows by running moments instead of by repeated training.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcast.models.gram import (MAX_JVM_SUMS, carried_gram, centred, complete, gram, key_fields, pairs, running_gram,
-                                   unpack)
+from sparkcast.models.gram import (MAX_JVM_SUMS, added, carried_gram, centred, complete, gram, key_fields, pairs,
+                                   running_gram, unpack)
 from sparkcast.operators.chunks import CHUNK_ROWS, attach, chunk_index
 from sparkcast.session import cut_lineage
 
@@ -100,7 +100,7 @@ def evidence(sxx: np.ndarray, sxy: np.ndarray, syy: float, n: float, cfg: Linear
 
 
 def solve(g: np.ndarray, cfg: LinearConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``coef, intercept, mean x, coefficient covariance, noise variance`` for stacked product sums."""
+    """``coef, intercept, mean x, coefficient covariance, noise variance`` for stacked moments."""
     n, mx, my, sxx, sxy, syy = centred(g)
     norm = np.ones_like(sxy)
     if cfg.normalize:
@@ -264,19 +264,15 @@ def rolling_origin(df: DataFrame, keys: Sequence[str], features: Sequence[str],
 
     def from_chunk(part: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
         part = part.drop(columns="_chunk").sort_values(pos).reset_index(drop=True)
-        z = np.column_stack([np.ones(len(part)), part[used].to_numpy(float)])
-        whole = np.isfinite(z).all(axis=1)
+        z = part[used].to_numpy(float)
         ready = np.isfinite(z[:, :-1]).all(axis=1) & (part["split"] == "test").to_numpy()
         g, done = unpack(carried["m"], width)[0], []
         for start in range(0, len(part), WIDE_BATCH):
             stop = min(start + WIDE_BATCH, len(part))
-            seen = np.where(whole[start:stop, None], z[start:stop], 0.0)
-            steps = np.cumsum(seen[:, :, None] * seen[:, None, :], axis=0)
-            before = g + np.concatenate([np.zeros((1, width, width)), steps[:-1]])
+            before, g = added(g, z[start:stop])
             test = ready[start:stop]
             if test.any():
                 done += forecasts(part.iloc[start:stop][test], before[test])
-            g = g + steps[-1]
         return pd.concat(done, ignore_index=True) if done else pd.DataFrame(columns=order)
 
     if len(pairs(width)) <= MAX_JVM_SUMS:

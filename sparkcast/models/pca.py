@@ -38,10 +38,9 @@ def fit_pca(df: DataFrame, keys: Sequence[str], features: Sequence[str], varianc
             g, rows = unpack(pdf["m"], width), []
             for i in range(len(pdf)):
                 n = g[i, 0, 0]
-                mean = g[i, 0, 1:] / n
-                cov = g[i, 1:, 1:] / n - np.outer(mean, mean)
+                mean, cov = g[i, 0, 1:], g[i, 1:, 1:] / n
                 sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
-                sd = np.where(sd > 1e-12 * np.maximum(np.abs(mean), 1.0), sd, 1.0)
+                sd = np.where(sd > 1e-15 * np.abs(mean), sd, 1.0)
                 values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
                 values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
                 share = values / max(values.sum(), 1e-300)

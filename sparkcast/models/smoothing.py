@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkcast.models import scan
 from sparkcast.models.gram import key_fields
 from sparkcast.models.relay import RELAY_ROWS, relay
+from sparkcast.session import cut_lineage
 from sparkcast.operators.transform import backward, forward
 
 # Fixed value: added to all values when a multiplicative season meets zeros.
@@ -42,6 +44,12 @@ class SmoothingConfig:
         return np.array(list(product(alphas, betas, gammas, phis)))
 
 
+# Weights are searched again around the best of a series, at half the distance, until that lowers the squared error by less.
+TOLERANCE = 1e-3
+FINEST = 12  # halvings at most, after which weights are known to 1e-4
+LEAST, MOST = 1e-4, 1 - 1e-4
+
+
 # A state holds candidates as rows: alpha, beta, gamma, phi, shift, bias, squared errors, sum of
 # errors, count, level, trend, then the season by position.
 HEAD = 11
@@ -119,14 +127,111 @@ def _states(heads: DataFrame, keys: Sequence[str], make) -> DataFrame:
     return heads.mapInPandas(run, schema)
 
 
+def _around(best: np.ndarray, reach: float, cfg: SmoothingConfig) -> np.ndarray:
+    """Candidates at ``reach`` (in log odds) on both sides of each weight that the model has; the best itself is the first."""
+    free = [0] + [1] * bool(cfg.trend) + [2] * bool(cfg.seasonal) + [3] * bool(cfg.trend and cfg.damped)
+    rows = [best]
+    for column in free:
+        inside = min(max(best[column], LEAST), MOST)
+        for step in (-reach, reach):
+            row = best.copy()
+            row[column] = min(max(1 / (1 + (1 - inside) / inside * np.exp(-step)), LEAST), MOST)
+            rows.append(row)
+    return np.array(rows)
+
+
+def _candidates(heads: DataFrame, keys: Sequence[str], make) -> DataFrame:
+    """``(keys, cand, weights, state)`` of the weights ``make(row)`` for every row of ``heads``, from its first values ``head``."""
+    names, doubles = list(keys), T.ArrayType(T.DoubleType())
+    schema = T.StructType([*key_fields(heads, keys), T.StructField("cand", T.IntegerType()), T.StructField("weights", doubles),
+                           T.StructField("state", doubles)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for _, row in pdf.iterrows():
+                weights, first = make(row)
+                for i, (w, s) in enumerate(zip(weights, first)):
+                    out.append((*row[names], i, w, [*s[9:], 1.0]))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return heads.mapInPandas(run, schema)
+
+
+def _scanned(rows: DataFrame, keys: Sequence[str], heads: DataFrame, cfg: SmoothingConfig, weights: np.ndarray, given: bool,
+             size: int) -> DataFrame:
+    """``(keys, t, prediction)`` of an additive model, all chunks of a series side by side; see ``scan``."""
+    names, m, seasonal = list(keys), max(cfg.season, 1), cfg.seasonal
+    fields = key_fields(rows, keys)
+    errors = T.StructType([*fields, T.StructField("cand", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("sse", "error", "n")]])
+
+    def walked(part: pd.DataFrame, known: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        state = np.zeros((len(known), HEAD + m))
+        state[:, :4] = np.stack(known["weights"].to_numpy())
+        state[:, 9:] = np.stack(known["state"].to_numpy())[:, :-1]
+        if "bias" in known:
+            state[:, 5] = known["bias"]
+        return walk(part["_y"].to_numpy(float), part["t"].to_numpy(), state, seasonal, m)
+
+    def score(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        _, after = walked(part[part["split"] == "train"], known)
+        out = known[[*names, "cand"]].copy()
+        out["sse"], out["error"], out["n"] = after[:, 6], after[:, 7], after[:, 8]
+        return out
+
+    def judged(starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """States by chunk, and of each key the best candidate with its errors."""
+        starts = cut_lineage(starts)
+        states = cut_lineage(scan.chunk_states(rows, keys, starts, seasonal == "add", m, size))
+        found = scan.replay(rows.where("split = 'train'"), keys, states, score, errors, size)
+        sums = found.groupBy(*names, "cand").agg(*[F.sum(c).alias(c) for c in ("sse", "error", "n")])
+        sums = sums.withColumn("sse", F.when(F.isnan("sse") | F.col("sse").isNull(), float("inf")).otherwise(F.col("sse")))
+        best = sums.groupBy(*names).agg(F.min(F.struct("sse", "cand", "error", "n")).alias("b")).select(*names, "b.*")
+        return states, best.join(starts.select(*names, "cand", "weights"), [*names, "cand"])
+
+    starts = _candidates(heads, keys, lambda row: (weights, first_states(row["head"], cfg, weights)))
+    if len(weights) > 1 or cfg.remove_bias:
+        states, best = judged(starts)
+        best, reach = cut_lineage(best), 0.7
+        while not given and reach > 0.7 / 2 ** FINEST:
+            def nearer(row, reach=reach):
+                tried = _around(np.asarray(row["weights"], float), reach, cfg)
+                return tried, first_states(row["head"], cfg, tried)
+
+            more, closer = judged(_candidates(heads.join(best.select(*names, "weights"), names), keys, nearer))
+            closer = cut_lineage(closer)
+            fall = closer.join(best.select(*names, F.col("sse").alias("was")), names).agg(F.max((F.col("was") - F.col("sse")) / F.col("was"))).first()[0]
+            states, best, reach = more, closer, reach / 2
+            if not (fall or 0) > TOLERANCE and reach < 0.1:
+                break
+        bias = F.col("error") / F.greatest("n", F.lit(1.0)) if cfg.remove_bias else F.lit(0.0)
+        states = states.join(best.select(*names, "cand", bias.alias("bias")), [*names, "cand"], "left_semi") if not cfg.remove_bias else (
+            states.join(best.select(*names, "cand", bias.alias("bias")), [*names, "cand"]))
+    else:
+        states = scan.chunk_states(rows, keys, cut_lineage(starts), seasonal == "add", m, size)
+
+    def forecast(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = part[[*names, "t"]].copy()
+        found, _ = walked(part, known)
+        out["prediction"] = np.where(np.isfinite(found), found, np.nan)
+        return out
+
+    schema = T.StructType([*fields, T.StructField("t", T.LongType()), T.StructField("prediction", T.DoubleType())])
+    done = scan.replay(rows, keys, states, forecast, schema, size)
+    return done.withColumn("prediction", F.nanvl("prediction", F.lit(None).cast("double")))
+
+
 def smoothing_forecast(df: DataFrame, keys: Sequence[str], y: str, cfg: SmoothingConfig,
                        weights: np.ndarray | None = None, one_step: bool = True,
                        size: int = RELAY_ROWS) -> DataFrame:
     """Add ``prediction`` to a split frame.
 
-    Weights with the smallest squared one-step error on train are chosen per key. Test rows are
-    forecast one step ahead, the state taking up each actual, or all from the end of train.
+    Weights with the smallest squared one-step error on train are chosen per key. Unless they are given, additive models search
+    again around the best of each key, nearer and nearer, until that lowers no error by more than ``TOLERANCE``. Test rows are
+    forecast one step ahead, the state taking up each actual, or all from the end of train. Multiplicative seasons, whose steps
+    aren't affine, hand their state on from stretch to stretch of ``size`` rows.
     """
+    given = weights is not None
     weights = cfg.weights() if weights is None else np.atleast_2d(weights)
     m, width = max(cfg.season, 1), HEAD + max(cfg.season, 1)
     shown = forward(df, keys, y, cfg.transf)
@@ -136,6 +241,11 @@ def smoothing_forecast(df: DataFrame, keys: Sequence[str], y: str, cfg: Smoothin
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("t", F.coalesce("_y", F.lit(float("nan"))).alias("v")))),
                               lambda x: x["v"]).alias("head")))
     seasonal = cfg.seasonal
+    if seasonal != "mul":
+        masked = rows if one_step else rows.withColumn("_y", F.when(F.col("split") == "train", F.col("_y")))
+        predictions = _scanned(masked, keys, heads, cfg, weights, given, size)
+        out = backward(shown.join(predictions, [*keys, "t"], "left"), y, cfg.transf, ["prediction"])
+        return out.select(*keys, "t", "prediction").join(df, [*keys, "t"])
 
     def learn(pdf: pd.DataFrame, state: np.ndarray):
         _, after = walk(pdf["_y"].to_numpy(float), pdf["t"].to_numpy(), state.reshape(-1, width), seasonal, m)

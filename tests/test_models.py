@@ -51,9 +51,7 @@ def test_rolling_origin_over_chunks(spark, monkeypatch):
     x, y, df = regression(spark)
     args = (df, K, ["x0", "x1", "x2"], "y", [linear.LinearConfig(alpha=0.5)])
     whole = collected(linear.rolling_origin(*args), "t")
-    from sparkcast.operators import chunks
-    original = chunks.running_sums
-    monkeypatch.setattr(gram, "running_sums", lambda *a, **k: original(*a, **{**k, "size": 16}))
+    monkeypatch.setattr(gram, "CHUNK_ROWS", 16)
     close(collected(linear.rolling_origin(*args), "t")["prediction"], whole["prediction"], 1e-8)
 
 
@@ -285,3 +283,75 @@ def test_one_singular_series_leaves_the_others_alone(spark):
         seen.append(rolled.sort_values(["series_id", "t"]).prediction.to_numpy())
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert np.allclose(*seen, equal_nan=True)
+
+
+def test_large_values_keep_their_slope(spark, monkeypatch):
+    """Slope 3 on values near 1e9 with a spread of 1: for a fit, refits on all earlier rows (both ways) and components."""
+    rng = np.random.default_rng(8)
+    x = 1e9 + rng.random(240)
+    z = x - 1e9
+    df = split_at(many(spark, {"x": x, "x2": -2 * z + 1e9, "y": 3 * z}), 120)
+    model = linear.fit(df, K, ["x"], "y", [linear.LinearConfig(alpha=0.0)]).first()
+    assert abs(model["coef"][0] - 3) < 1e-6
+    args = (df, K, ["x"], "y", [linear.LinearConfig(alpha=0.0)])
+    for limit in (gram.MAX_JVM_SUMS, 1):
+        monkeypatch.setattr(gram, "MAX_JVM_SUMS", limit)
+        monkeypatch.setattr(linear, "MAX_JVM_SUMS", limit)
+        monkeypatch.setattr(gram, "CHUNK_ROWS", 32)
+        monkeypatch.setattr(linear, "CHUNK_ROWS", 32)
+        out = collected(linear.rolling_origin(*args), "t")
+        close(out["prediction"], 3 * z[120:], 1e-5)
+        fitted = pca.fit_pca(df, K, ["x", "x2"]).first()
+        assert fitted["n_components"] == 1 and abs(fitted["explained"][0] - 1) < 1e-6
+
+
+def test_merged_moments_are_those_of_all_rows():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 3)) + [1e6, 0, -5]
+    whole = gram.of_rows(x)
+    parts = np.stack([gram.of_rows(x[a:b]) for a, b in ((0, 10), (10, 10), (10, 11), (11, 90))])
+    close(gram.merge(parts), whole, 1e-9)
+    first = gram.unpack([gram.of_rows(x[:30])], 4)[0]
+    before, last = gram.added(first, x[30:])
+    close(last[np.triu_indices(4)], whole, 1e-9)
+    close(before[5][np.triu_indices(4)], gram.of_rows(x[:35]), 1e-9)
+
+
+@pytest.mark.parametrize("cfg", [
+    smoothing.SmoothingConfig(), smoothing.SmoothingConfig("add", True, None), smoothing.SmoothingConfig("add", False, "add", 7, remove_bias=True)])
+def test_chunks_of_a_smoother_start_where_a_walk_would(spark, cfg):
+    """Maps composed chunk by chunk against one walk over all rows, with gaps, test rows masked or not."""
+    rng = np.random.default_rng(10)
+    y = 20 + 0.05 * np.arange(150) + 4 * np.sin(np.arange(150) * 2 * np.pi / 7) + rng.normal(size=150)
+    y[[3, 40, 41, 90, 130]] = np.nan
+    df = split_at(many(spark, {"y": y}), 120)
+    weights = np.array([[0.3, 0.1, 0.2, 0.95], [0.5, 0.02, 0.1, 0.9]])
+    if not (cfg.trend and cfg.damped):
+        weights[:, 3] = 1.0
+    for one_step in (True, False):
+        out = collected(smoothing.smoothing_forecast(df, K, "y", cfg, weights, one_step, size=16), "t")
+        first = smoothing.first_states(y[:2 * max(cfg.season, 1)], cfg, weights)
+        _, after = smoothing.walk(y[:120], np.arange(120), first, cfg.seasonal, max(cfg.season, 1))
+        best = int(after[:, 6].argmin())
+        begin = smoothing.first_states(y[:2 * max(cfg.season, 1)], cfg, weights[best:best + 1])
+        if cfg.remove_bias:
+            begin[:, 5] = after[best, 7] / after[best, 8]
+        shown = np.where((np.arange(150) < 120) | one_step, y, np.nan)
+        want, _ = smoothing.walk(shown, np.arange(150), begin, cfg.seasonal, max(cfg.season, 1))
+        close(out["prediction"], want, 1e-9)
+
+
+def test_weights_are_refined(spark):
+    """A series that simple smoothing with weight 0.83 made: the search comes near it, far from the grid."""
+    rng = np.random.default_rng(11)
+    level, y = 50.0, []
+    for e in rng.normal(size=400):
+        y.append(level + e)
+        level += 0.83 * e
+    df = split_at(many(spark, {"y": y}), 399)
+    out = collected(smoothing.smoothing_forecast(df, K, "y", smoothing.SmoothingConfig()), "t")
+    error = lambda a: np.mean((np.array(y[:399]) - smoothing.walk(np.array(y[:399]), np.arange(399), smoothing.first_states(
+        np.array(y[:2]), smoothing.SmoothingConfig(), np.array([[a, 0, 0, 1.0]])), None, 1)[0]) ** 2)
+    best = min(error(a) for a in np.linspace(0.5, 0.99, 200))
+    got = np.mean((np.array(y[:399]) - out["prediction"][:399]) ** 2)
+    assert got < best * 1.002 < error(0.7)
