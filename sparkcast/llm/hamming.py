@@ -1,13 +1,14 @@
 """Exact nearest neighbours of binary codes by multi-index hashing.
 
-A code has 64 bits in four segments of 16. Two codes at distance d agree up to d // 4 bits in some segment. In round s the rows
-are found whose nearest segment differs in exactly s bits; after it everything within 4 s + 3 bits is known, and a query is
-answered once its k-th distance is no more than that.
+A code has 64 bits in ``m`` segments of about as many bits as a number for each code needs. The radius of one segment after the other grows by a bit. When those
+before segment ``j`` have been searched up to ``s`` bits, and the others up to ``s - 1``, a code that wasn't met differs in at
+least ``m s + j`` bits: a query whose k-th verified distance is less than that is answered and leaves.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from sparkcast.session import cut_lineage
 
-BITS, SEGMENTS = 64, 4
-WIDTH = BITS // SEGMENTS
+BITS = 64
+FEWEST, MANY = 2, 8  # segments
 
 
 def sign_code(vector: Column) -> Column:
@@ -26,16 +27,19 @@ def sign_code(vector: Column) -> Column:
     return F.when(F.size(vector) > BITS, F.raise_error("a code has at most 64 bits")).otherwise(folded)
 
 
-def _segment(code: Column, j: int) -> Column:
-    return F.shiftrightunsigned(code, WIDTH * j).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+def borders(codes: int) -> list[tuple[int, int]]:
+    """First bit and width of each segment, for as many distinct codes."""
+    m = min(MANY, max(FEWEST, round(BITS / max(1.0, math.log2(max(codes, 2))))))
+    ends = [BITS * j // m for j in range(m + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def _segments(code: Column) -> Column:
-    return F.posexplode(F.array(*[_segment(code, j) for j in range(SEGMENTS)])).alias("segment", "value")
+def _segment(code: Column, at: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(code, at[0]).bitwiseAND(F.lit((1 << at[1]) - 1))
 
 
-def _masks(weight: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), weight)]
+def _masks(width: int, weight: int) -> list[int]:
+    return [sum(1 << b for b in bits) for bits in combinations(range(width), weight)]
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -43,16 +47,16 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= k).select("query", "distance", "id")
 
 
-def _round(active: DataFrame, index: DataFrame, s: int) -> DataFrame:
-    """Rows whose nearest segment, the first of equals, differs from the query's in exactly ``s`` bits: each is met once."""
-    probes = (active.select("query", _segments(F.col("query")))
-              .select("query", "segment", F.explode(F.array(*map(F.lit, _masks(s)))).alias("mask"), "value")
-              .select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value")))
-    rows = index.select("id", "code", _segments(F.col("code")))
+def _round(active: DataFrame, index: DataFrame, parts: list[tuple[int, int]], j: int, s: int) -> DataFrame:
+    """Rows whose segment ``j`` differs from the query's in exactly ``s`` bits and that no earlier round has met."""
+    spread = active.repartition(int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query")
+    probes = spread.select("query", F.explode(F.array(*[F.lit(x).cast("long") for x in _masks(parts[j][1], s)])).alias("mask"))
+    probes = probes.select("query", _segment(F.col("query"), parts[j]).bitwiseXOR(F.col("mask")).alias("value"))
+    rows = index.select("id", "code", _segment(F.col("code"), parts[j]).alias("value"))
     apart = F.col("query").bitwiseXOR(F.col("code"))
-    nearest = F.least(*[F.bit_count(_segment(apart, j)) * SEGMENTS + j for j in range(SEGMENTS)])
-    # Both sides grow by their explodes, which estimates of size don't see: neither may be broadcast.
-    return (probes.join(rows.hint("merge"), ["segment", "value"]).where(nearest == s * SEGMENTS + F.col("segment"))
+    first = F.least(*[F.bit_count(_segment(apart, at)) * len(parts) + i for i, at in enumerate(parts)])
+    # The probes grow by their explode, which estimates of size don't see: neither side may be broadcast.
+    return (probes.join(rows.hint("merge"), "value").where(first == s * len(parts) + j)
             .select("query", F.bit_count(apart).cast("int").alias("distance"), "id"))
 
 
@@ -72,11 +76,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, row_id: str = "vec
     enough = min(k, index.count())
     active = asked.select("query").distinct()
     best, answers = None, []
-    for s in range(WIDTH + 1):
-        found = _round(active, index, s)
+    parts = borders(index.select("code").distinct().count())
+    for s, j in product(range(max(width for _, width in parts) + 1), range(len(parts))):
+        if s > parts[j][1]:
+            continue
+        found = _round(active, index, parts, j, s)
         best = cut_lineage(_best(found if best is None else found.unionByName(best.join(active, "query", "left_semi")), k))
         state = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-        sure = cut_lineage(state.where((F.col("n") >= enough) & (F.col("kth") <= SEGMENTS * s + SEGMENTS - 1)).select("query"))
+        sure = cut_lineage(state.where((F.col("n") >= enough) & (F.col("kth") <= len(parts) * s + j)).select("query"))
         answers.append(best.join(sure, "query"))
         active = cut_lineage(active.join(sure, "query", "left_anti"))
         if not enough or active.isEmpty():

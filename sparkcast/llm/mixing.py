@@ -2,17 +2,19 @@
 
 A document belongs to each domain with a probability: a naive Bayes classifier on the words and signs that tell the domains of a labelled
 table apart. With tokens ``t``, memberships ``p`` and rates ``w`` the expected totals are the sum of ``t p w``; they shall equal
-the targets ``T``. Of the rates between their bounds those count whose totals have the least squares to the targets and, among these,
-that are nearest to 1: ``w = clip(1 + p' v)`` with one number ``v`` for each domain, where ``sum(t p w) + RIDGE v = T``. Newton steps
-find ``v``; a step is one sum over the documents, and its size doesn't depend on how rare a domain is.
+the targets ``T``: least squares over rates between their bounds, by projected gradient steps from 1. A document's gradient is
+``t p' (totals - T)``; the steps are scaled by the tokens of a document and by the inverse of the small Gram matrix of the memberships, so that a
+rare domain moves as fast as a large one. A step is one number for each domain, ``w = clip(w + p' v)``, and one sum over the documents.
 """
 
 from __future__ import annotations
 
+import json
 import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,11 @@ WORDS = 2_000  # words it may hold
 MIN_DOCS = 3
 MIN_Z = 4.0
 STEPS = 200
-TRIED = (1.0, 0.25, 0.0625, 0.0078125)  # parts of a Newton step that one pass tries
-RIDGES = (1.0, 1e-2, 1e-4, 1e-6, 1e-8)  # of all tokens, one after the other; the last is the one of the result
+TRIED = (1.0, 0.25, 0.0625, 0.0078125)  # parts of a scaled step that one pass tries
+PLAIN = (256.0, 32.0, 4.0, 1.0)  # the same for steps that aren't scaled; a whole one always leads down
+RIDGE = 1e-9  # of the trace of the Gram matrix
+STILL = 1e-7  # of the distance to the targets: no part of a step brings them nearer by more
+BUCKETS = 1 << 13
 CLOSE = 1e-4  # of each target
 _SIGNS = "#*$%&|<>!?@=+~^"
 # White space, punctuation and signs, as a class of a pattern: one of plain characters only, which Java tests by a table.
@@ -53,9 +58,15 @@ class DomainModel:
         scores = start
         if self.words:
             names = sorted(self.words)
-            at = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.array(*[F.lit(x) for x in self.words[w]]) for w in names]))
+            # a map would be scanned key by key; in an array the bucket of a word is at hand, with the few words it may hold
+            at: list[list] = [[] for _ in range(BUCKETS)]
+            for w in names:
+                h = xxhash.xxh64_intdigest(w.encode(), 42)
+                at[(h - (1 << 64) if h >> 63 else h) % BUCKETS].append({"w": w, "o": self.words[w]})
+            buckets = F.from_json(F.lit(json.dumps(at)), "array<array<struct<w: string, o: array<double>>>>")
             held = F.array_distinct(F.filter(F.concat(words, signs), lambda w: w.isin(names)))
-            scores = F.aggregate(held, start, lambda acc, w: F.zip_with(acc, F.element_at(at, w), lambda a, b: a + b))
+            odds = lambda w: F.get(F.filter(F.get(buckets, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")), lambda e: e["w"] == w), F.lit(0))["o"]
+            scores = F.aggregate(held, start, lambda acc, w: F.zip_with(acc, odds(w), lambda a, b: a + b))
         shifted = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
         return F.transform(shifted, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))[0]
 
@@ -103,15 +114,15 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str =
 
 @dataclass
 class Mixture:
-    """The number of each domain that the rates are made of, and how far the expected totals are from their targets.
+    """The steps that the rates are made of, and how far the expected totals are from their targets.
 
-    ``converged``: the rates are the nearest there are; ``met``: the expected total of every domain is its target, up to ``CLOSE`` of it.
+    ``converged``: no step brings the totals nearer; ``met``: the expected total of every domain is its target, up to ``CLOSE`` of it.
     """
 
     targets: list[float]
     expected: list[float]
     most: float | None
-    pull: list[float] = field(default_factory=list)
+    steps: list[list[float]] = field(default_factory=list)
     converged: bool = True
 
     @property
@@ -119,7 +130,12 @@ class Mixture:
         return _within(np.array(self.expected) - np.array(self.targets), np.array(self.targets))
 
     def rate(self, posterior: Column) -> Column:
-        return _clip(_raw(posterior, self.pull, self.most), self.most)
+        """The rate of a document: 1, moved by every step and brought back between the bounds after each."""
+        first = _clip(F.lit(1.0), self.most)
+        if not self.steps:
+            return first
+        steps = F.from_json(F.lit(json.dumps(self.steps)), "array<array<double>>")
+        return F.aggregate(steps, first, lambda w, v: _clip(w + _dot(posterior, v), self.most))
 
 
 def _within(off: np.ndarray, targets: np.ndarray) -> bool:
@@ -127,10 +143,8 @@ def _within(off: np.ndarray, targets: np.ndarray) -> bool:
     return bool((np.abs(off) <= CLOSE * np.where(targets > 0, targets, max(targets.sum(), 1.0))).all())
 
 
-def _raw(posterior: Column, pull: list[float], most: float | None) -> Column:
-    """The rate before it is brought between its bounds."""
-    start = F.lit(1.0 if most is None else min(1.0, float(most)))
-    return sum((posterior[i] * F.lit(float(v)) for i, v in enumerate(pull)), start)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def _clip(rate: Column, most: float | None) -> Column:
@@ -138,23 +152,25 @@ def _clip(rate: Column, most: float | None) -> Column:
     return low if most is None else F.least(F.lit(float(most)), low)
 
 
-def _passes(members: DataFrame, pulls: list[np.ndarray], most: float | None) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """For each of ``pulls``, of one pass: the integral of the totals along the pull, the totals, and their derivative."""
-    k, t = len(pulls[0]), F.col("tokens")
+def _passes(members: DataFrame, mix: Mixture, step: np.ndarray, parts: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part of ``step`` after those of ``mix``, of one pass: the totals, and the Gram matrix of the documents between the bounds."""
+    k, t = len(step), F.col("tokens")
     p = [F.col("posterior")[i] for i in range(k)]
-    raws = members.select("tokens", "posterior", *[_raw(F.col("posterior"), v.tolist(), most).alias(f"r{n}") for n, v in enumerate(pulls)])
+    along = sum((x * F.lit(float(v)) for x, v in zip(p, step)), F.lit(0.0))
+    now = members.select("tokens", "posterior", mix.rate(F.col("posterior")).alias("w"), along.alias("v"))
+    now = now.select("tokens", "posterior", *[_clip(F.col("w") + F.col("v") * part, mix.most).alias(f"w{n}") for n, part in enumerate(parts)])
     sums = []
-    for n in range(len(pulls)):
-        r, w = F.col(f"r{n}"), _clip(F.col(f"r{n}"), most)
-        free = (r > 0) if most is None else (r > 0) & (r < float(most))
-        sums += [F.sum(t * w * (r - w / 2)), *[F.sum(t * w * x) for x in p]]
+    for n in range(len(parts)):
+        w = F.col(f"w{n}")
+        free = (w > 0) if mix.most is None else (w > 0) & (w < float(mix.most))
+        sums += [F.sum(t * w * x) for x in p]
         sums += [F.sum(F.when(free, t * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i + 1)]
-    got = np.array([x or 0.0 for x in raws.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first()]).reshape(len(pulls), -1)
+    got = np.array([x or 0.0 for x in now.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first()]).reshape(len(parts), -1)
     found = []
     for row in got:
-        slope = np.zeros((k, k))
-        slope[np.tril_indices(k)] = row[1 + k:]
-        found.append((row[0], row[1:1 + k], slope + np.tril(slope, -1).T))
+        gram = np.zeros((k, k))
+        gram[np.tril_indices(k)] = row[k:]
+        found.append((row[:k], gram + np.tril(gram, -1).T))
     return found
 
 
@@ -163,9 +179,9 @@ def match(members: DataFrame, weights: list[float], total: float | None = None,
     """Rates for ``members`` (``tokens``, ``posterior``) whose expected totals are nearest to ``weights`` times ``total``.
 
     ``total`` is the tokens there are, unless given; with ``anchor`` it is what makes the target of this domain the tokens it
-    has. Rates are at least 0 and at most ``most``. Stops when the rates solve their equation up to ``CLOSE`` of each target; if
-    they don't after ``STEPS`` passes, ``converged`` is false and a warning says so. Targets that the bounds rule out are
-    missed by least squares; see ``met``.
+    has. Rates are at least 0 and at most ``most``. Stops when every total is its target up to ``CLOSE`` of it, or no step brings them
+    nearer: targets that the bounds rule out are missed, see ``met``. If neither is so after ``STEPS`` steps, ``converged`` is
+    false and a warning says so. Rows of NULL tokens or posterior count for nothing; without tokens the rates stay 1.
     """
     k, share = len(weights), np.array(weights) / sum(weights)
     sums = [F.sum(F.col("tokens") * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)]
@@ -174,35 +190,32 @@ def match(members: DataFrame, weights: list[float], total: float | None = None,
     if anchor is not None:
         total = float(have[anchor] / share[anchor])
     targets, tokens = share * total, have.sum()
-    mix = Mixture(targets.tolist(), have.tolist(), most, [0.0] * k)
+    mix = Mixture(targets.tolist(), have.tolist(), most)
     if tokens == 0:
         return mix
-    pull = np.zeros(k)
-    value, here, slope = _passes(members, [pull], most)[0]
-    passes, parts = 1, np.array(TRIED)
-    for ridge in np.array(RIDGES) * tokens:
-        while not (done := _within(here + ridge * pull - targets, targets)) and passes < STEPS:
-            off = here + ridge * pull - targets
-            step = -np.linalg.solve(slope + ridge * np.eye(k), off)
-            tried = [pull + part * step for part in parts]
-            found = _passes(members, tried, most)
-            passes += 1
-            height = lambda v, x: x + ridge / 2 * (v @ v) - targets @ v
-            lower = [height(v, f[0]) - height(pull, value) for v, f in zip(tried, found)]
-            left = [np.linalg.norm(f[1] + ridge * v - targets) for v, f in zip(tried, found)]
-            better = [n for n, x in enumerate(lower) if x < 0 or left[n] < np.linalg.norm(off) / 2]
-            if not better:
-                parts = parts / 1024
-                if parts[0] < 1e-12:
-                    break
-                continue
-            best = min(better, key=lambda n: lower[n] if min(lower) < -1e-9 * tokens else left[n])
-            pull, (value, here, slope), parts = tried[best], found[best], np.array(TRIED)
-        if passes >= STEPS:
+    whole = _passes(members, mix, np.zeros(k), (1.0,))[0]
+    all_rows = np.array(members.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"g{i}_{j}")
+                                            for i in range(k) for j in range(k)]).first(), float).reshape(k, k)
+    (here, free), stuck = whole, 0
+    while not _within(here - targets, targets) and len(mix.steps) < STEPS:
+        if stuck % 2:  # the plain gradient: bounds may leave it as the only way down
+            scaled, parts = (targets - here) / np.linalg.eigvalsh(all_rows)[-1], PLAIN
+        else:
+            gram = (free if stuck == 0 else all_rows) + 1e-6 * all_rows
+            scaled, parts = np.linalg.solve(gram + RIDGE * np.trace(gram) * np.eye(k), targets - here), TRIED
+        found = _passes(members, mix, scaled, parts)
+        left = [np.linalg.norm(f[0] - targets) for f in found]
+        best = int(np.argmin(left))
+        if left[best] < np.linalg.norm(here - targets) * (1 - STILL):
+            mix.steps.append((parts[best] * scaled).tolist())
+            (here, free), stuck = found[best], stuck % 2
+            continue
+        stuck += 1
+        if stuck > 3:
             break
-    mix.pull, mix.expected, mix.converged = pull.tolist(), here.tolist(), bool(done)
-    if not done:
-        warnings.warn(f"the rates are not settled after {passes} passes: {mix.expected} instead of {mix.targets}", stacklevel=2)
+    mix.expected, mix.converged = here.tolist(), stuck > 3 or _within(here - targets, targets)
+    if not mix.converged:
+        warnings.warn(f"the rates are not settled after {len(mix.steps)} steps: {mix.expected} instead of {mix.targets}", stacklevel=2)
     return mix
 
 

@@ -119,10 +119,10 @@ def label_domains(labels: DataFrame) -> DataFrame:
 @query("op4_source_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = {"curated": 0.85, "raw": 0.10, "toxic": 0.05}
-    mixed, _, _ = mixing.rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), weights)
+    mixed, _, fitted = mixing.rates(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), weights)
     shares = [F.round(F.col("_posterior")[i], 9).alias(f"p_{d}") for i, d in enumerate(weights)]
     return mixed.select("doc_id", F.col("_tokens").alias("n_tokens"), *shares, F.round("_rate", 9).alias("rate"),
-                        F.col("_copies").alias("copies"))
+                        F.col("_copies").alias("copies"), F.lit(fitted.converged).alias("converged"), F.lit(fitted.met).alias("met"))
 
 
 @query("op5_exact_top_k", """
