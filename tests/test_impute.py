@@ -110,3 +110,24 @@ def test_exact_quantiles_with_heavy_ties_and_tails(spark):
     out = {r["column"]: r for r in exact_quantiles(df, K, ["y", "z"], [0.0, 0.25, 0.5, 0.9, 1.0], slices=16).collect()}
     close(out["y"]["q"], np.quantile(x[:-1], [0.0, 0.25, 0.5, 0.9, 1.0]))
     assert out["y"]["n"] == 1500 and out["z"]["n"] == 1501
+
+
+def test_chained_imputation_settles(spark, monkeypatch):
+    """Many columns driven by two: a hundred rounds at most end early, at values that another round hardly moves; blocks don't matter."""
+    from sparkcast.operators import chained
+
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 2))
+    x = 50 + base @ rng.normal(size=(2, 12)) + 0.1 * rng.normal(size=(300, 12))
+    holes = rng.random(x.shape) < 0.1
+    shown = np.where(holes, np.nan, x)
+    df = split_at(many(spark, {f"c{i}": shown[:, i] for i in range(12)}), 250)
+    names = [f"c{i}" for i in range(12)]
+    out = collected(impute.impute(df, K, names, "iterative"))[names].to_numpy()
+    assert np.array_equal(out[~holes], x[~holes])
+    assert np.abs(out - x)[holes].mean() < 0.25
+    monkeypatch.setattr(chained, "BLOCK_ROWS", 40)
+    dealt = collected(impute.impute(df.repartition(5), K, names, "iterative"))[names].to_numpy()
+    assert np.allclose(out, dealt, atol=1e-6)
+    drawn = [collected(impute.impute(d, K, names, "iterative", rounds=4, sample=True))[names].to_numpy() for d in (df, df.repartition(3))]
+    assert np.allclose(*drawn, atol=1e-6) and np.abs(drawn[0] - x)[holes].mean() < 0.4 and not np.allclose(drawn[0], out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkcast.models import pca
+from sparkcast.models.linear import LinearConfig
 from sparkcast.operators import grid, impute, profile, transform
 from sparkcast.operators.chunks import attach
 from sparkcast.operators.split import split
@@ -81,7 +82,35 @@ def impute_knn(spark, sf):
 
 @query("impute_iterative")
 def impute_iterative(spark, sf):
-    return impute.impute(status_split(spark, sf), K, GAPS, "iterative", rounds=2)
+    return impute.impute(status_split(spark, sf), K, GAPS, "iterative")
+
+
+def chained_sql(rounds):
+    """Two columns, ridge of one on the other: each round learns from the values of the one before, the second column sees the first's new ones."""
+    def model(name, x, y, at):
+        return f"""{name} AS (SELECT series_id, avg({x}) AS mx, avg({y}) AS my,
+          regr_sxy({y}, {x}) / (regr_sxx({y}, {x}) + 1.0::DOUBLE) AS w FROM {at} WHERE split = 'train' AND NOT gap_{y} GROUP BY 1)"""
+
+    steps = []
+    for i in range(rounds):
+        steps += [model(f"mf{i}", "rev_o", "rev_f", f"r{i}"), model(f"mo{i}", "rev_f", "rev_o", f"r{i}"),
+                  f"""h{i} AS (SELECT r.* REPLACE (CASE WHEN gap_rev_f THEN greatest(m.my + m.w * (rev_o - m.mx), 0) ELSE rev_f END AS rev_f)
+          FROM r{i} r JOIN mf{i} m USING (series_id))""",
+                  f"""r{i + 1} AS (SELECT h.* REPLACE (CASE WHEN gap_rev_o THEN greatest(m.my + m.w * (rev_f - m.mx), 0) ELSE rev_o END AS rev_o)
+          FROM h{i} h JOIN mo{i} m USING (series_id))"""]
+    return f"""WITH {STATUS_SPLIT}, means AS (
+      SELECT series_id, avg(rev_f) AS f, avg(rev_o) AS o FROM ssplit WHERE split = 'train' GROUP BY 1),
+    r0 AS (SELECT series_id, ds, split, coalesce(rev_f, f) AS rev_f, coalesce(rev_o, o) AS rev_o, rev_f IS NULL AS gap_rev_f, rev_o IS NULL AS gap_rev_o
+      FROM ssplit JOIN means USING (series_id)), {", ".join(steps)}
+    SELECT series_id, ds, split, round(rev_f, 4) AS rev_f, round(rev_o, 4) AS rev_o FROM r{rounds}"""
+
+
+@query("impute_iterative_ridge", chained_sql(3))
+def impute_iterative_ridge(spark, sf):
+    """Three rounds of chained ridge regression of two columns on each other."""
+    rows = status_split(spark, sf).select("series_id", "ds", "split", "rev_f", "rev_o")
+    found = impute.impute(rows, K, ["rev_f", "rev_o"], "iterative", rounds=3, tolerance=0.0, model=LinearConfig("ridge", alpha=1.0))
+    return rounded(found.select("series_id", "ds", "split", "rev_f", "rev_o"), 4)
 
 
 @query("impute_features", f"""WITH {DAILY}, num AS (
