@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkcast.llm.components import EDGES, Links, components
-from sparkcast.llm.skew import loose
+from sparkcast.llm.skew import loose, unused
 from sparkcast.session import cut_lineage
 
 SHINGLE = 5
@@ -357,9 +357,9 @@ def duplicate_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return gone.groupBy("k1", "k2").agg(F.collect_list("line").alias("gone"))
 
 
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``_k1, _k2`` for what makes a document: its id and its text."""
-    return docs.withColumns({"_k1": F.xxhash64(text, doc_id), "_k2": F.xxhash64(F.lit(1), doc_id, text)})
+def keyed(docs: DataFrame, k1: str, k2: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with columns ``k1`` and ``k2`` for what makes a document: its id and its text."""
+    return docs.withColumns({k1: F.xxhash64(text, doc_id), k2: F.xxhash64(F.lit(1), doc_id, text)})
 
 
 def _without(text: int, gone: int):
@@ -378,16 +378,19 @@ def _without(text: int, gone: int):
 
 
 def without_duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with all columns and ``_gone``, the numbers of the lines taken from ``text``; every row stays.
+    """``docs`` with all columns and, as the last, ``_gone``: the numbers of the lines taken from ``text``; every row stays.
+
+    Where ``docs`` has a column of that name, the new one gets underscores at its end.
 
     Of the lines of the whole corpus that are equal or similar, directly or by way of others, the first stays: the one with the
     smallest document id (NULL last), then the smallest key of the text, then the first line. Lines without a word stay. A text that loses
     all its lines becomes empty, NULL texts stay NULL. Rows equal in id and text are one document and get the same
     result. An empty table gives an empty result. Runs jobs when called.
     """
-    with_keys = keyed(docs, doc_id, text)
-    base = with_keys.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"),
+    k1, k2, gone = (unused(docs, name) for name in ("_k1", "_k2", "_gone"))
+    with_keys = keyed(docs, k1, k2, doc_id, text)
+    base = with_keys.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"),
                             F.col(text).alias("text"))
-    lost = loose(duplicate_lines(base, similar).toDF("_k1", "_k2", "_gone"))
-    joined = with_keys.join(lost, ["_k1", "_k2"], "left").select(*docs.columns, "_gone")
+    lost = loose(duplicate_lines(base, similar).toDF(k1, k2, gone))
+    joined = with_keys.join(lost, [k1, k2], "left").select(*docs.columns, gone)
     return joined.mapInArrow(_without(docs.columns.index(text), len(docs.columns)), joined.schema)

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkcast.llm.skew import unused
 from sparkcast.session import cut_lineage
 
 SAMPLE = 20_000  # labelled documents the classifier is fitted on
@@ -72,9 +73,10 @@ class DomainModel:
 
     def members(self, docs: DataFrame, text: str) -> DataFrame:
         """``docs`` with ``_tokens`` (its words) and ``_posterior``."""
-        split = docs.withColumns({"_words": words_of(F.col(text)), "_signs": signs_of(F.col(text))})
-        found = split.withColumns({"_tokens": F.size("_words").cast("long"), "_posterior": self.posterior(F.col("_words"), F.col("_signs"))})
-        return found.drop("_words", "_signs")
+        words, signs = unused(docs, "_words"), unused(docs, "_signs")
+        split = docs.withColumns({words: words_of(F.col(text)), signs: signs_of(F.col(text))})
+        found = split.withColumns({"_tokens": F.size(words).cast("long"), "_posterior": self.posterior(F.col(words), F.col(signs))})
+        return found.drop(words, signs)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str = "doc_id", text: str = "text",
@@ -246,5 +248,8 @@ def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_i
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text",
         domain: str = "domain", anchor: str | None = None, most: float | None = None, seed: int = 0) -> DataFrame:
     """``docs`` with all columns and ``_tokens``, ``_posterior``, ``_rate`` and ``_copies``; see ``rates``."""
+    clash = {"_tokens", "_posterior", "_rate", "_copies"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns of the result that docs has already: {sorted(clash)}")
     _, model, fitted = rates(docs, labelled, weights, doc_id, text, domain, anchor, most, seed)
     return _rated(model.members(docs, text), fitted, doc_id, F.xxhash64(text), seed)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkcast.llm.components import EDGES, Links, components
-from sparkcast.llm.skew import loose
+from sparkcast.llm.skew import loose, unused
 from sparkcast.llm.words import word_blocks
 from sparkcast.session import cut_lineage
 
@@ -239,9 +239,10 @@ def first_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     one that stays. A NULL text counts as empty, texts without words are equal. An empty table gives an empty result. Equal
     texts are told by a 64-bit hash. Runs jobs when called.
     """
-    plain = docs.withColumn("_w", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    place = F.row_number().over(W.partitionBy("_w").orderBy(F.col(doc_id).asc_nulls_last()))
-    single = plain.withColumn("_place", place).where("_place <= 1")
-    texts = plain.select(F.col("_w").alias("w"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    w, at = unused(docs, "_w"), unused(docs, "_place")
+    plain = docs.withColumn(w, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    place = F.row_number().over(W.partitionBy(w).orderBy(F.col(doc_id).asc_nulls_last()))
+    single = plain.withColumn(at, place).where(F.col(at) <= 1)
+    texts = plain.select(F.col(w).alias("w"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     gone = cut_lineage(copies_of_earlier(texts, similar, shingle))
-    return single.join(gone.withColumnRenamed("w", "_w"), "_w", "left_anti").select(*docs.columns)
+    return single.join(gone.withColumnRenamed("w", w), w, "left_anti").select(*docs.columns)

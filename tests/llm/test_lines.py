@@ -114,3 +114,11 @@ def test_odd_rows(spark):
     assert lines.without_duplicate_lines(docs.limit(0)).collect() == []
     long = spark.createDataFrame([(1, "\n".join(f"line number {i} of a long text {i * i}" for i in range(40_000)))], "doc_id long, text string")
     assert lines.without_duplicate_lines(long).count() == 1
+
+
+def test_names_of_its_own_columns(spark):
+    """Columns named like those the operator works with come back as they were."""
+    rows = [(1, "one line of text here", "a", "b", "c"), (2, "one line of text here\nand another", "d", "e", "f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _k1 string, _k2 string, _gone string")
+    got = sorted(tuple(r) for r in lines.without_duplicate_lines(frame).collect())
+    assert got == [(1, "one line of text here", "a", "b", "c", None), (2, "and another", "d", "e", "f", [0])]

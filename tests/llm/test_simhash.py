@@ -130,3 +130,9 @@ def test_chain_keeps_what_is_not_similar(spark):
     for i, t in docs:
         if i not in kept:
             assert any(j in kept and simhash.similarity(t, u) >= 0.8 for j, u in docs)
+
+
+def test_first_of_similar_keeps_columns_of_its_own_names(spark):
+    text = "a b c d e f g h"
+    frame = spark.createDataFrame([(1, text, "x", "y"), (2, text, "z", "u")], "doc_id long, text string, _w string, _place string")
+    assert [tuple(r) for r in simhash.first_of_similar(frame).collect()] == [(1, text, "x", "y")]
