@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of similar lines the first stays; documents stay, with the text that is left and its length."""
     ship_package(spark)
-    kept = lines.without_duplicate_lines(docs).drop("_gone")
+    kept = lines.without_duplicate_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -45,8 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn by rates of at most 1 that bring the expected tokens of the domains to ``WEIGHTS``."""
     ship_package(spark)
     labels = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed = mixing.mix(docs, labels, WEIGHTS, anchor="curated", most=1.0)
-    return mixed.where("_copies > 0").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_document"))  # no other name of a column can clash
+    mixed = mixing.mix(whole, labels, WEIGHTS, anchor="curated", most=1.0)
+    return mixed.where("_copies > 0").select("_document.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
