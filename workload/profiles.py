@@ -102,7 +102,7 @@ def chained_sql(rounds):
       SELECT series_id, avg(rev_f) AS f, avg(rev_o) AS o FROM ssplit WHERE split = 'train' GROUP BY 1),
     r0 AS (SELECT series_id, ds, split, coalesce(rev_f, f) AS rev_f, coalesce(rev_o, o) AS rev_o, rev_f IS NULL AS gap_rev_f, rev_o IS NULL AS gap_rev_o
       FROM ssplit JOIN means USING (series_id)), {", ".join(steps)}
-    SELECT series_id, ds, split, round(rev_f, 4) AS rev_f, round(rev_o, 4) AS rev_o FROM r{rounds}"""
+    SELECT series_id, ds, split, round(rev_f, 6) AS rev_f, round(rev_o, 6) AS rev_o FROM r{rounds}"""
 
 
 @query("impute_iterative_ridge", chained_sql(3))
@@ -110,7 +110,7 @@ def impute_iterative_ridge(spark, sf):
     """Three rounds of chained ridge regression of two columns on each other."""
     rows = status_split(spark, sf).select("series_id", "ds", "split", "rev_f", "rev_o")
     found = impute.impute(rows, K, ["rev_f", "rev_o"], "iterative", rounds=3, tolerance=0.0, model=LinearConfig("ridge", alpha=1.0))
-    return rounded(found.select("series_id", "ds", "split", "rev_f", "rev_o"), 4)
+    return rounded(found.select("series_id", "ds", "split", "rev_f", "rev_o"), 6)
 
 
 @query("impute_features", f"""WITH {DAILY}, num AS (
