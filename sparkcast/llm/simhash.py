@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkcast.llm.components import EDGES, Links, components
+from sparkcast.llm.components import EDGES, HELD, Links, components, forest
 from sparkcast.llm.skew import loose, unused
 from sparkcast.llm.words import word_blocks
 from sparkcast.session import cut_lineage
@@ -144,10 +144,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return known.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
-# Whole texts that are similar: two fingerprints each, so that random pairs hardly ever meet, and an exact comparison.
+# Whole texts that are similar: wide fingerprints of their distinct shingles, so that random pairs hardly ever meet, and an exact comparison.
 SIMILAR = 0.8
-FIRST, BOTH = 20, 26  # bits that the first fingerprints, and both together, may differ in
-SECOND_SEED = 43
+WIDE = 4  # words of 64 bits in a wide fingerprint
+FIRST, ALL = 20, 68  # bits that the first words, and whole wide fingerprints, of candidates may differ in
+TEXTS = 1 << 14  # texts of a tile of wide fingerprints
+_CLASSES = 4  # size classes of tiles within the ratio 1 / SIMILAR
+_HASHED = 1 << 16  # shingles whose bits are counted at a time
+_PAIRS = 32  # pairs of tiles a task compares
 
 
 def _shingles(text: str | None, shingle: int) -> set[bytes]:
@@ -164,37 +168,123 @@ def similarity(a: str | None, b: str | None, shingle: int = 5) -> float:
     return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
-def _double(shingle: int):
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th of several independent hashes from one."""
+    x = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> list[int]:
+    """Number of distinct word shingles, then the words of a SimHash in which each of them counts once; zeros without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0] * (WIDE + 1)
+    size = min(shingle, len(words))
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-size]])
+    cuts = zip(starts.tolist(), (ends[size - 1:] - 1).tolist())
+    hashes = np.unique(np.array([xxhash.xxh3_64_intdigest(joined[i:j]) for i, j in cuts], np.uint64))
+    counts = np.zeros((WIDE, BITS), np.int64)
+    for at in range(0, len(hashes), _HASHED):
+        for k in range(WIDE):
+            raw = _mixed(hashes[at:at + _HASHED], k).view(np.uint8).reshape(-1, 8)
+            counts[k] += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return [len(hashes), *np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.int64).ravel().tolist()]
+
+
+_WORDS = [f"f{k}" for k in range(WIDE)]
+
+
+def _wide(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *(pa.array([fingerprint(t, shingle, s) for t in texts], pa.int64()) for s in (SEED, SECOND_SEED))],
-                ["w", "doc_id", "fp", "fp2"])
+            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.int64).reshape(-1, WIDE + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, found.T)], ["w", "doc_id", "n", *_WORDS])
+
+    return run
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """One row for a tile: the bounds of its sizes and population counts, and its texts as packed numbers."""
+    packed = np.stack([rows.column(c).to_numpy() for c in ("w", "n", *_WORDS)], axis=1)
+    bits = np.bitwise_count(packed[:, 2].view(np.uint64))
+    bounds = {"least": packed[:, 1].min(), "most": packed[:, 1].max(), "low": int(bits.min()), "high": int(bits.max())}
+    return pa.table({"class": rows.column("class")[:1], "tile": rows.column("tile")[:1],
+                     **{k: pa.array([int(v)], pa.int64()) for k, v in bounds.items()}, "packed": pa.array([packed.tobytes()], pa.binary())})
+
+
+def wide_tiles(points: DataFrame, similar: float = SIMILAR, texts: int = TEXTS) -> DataFrame:
+    """``(class, tile, least, most, low, high, packed)``: ``points`` by size class, then population count, in tiles of ``texts`` to twice as many."""
+    step = -np.log(similar) / _CLASSES
+    placed = points.withColumns({"class": F.floor(F.log(F.greatest("n", F.lit(1))) / step), "pop": F.bit_count("f0")})
+    counts = placed.groupBy("class", "pop").agg(F.count("*").alias("held"))
+    earlier = W.partitionBy("class").orderBy("pop").rowsBetween(W.unboundedPreceding, -1)
+    blocks = counts.select("class", "pop", F.floor(F.coalesce(F.sum("held").over(earlier), F.lit(0)) / texts).alias("block"),
+                           F.ceil(F.col("held") / texts).alias("parts"))
+    tile = F.col("class") * (1 << 48) + F.col("block") * (1 << 24) + F.pmod(F.xxhash64("w", F.lit(3)), "parts")
+    dealt = placed.join(loose(blocks), ["class", "pop"]).select("class", tile.alias("tile"), "w", "n", *_WORDS)
+    return dealt.groupBy("tile").applyInArrow(_pack, "class long, tile long, least long, most long, low long, high long, packed binary")
+
+
+def wide_pairs(tiled: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``(a, b)``, a <= b: pairs of tiles that may hold similar texts by the bounds of their sizes and population counts."""
+    left = tiled.select(F.explode(F.sequence("class", F.col("class") + _CLASSES + 1)).alias("key"), F.col("tile").alias("a"), "least", "most", "low", "high")
+    right = tiled.select(F.col("class").alias("key"), F.col("tile").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("least", "most", "low", "high")))
+    # Sizes in the ratio similar, with room for rounding; texts without words have the size 0 and meet those of one shingle.
+    sizes = (F.col("least_b") * similar <= F.col("most") + 1) & (F.col("least") * similar <= F.col("most_b") + 1)
+    bits = (F.col("low_b") - F.col("high") <= FIRST) & (F.col("low") - F.col("high_b") <= FIRST)
+    return left.join(right, "key").where((F.col("a") <= F.col("b")) & sizes & bits).select("a", "b")
+
+
+def _compare_wide(similar: float):
+    def run(pair: pa.Table) -> pa.Table:
+        held = {t: np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, WIDE + 2) for t, raw in zip(pair.column("tile").to_pylist(), pair.column("packed"))}
+        same = len(held) == 1
+        x, y = (held[pair.column(c)[0].as_py()] for c in ("a", "b"))
+        (fx, fy), (nx, ny) = ([np.ascontiguousarray(t[:, 2:].T).view(np.uint64) for t in (x, y)], (x[:, 1], y[:, 1]))
+        links, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        for at in range(0, len(x), 16):
+            start = at if same else 0
+            near = np.bitwise_count(fx[0, at:at + 16, None] ^ fy[0, None, start:])
+            p, q = np.nonzero(near <= FIRST)
+            apart = near[p, q].astype(np.int64)
+            p, q = p + at, q + start
+            for k in range(1, WIDE):
+                apart += np.bitwise_count(fx[k, p] ^ fy[k, q])
+                close = apart <= ALL
+                p, q, apart = p[close], q[close], apart[close]
+            total = nx[p] + ny[q]
+            fits = similar * np.maximum(nx[p], ny[q]) <= np.minimum(nx[p], ny[q]) + 1e-6
+            fits &= (total * (1 - similar) >= (1 + similar) - 1e-6) | (apart == 0)  # else only equal sets of shingles are similar
+            a, b = x[p[fits], 0], y[q[fits], 0]
+            links.append((a[a != b], b[a != b]))
+            size += len(links[-1][0])
+            if size >= HELD:
+                links = [forest(*map(np.concatenate, zip(*links)))]
+                size = len(links[0][0])
+        a, b = forest(*map(np.concatenate, zip(*links)))
+        return pa.table({"a": a, "b": b})
 
     return run
 
 
-def _compare_both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    links = Links()
-    for batch in batches:
-        for i in range(batch.num_rows):
-            left, right = (batch.column(c)[i].values for c in (0, 1))
-            (wx, x, x2), (wy, y, y2) = ([np.asarray(part.field(n)).view(np.uint64) for n in ("w", "fp", "fp2")] for part in (left, right))
-            for at in range(0, len(x), _ROWS):
-                near = np.bitwise_count(x[at:at + _ROWS, None] ^ y[None, :])
-                p, q = np.nonzero(near <= FIRST)
-                both = near[p, q] + np.bitwise_count(x2[at + p] ^ y2[q]) <= BOTH
-                a, b = wx[at + p[both]].view(np.int64), wy[q[both]].view(np.int64)
-                yield from links.add(a[a != b], b[a != b])
-    yield from links.flush()
+def wide_links(points: DataFrame, similar: float = SIMILAR, texts: int = TEXTS) -> DataFrame:
+    """Links between candidates among ``points`` (``w, n, f0 ...``). Tiles meet as ids; then a pair at a time gets its two tiles."""
+    tiled = cut_lineage(wide_tiles(points, similar, texts))
+    pairs = cut_lineage(wide_pairs(tiled, similar))
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // _PAIRS))
+    ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
+    met = ends.join(tiled.select("tile", "packed"), "tile").repartition(tasks, "a", "b")
+    return met.groupBy("a", "b").applyInArrow(_compare_wide(similar), EDGES)
 
 
 def _alike(similar: float, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            found = pa.array([similarity(x, y, shingle) >= similar for x, y in pairs], pa.bool_())
+            found = pa.array([similarity(x.as_py(), y.as_py(), shingle) >= similar for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], found], ["component", "w", "alike"])
 
     return run
@@ -206,14 +296,15 @@ def copies_of_earlier(texts: DataFrame, similar: float = SIMILAR, shingle: int =
     Texts whose fingerprints are close form components. In each the text with the smallest id stays and takes the similar
     ones away; what is left of the component goes on likewise, until nothing is. So a text only goes for one that stays.
     """
-    known = texts.mapInArrow(_double(shingle), "w long, doc_id long, fp long, fp2 long")
-    points = cut_lineage(known.groupBy("w").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")))
-    pairs = tile_pairs(points.select("w", "fp", "fp2"), FIRST, segments=1, salts=8, packed=F.struct("w", "fp", "fp2"))
-    found = components(pairs.mapInArrow(_compare_both, EDGES))
+    if similar < SIMILAR:
+        raise ValueError(f"the radius of candidates holds for a similarity of {SIMILAR} or more")
+    known = texts.mapInArrow(_wide(shingle), f"w long, doc_id long, n long, {', '.join(f'{c} long' for c in _WORDS)}")
+    points = cut_lineage(known.groupBy("w").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", *_WORDS))))
+    found = components(wide_links(points.select("w", "n", *_WORDS), similar))
     every = found.select("component", F.col("node").alias("w")).unionByName(
         found.select("component", F.col("component").alias("w")).distinct())
     late = F.col("doc_id").isNull()
-    left = cut_lineage(every.join(points, "w").select("component", "w", F.struct(late.alias("late"), "doc_id", "w").alias("place")))
+    left = cut_lineage(every.join(points.select("w", "doc_id"), "w").select("component", "w", F.struct(late.alias("late"), "doc_id", "w").alias("place")))
     held = cut_lineage(texts.select("w", "text").join(loose(left.select("w", "component")), "w").groupBy("w").agg(F.first("text").alias("text")))
     gone = []
     while not left.isEmpty():
@@ -235,8 +326,8 @@ def first_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """The rows of ``docs``, with all their columns, of which no equal or similar one with a smaller id (NULL last) stays.
 
     Of rows with equal texts one stays, repeated rows too. Texts are similar when their word shingles have at least the Jaccard
-    similarity given; pairs at 0.8 are found with 96 %, at 0.9 with more than 99.9 % probability, and none is removed that isn't similar to
-    one that stays. A NULL text counts as empty, texts without words are equal. An empty table gives an empty result. Equal
+    similarity given (0.8 at least); a pair at 0.8 is found with over 99 % probability, short ones too, and none is removed that isn't
+    similar to one that stays. A NULL text counts as empty, texts without words are equal. An empty table gives an empty result. Equal
     texts are told by a 64-bit hash. Runs jobs when called.
     """
     w, at = unused(docs, "_w"), unused(docs, "_place")

@@ -136,3 +136,56 @@ def test_first_of_similar_keeps_columns_of_its_own_names(spark):
     text = "a b c d e f g h"
     frame = spark.createDataFrame([(1, text, "x", "y"), (2, text, "z", "u")], "doc_id long, text string, _w string, _place string")
     assert [tuple(r) for r in simhash.first_of_similar(frame).collect()] == [(1, text, "x", "y")]
+
+
+def test_short_and_long_near_copies_are_candidates():
+    rng = random.Random(4)
+    for size, own in ((4, 1), (8, 2), (16, 4), (40, 10), (80, 20), (160, 40)):
+        found = 0
+        for trial in range(200):
+            words = [f"{trial} {rng.random()}" .replace(" ", "_") for _ in range(size + own + 4)]
+            a, b = " ".join(words[:size + 4]), " ".join(words)
+            assert simhash.similarity(a, b) == 0.8
+            (n, *x), (m, *y) = simhash.wide_fingerprint(a), simhash.wide_fingerprint(b)
+            assert (n, m) == (size, size + own)
+            apart = [((p ^ q) % (1 << 64)).bit_count() for p, q in zip(x, y)]
+            found += apart[0] <= simhash.FIRST and sum(apart) <= simhash.ALL
+        assert found >= 0.97 * 200, (size, found)
+
+
+def test_wide_tiles_link_every_candidate(spark):
+    rng = random.Random(6)
+    points = []
+    for n in (0, 1, 3, 9, 40, 44, 50, 55, 62, 400):
+        for _ in range(12):
+            base = [rng.getrandbits(64) for _ in range(4)]
+            for j in range(3):
+                words = [f if not j else f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in base]
+                points.append((len(points) + 1, max(0, n + (rng.randrange(-3, 4) if n > 8 else 0)), *[f - (1 << 64) if f >> 63 else f for f in words]))
+            points.append((len(points) + 1, int(n * 1.2), *points[-1][2:]))
+    want = {}
+
+    def top(i):
+        while want.setdefault(i, i) != i:
+            i = want[i]
+        return i
+
+    for i, n, *x in points:
+        for j, m, *y in points:
+            apart = [((p ^ q) % (1 << 64)).bit_count() for p, q in zip(x, y)]
+            close = apart[0] <= simhash.FIRST and sum(apart) <= simhash.ALL and 0.8 * max(n, m) <= min(n, m) + 1e-6
+            if close and (n + m >= 9 or not sum(apart)):
+                low, high = sorted((top(i), top(j)))
+                want[high] = low
+    frame = spark.createDataFrame(points, "w long, n long, f0 long, f1 long, f2 long, f3 long").repartition(4)
+    for texts in (1 << 14, 8):
+        got = {r.node: r.component for r in components(simhash.wide_links(frame, texts=texts)).collect()}
+        assert got == {i: top(i) for i in want if top(i) != i}
+    assert simhash.wide_links(frame.limit(0)).collect() == []
+
+
+def test_short_near_copies_go(spark):
+    words = [f"q{i}" for i in range(12)]
+    docs = [(1, " ".join(words[:8])), (2, " ".join(words[:9])), (3, " ".join(words[:12])), (4, "q1 q2"), (5, "Q1  q2"), (6, "q1 q3")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.first_of_similar(frame).collect()) == [1, 3, 4, 6]
