@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcast.llm.components import EDGES, Links, components
+from sparkcast.llm.components import EDGES, Links, components, forest
 from sparkcast.llm.skew import loose, unused
 from sparkcast.session import cut_lineage
 
@@ -223,10 +223,11 @@ def _overlaps(texts: list[str], left: np.ndarray, right: np.ndarray) -> tuple[np
     return both, sizes
 
 
-def _near(band: int, lo: int, hi: int, rows: pa.StructArray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+def _near(rows: pa.Table, similar: float) -> tuple[np.ndarray, np.ndarray]:
     """Similar lines of different components, one of block ``lo`` and one of ``hi``, that share no earlier band and have close sketches."""
-    block, h, c = (rows.field(n).to_numpy(zero_copy_only=False) for n in ("block", "h", "c"))
-    keys = rows.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS + 1)
+    band, lo, hi = (rows.column(n)[0].as_py() for n in ("band", "lo", "hi"))
+    block, h, c = (rows.column(n).to_numpy() for n in ("block", "h", "c"))
+    keys = rows.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS + 1)
     left, right = np.nonzero(block == lo)[0], np.nonzero(block == hi)[0]
     sketch = keys[:, BANDS].astype(np.uint64)
     open_ = (c[left][:, None] != c[right]) & (np.bitwise_count(sketch[left][:, None] ^ sketch[right]) <= APART)
@@ -239,19 +240,16 @@ def _near(band: int, lo: int, hi: int, rows: pa.StructArray, similar: float) ->
     if not len(left):
         return left, right
     used, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    both, sizes = _overlaps(rows.field("line").take(pa.array(used)).to_pylist(), at[:len(left)], at[len(left):])
+    both, sizes = _overlaps(rows.column("line").take(pa.array(used)).to_pylist(), at[:len(left)], at[len(left):])
     total = sizes[at[:len(left)]][:, None] + sizes[at[len(left):]]
     i, j = np.nonzero(open_ & (both / (total - both) >= similar))
     return h[left[i]], h[right[j]]
 
 
 def _compare_blocks(similar: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = Links()
-        for batch in batches:
-            for band, lo, hi, rows in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
-                yield from links.add(*_near(band, lo, hi, rows.values, similar))
-        yield from links.flush()
+    def run(rows: pa.Table) -> pa.Table:
+        a, b = forest(*_near(rows, similar))
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -281,8 +279,8 @@ def left_over(crowds: DataFrame, texts: DataFrame, roots: DataFrame, similar: fl
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     known = texts.join(loose(placed.select("h").distinct()), "h", "left_semi").mapInArrow(_with_keys, "h long, line string, keys array<long>")
     rows = dealt.join(cut_lineage(known), "h").select(
-        "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("block", "h", "c", "line", "keys").alias("row"))
-    return rows.groupBy("band", "lo", "hi").agg(F.collect_list("row").alias("rows")).mapInArrow(_compare_blocks(similar), EDGES)
+        "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "c", "line", "keys")
+    return rows.groupBy("band", "lo", "hi").applyInArrow(_compare_blocks(similar), EDGES)
 
 
 def _similar(similar: float):
