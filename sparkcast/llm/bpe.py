@@ -170,6 +170,11 @@ class WordBpe:
             out += [get(p) or make(p) for p in self._pieces(part)]
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Empty the tables of words and pairs met: a worker that goes on with other work keeps the vocabulary only."""
+        self.words.clear()
+        self.compatible.clear()
+
     def decode(self, packed: bytes) -> str:
         """The names of the tokens, one space between them: slices of one table of bytes, taken by offset."""
         ids, parts = np.frombuffer(packed, "<u4"), []
@@ -204,6 +209,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
             found = [bpe.encode(t.as_py()) for t in batch.column(1)]
             sizes = pa.array([len(f) // 4 for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(found, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        bpe.forget()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids binary")
@@ -231,6 +237,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary()),
                      pa.array(map(bpe.decode, found), pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        bpe.forget()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids binary, decoded string")
