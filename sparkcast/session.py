@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH = "4m"  # bytes of an Arrow batch; 10,000 rows of long texts would else be one
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g",
                   name: str = "sparkcast") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -56,8 +60,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable for the Python workers, once per Spark application."""
+    """Make this package importable for the Python workers, once per Spark application.
+
+    Batches for the workers are bounded by their bytes, not only by their rows, unless the session has a bound of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH)
     if getattr(context, "_sparkcast_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
