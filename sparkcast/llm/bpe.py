@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from sparkcast.llm.batches import giving_back
+
 CACHED_WORDS = 300_000
-BATCH = 1000  # rows encoded before they are handed on
+BATCH = 200  # rows encoded before they are handed on
 CHUNK = 1 << 16
 _LAST = 256  # symbols from here on end a word
 _NEVER = 1 << 62
@@ -170,11 +172,6 @@ class WordBpe:
             out += [get(p) or make(p) for p in self._pieces(part)]
         return b"".join(out)
 
-    def forget(self) -> None:
-        """Empty the tables of words and pairs met: a worker that goes on with other work keeps the vocabulary only."""
-        self.words.clear()
-        self.compatible.clear()
-
     def decode(self, packed: bytes) -> str:
         """The names of the tokens, one space between them: slices of one table of bytes, taken by offset."""
         ids, parts = np.frombuffer(packed, "<u4"), []
@@ -186,16 +183,6 @@ class WordBpe:
         return b"".join(parts)[:-1].decode()
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
-def loaded(path: str) -> WordBpe:
-    """The vocabulary of a file, read once per Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
-
-
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids)`` for every row of ``docs``; ``ids`` are packed little-endian unsigned 32-bit integers.
 
@@ -203,13 +190,13 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     ``ids``. Repeated rows and NULL ids stay as they are, other columns are not read, an empty table gives an empty result.
     ``path`` must be readable by the executors. One narrow stage, no shuffle.
     """
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = WordBpe(path)  # read in a quarter of a second; a worker keeps none
         for batch in batches:
             found = [bpe.encode(t.as_py()) for t in batch.column(1)]
             sizes = pa.array([len(f) // 4 for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(found, pa.binary())], ["doc_id", "n_tokens", "ids"])
-        bpe.forget()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids binary")
@@ -217,8 +204,9 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (``doc_id``, ``n_tokens``, ``ids``) with ``decoded``; NULL ids count as none and give an empty text."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = WordBpe(path)  # read in a quarter of a second; a worker keeps none
         for batch in batches:
             texts = pa.array([bpe.decode(i.as_py() or b"") for i in batch.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "n_tokens", "ids", "decoded"])
@@ -228,8 +216,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``encode`` and ``decode`` in one pass: ``(doc_id, n_tokens, ids, decoded)``."""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = WordBpe(path)  # read in a quarter of a second; a worker keeps none
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
@@ -237,7 +226,6 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(f) // 4 for f in found], pa.int64()), pa.array(found, pa.binary()),
                      pa.array(map(bpe.decode, found), pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
-        bpe.forget()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids binary, decoded string")

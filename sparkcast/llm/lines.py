@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkcast.llm.batches import giving_back
 from sparkcast.llm.components import EDGES, Links, components, forest
 from sparkcast.llm.skew import loose, unused
 from sparkcast.session import cut_lineage
@@ -107,6 +108,7 @@ def _numbered(text: str | None) -> Iterator[tuple[int, str, int]]:
             yield i, s, h - (1 << 64) if h >> 63 else h
 
 
+@giving_back
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line with its place; its band keys and sketch too, where this task hasn't met it lately."""
     names = ["doc_id", "k1", "k2", "line", "h", "bands"]
@@ -284,6 +286,7 @@ def left_over(crowds: DataFrame, texts: DataFrame, roots: DataFrame, similar: fl
 
 
 def _similar(similar: float):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [are_similar(x, y, similar) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -312,6 +315,7 @@ def wanted_table(wanted: DataFrame) -> np.ndarray:
 
 
 def _line_texts(table):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
@@ -361,6 +365,7 @@ def keyed(docs: DataFrame, k1: str, k2: str, doc_id: str = "doc_id", text: str =
 
 
 def _without(text: int, gone: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lost = batch.column(text).to_pylist(), batch.column(gone).to_pylist()

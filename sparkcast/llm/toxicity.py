@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkcast.llm.batches import giving_back
 from sparkcast.session import cut_lineage
 
 SAMPLE = 20_000  # labelled rows the model is fitted on
@@ -82,6 +83,7 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic:
              .where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("id"), "id").limit(sample))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -140,6 +142,7 @@ def grade(docs: DataFrame, model: SeverityModel, doc_id: str = "doc_id", text: s
     is above 0. A NULL or empty text is graded by no words at all; repeated rows and NULL ids stay as they are, other columns
     are not read, an empty table gives an empty result. An empty model gives 0. One narrow stage, no shuffle.
     """
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             above = [model.above(t.as_py()) for t in batch.column(1)]
@@ -156,6 +159,7 @@ def without_toxic(docs: DataFrame, model: SeverityModel, text: str = "text") ->
     """The rows of ``docs``, with all their columns, that aren't toxic."""
     place = docs.columns.index(text)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = pa.array([not any(p >= 0.5 for p in model.above(t.as_py())) for t in batch.column(place)], pa.bool_())
