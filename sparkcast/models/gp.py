@@ -107,7 +107,7 @@ def gp_forecast(df: DataFrame, keys: Sequence[str], features: Sequence[str], y:
         rows = rows.withColumn("_v", (F.col("_y") - F.col("_mean__y")) / F.col("_sd__y"))
     else:
         rows = rows.withColumn("_v", F.col("_y"))
-    rows = attach(rows, inducing_rows(rows, keys, columns, inducing), keys).filter(complete([*columns, "z"]))
+    rows = attach(rows, inducing_rows(rows, keys, columns, inducing), keys).filter(complete(columns) & F.col("z").isNotNull())
 
     def phi(cfg: GpConfig, group: pd.DataFrame) -> np.ndarray:
         z = np.array([np.asarray(r, float) for r in group["z"].iloc[0]])[:, 1:]

@@ -241,6 +241,17 @@ def test_gaussian_process_picks_the_likelier_kernel(spark):
     assert rmse(y[100:], out["prediction"][100:]) < 1.0
 
 
+def test_gaussian_process_leaves_out_rows_and_series_it_cannot_use(spark):
+    """Rows with a missing feature and series without a complete train row get no forecast; the others keep theirs."""
+    t = np.arange(60.0)
+    whole = split_at(many(spark, {"x": t, "y": np.sin(t)}), 50)
+    holes = split_at(many(spark, {"x": np.where(t % 10 == 3, np.nan, t), "y": np.sin(t)}, "b"), 50)
+    bare = split_at(many(spark, {"x": np.where(t < 50, np.nan, t), "y": np.sin(t)}, "c"), 50)
+    out = collected(gp.gp_forecast(whole.unionByName(holes).unionByName(bare), K, ["x"], "y", [gp.GpConfig("se", noise=0.05)]), "t")
+    missing = out["prediction"].isna().groupby(out["series_id"]).sum()
+    assert missing.to_dict() == {"a": 0, "b": 6, "c": 60}
+
+
 def test_trees_and_their_importance(spark):
     rng = np.random.default_rng(6)
     x = rng.uniform(0, 1, (200, 2))
