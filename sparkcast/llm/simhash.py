@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkcast.llm.batches import giving_back
 from sparkcast.llm.components import EDGES, HELD, Links, components, forest
 from sparkcast.llm.skew import loose, unused
 from sparkcast.llm.words import word_blocks
@@ -152,6 +153,8 @@ TEXTS = 1 << 14  # texts of a tile of wide fingerprints
 _CLASSES = 4  # size classes of tiles within the ratio 1 / SIMILAR
 _HASHED = 1 << 16  # shingles whose bits are counted at a time
 _PAIRS = 32  # pairs of tiles a task compares
+HEADS, HEAD_CHARS = 512, 1 << 20  # texts of a component, and their characters, that a round judges by at most; the first by one
+JUDGED = 1 << 10  # texts that meet a copy of the heads, about
 
 
 def _shingles(text: str | None, shingle: int) -> set[bytes]:
@@ -281,20 +284,79 @@ def wide_links(points: DataFrame, similar: float = SIMILAR, texts: int = TEXTS)
     return met.groupBy("a", "b").applyInArrow(_compare_wide(similar), EDGES)
 
 
+def _sets_alike(x: set[bytes], y: set[bytes], similar: float) -> bool:
+    """``similarity`` of two sets of shingles, told by their sizes where these are far apart."""
+    if not x or not y:
+        return not x and not y
+    if min(len(x), len(y)) / max(len(x), len(y)) < similar:
+        return False
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) >= similar
+
+
+def _staying(similar: float, shingle: int):
+    """Heads sorted by component and place: does each stay beside the staying ones before it?"""
+    @giving_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            stays = []
+            for component, text in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if component != at:
+                    at, held = component, []
+                own = _shingles(text.as_py(), shingle)
+                stays.append(not any(_sets_alike(own, x, similar) for x in held))
+                if stays[-1]:
+                    held.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stays, pa.bool_())], ["component", "w", "text", "stays"])
+
+    return run
+
+
 def _alike(similar: float, shingle: int):
+    """Blocks of a component, their heads first: is each other text similar to one of them?"""
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, heads = None, []
         for batch in batches:
-            found = pa.array([similarity(x.as_py(), y.as_py(), shingle) >= similar for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], found], ["component", "w", "alike"])
+            found = []
+            for component, block, w, text, head in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), batch.column(4).to_pylist()):
+                if (component, block) != at:
+                    at, heads = (component, block), []
+                own = _shingles(text.as_py(), shingle)
+                if head:
+                    heads.append(own)
+                else:
+                    found.append((w, any(_sets_alike(own, x, similar) for x in heads)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.bool_()))], ["w", "alike"])
 
     return run
 
 
+def _judge(left: DataFrame, held: DataFrame, most: int, similar: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` texts of each component, ``(component, w, stays)``, and the others, ``(w, alike)``: similar to one of those that stay?"""
+    order = W.partitionBy("component").orderBy("place")
+    first = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).join(held, "w")
+    first = first.withColumn("chars", F.sum(F.length(F.coalesce("text", F.lit("")))).over(order)).where((F.col("rank") == 1) | (F.col("chars") <= HEAD_CHARS))
+    heads = cut_lineage(first.repartition("component").sortWithinPartitions("component", "rank").select("component", "w", "text")
+                        .mapInArrow(_staying(similar, shingle), "component long, w long, text string, stays boolean"))
+    others = left.select("component", "w").join(loose(heads.select("w")), "w", "left_anti")
+    sizes = loose(others.groupBy("component").agg(F.ceil(F.count("*") / JUDGED).alias("blocks")))
+    dealt = others.join(sizes, "component").join(held, "w").select(
+        "component", F.pmod(F.xxhash64("w"), "blocks").alias("block"), "w", "text", F.lit(False).alias("head"))
+    tops = heads.where("stays").join(sizes, "component").select(
+        "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "w", "text", F.lit(True).alias("head"))
+    met = dealt.unionByName(tops).repartition("component", "block").sortWithinPartitions("component", "block", F.desc("head"))
+    return heads.select("component", "w", "stays"), cut_lineage(met.mapInArrow(_alike(similar, shingle), "w long, alike boolean"))
+
+
 def copies_of_earlier(texts: DataFrame, similar: float = SIMILAR, shingle: int = 5) -> DataFrame:
     """``(w)`` of the texts that are similar to one that stays; ``texts`` has ``w`` (number of the text), ``doc_id`` and ``text``.
 
     Texts whose fingerprints are close form components. In each the text with the smallest id stays and takes the similar
-    ones away; what is left of the component goes on likewise, until nothing is. So a text only goes for one that stays.
+    ones away; what is left of the component goes on likewise, until nothing is. So a text only goes for one that stays. A round
+    judges by several texts of a component, first among themselves and in order, which comes to the same.
     """
     if similar < SIMILAR:
         raise ValueError(f"the radius of candidates holds for a similarity of {SIMILAR} or more")
@@ -306,14 +368,12 @@ def copies_of_earlier(texts: DataFrame, similar: float = SIMILAR, shingle: int =
     late = F.col("doc_id").isNull()
     left = cut_lineage(every.join(points.select("w", "doc_id"), "w").select("component", "w", F.struct(late.alias("late"), "doc_id", "w").alias("place")))
     held = cut_lineage(texts.select("w", "text").join(loose(left.select("w", "component")), "w").groupBy("w").agg(F.first("text").alias("text")))
-    gone = []
+    gone, most = [], 1
     while not left.isEmpty():
-        heads = left.groupBy("component").agg(F.min("place").alias("head")).select("component", F.col("head.w").alias("head"))
-        heads = heads.join(held.toDF("head", "head_text"), "head")
-        judged = left.join(loose(heads), "component").where("w != head").join(held, "w").select("component", "w", "text", "head_text")
-        judged = cut_lineage(judged.mapInArrow(_alike(similar, shingle), "component long, w long, alike boolean"))
-        gone.append(judged.where("alike").select("w"))
-        left = cut_lineage(left.join(judged.where("NOT alike").select("w"), "w", "left_semi"))
+        heads, others = _judge(left, held, most, similar, shingle)
+        gone += [heads.where("NOT stays").select("w"), others.where("alike").select("w")]
+        left = cut_lineage(left.join(others.where("NOT alike").select("w"), "w", "left_semi"))
+        most = min(HEADS, most * 8)
     if not gone:
         return points.select("w").limit(0)
     whole = gone[0]

@@ -132,6 +132,28 @@ def test_chain_keeps_what_is_not_similar(spark):
             assert any(j in kept and simhash.similarity(t, u) >= 0.8 for j, u in docs)
 
 
+def test_many_texts_of_one_component_stay_in_few_rounds(spark, monkeypatch):
+    """Candidates that are all linked and mostly not similar are judged as one by one, but not in a round for each."""
+    rng = random.Random(5)
+    docs = []
+    for i in range(240):
+        words = docs[rng.randrange(len(docs))][1].split() if i % 3 == 2 else [f"x{rng.randrange(10 ** 6)}" for _ in range(60)]
+        words[rng.randrange(60)] = "other"
+        docs.append((i, " ".join(words)))
+    want = []
+    for i, t in docs:
+        if not any(simhash.similarity(t, u) >= 0.8 for _, u in want):
+            want.append((i, t))
+    assert 150 < len(want) < 240
+    rounds, judge = [], simhash._judge
+    monkeypatch.setattr(simhash, "JUDGED", 50)
+    monkeypatch.setattr(simhash, "_judge", lambda *args: rounds.append(1) or judge(*args))
+    monkeypatch.setattr(simhash, "wide_links", lambda points, similar: points.crossJoin(points.selectExpr("min(w) AS b")).selectExpr("w AS a", "b"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.first_of_similar(frame).collect()) == [i for i, _ in want]
+    assert len(rounds) <= 4
+
+
 def test_first_of_similar_keeps_columns_of_its_own_names(spark):
     text = "a b c d e f g h"
     frame = spark.createDataFrame([(1, text, "x", "y"), (2, text, "z", "u")], "doc_id long, text string, _w string, _place string")
