@@ -33,6 +33,21 @@ def test_against_brute_force(spark):
     assert sorted((r.query_id, r.id, r.distance, r["rank"]) for r in got) == brute(rows, queries, 7)
 
 
+def test_rows_that_spark_makes_stay_few(spark, monkeypatch):
+    """Several shards and blocks give the same, and no round hands on more than some rows for each query."""
+    rng = random.Random(2)
+    centre = rng.getrandbits(64)
+    rows = [(i, signed(rng.getrandbits(64) if i % 4 else centre ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))) for i in range(900)]
+    frame = spark.createDataFrame(rows, "vec_id long, code long")
+    for name, value in (("SHARD", 60), ("BLOCK", 16), ("LEAST", 8), ("HELD", 500)):
+        monkeypatch.setattr(hamming, name, value)
+    made, best = [], hamming._best
+    monkeypatch.setattr(hamming, "_best", lambda found, k: made.append(found.count()) or best(found, k))
+    got = hamming.nearest(frame, frame.where("vec_id % 20 = 0"), k=3).collect()
+    assert sorted((r.query_id, r.id, r.distance, r["rank"]) for r in got) == brute(rows, [r for r in rows if r[0] % 20 == 0], 3)
+    assert len(made) == 3 and max(made) <= 3 * 45 * 8
+
+
 def test_small_and_empty(spark):
     rows = [(0, 0), (1, 3), (2, 255)]
     frame = spark.createDataFrame(rows, "vec_id long, code long")
