@@ -34,6 +34,7 @@ SEEN = 1 << 18  # lines a task remembers to have signed
 TABLE = 26  # the table of wanted lines has 2 ** 26 bits, 8 MB, for any number of lines
 BLOCK, BLOCK_CHARS = 1 << 10, 1 << 18  # lines, and their characters, of a crowded band that are compared with as many others at a time
 COLUMNS = 1 << 12  # shingles counted at a time
+PAIRS = 1 << 10  # pairs of lines compared at a time
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,6 +100,53 @@ def are_similar(a: str, b: str, similar: float) -> bool:
     return jaccard(a, b) >= similar
 
 
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every shingle, repeats included, and the number of its line; shorter lines are filled up."""
+    padded = [s if len(s) >= SHINGLE else s.ljust(SHINGLE, "\0") for s in lines]
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    span = len(codes) - SHINGLE + 1
+    mixed = np.zeros(span, np.uint64)
+    for k in range(SHINGLE):
+        mixed = (mixed ^ codes[k:k + span]) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+    owner = np.repeat(np.arange(len(lines)), sizes)[:span]
+    inside = np.arange(span) + SHINGLE <= np.cumsum(sizes)[owner]
+    return mixed[inside], owner[inside]
+
+
+def _decided(both: np.ndarray, total: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of counts of hashed shingles, common ones and those of two lines together: is the pair similar, and is that sure?
+
+    Sure is what one more or one less shingle, as two of the same hash would make, doesn't change.
+    """
+    apart = total - both
+    yes = both / apart >= similar
+    return yes, np.where(yes, both - 1 >= similar * (apart + 1) + 1e-6, both + 1 < similar * (apart - 1) - 1e-6)
+
+
+def _alike(xs: list[str], ys: list[str], similar: float) -> np.ndarray:
+    """``are_similar`` of pairs: shingles are counted by their hashes, many pairs at a time, and what that leaves open by themselves."""
+    found = np.zeros(len(xs), bool)
+    ends = np.cumsum(np.fromiter((len(x) + len(y) for x, y in zip(xs, ys)), np.int64, len(xs)))
+    low = 0
+    while low < len(xs):
+        high = max(low + 1, min(low + PAIRS, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 4 * CHUNK, "right"))))
+        hashes, owner = _hashed([s for pair in zip(xs[low:high], ys[low:high]) for s in pair])
+        keys = (owner >> 1).astype(np.uint64) << np.uint64(54) | hashes >> np.uint64(11) << np.uint64(1) | (owner & 1).astype(np.uint64)
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        total = np.bincount((keys >> np.uint64(54)).astype(np.int64), minlength=high - low)
+        shared = keys[1:][keys[1:] >> np.uint64(1) == keys[:-1] >> np.uint64(1)]
+        both = np.bincount((shared >> np.uint64(54)).astype(np.int64), minlength=high - low)
+        yes, sure = _decided(both, total, similar)
+        for i in np.nonzero(~sure)[0].tolist():
+            yes[i] = are_similar(xs[low + i], ys[low + i], similar)
+        found[low:high] = yes
+        low = high
+    return found
+
+
 def _numbered(text: str | None) -> Iterator[tuple[int, str, int]]:
     """Number, plain form and 64-bit hash of every line with a word."""
     for i, line in enumerate((text or "").split("\n")):
@@ -207,12 +255,13 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _overlaps(texts: list[str], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of every line of ``left`` with every one of ``right``, and the shingles of each text."""
-    number: dict[str, int] = {}
-    held = [np.fromiter((number.setdefault(g, len(number)) for g in _shingles(t)), np.int64) for t in texts]
-    sizes = np.array([len(x) for x in held])
-    ids, owner = np.concatenate(held), np.repeat(np.arange(len(texts)), sizes)
-    shared = np.bincount(ids, minlength=len(number)) > 1
+    """Common hashed shingles of every line of ``left`` with every one of ``right``, and those of each text."""
+    hashes, owner = _hashed(texts)
+    ids = np.unique(hashes, return_inverse=True)[1]
+    columns = int(ids.max()) + 1
+    owner, ids = np.divmod(np.unique(owner * columns + ids), columns)
+    sizes = np.bincount(owner, minlength=len(texts))
+    shared = np.bincount(ids, minlength=columns) > 1
     ids, owner, columns = (np.cumsum(shared) - 1)[ids[shared[ids]]], owner[shared[ids]], int(shared.sum())
     order = np.argsort(ids, kind="stable")
     ids, owner = ids[order], owner[order]
@@ -242,9 +291,12 @@ def _near(rows: pa.Table, similar: float) -> tuple[np.ndarray, np.ndarray]:
     if not len(left):
         return left, right
     used, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    both, sizes = _overlaps(rows.column("line").take(pa.array(used)).to_pylist(), at[:len(left)], at[len(left):])
-    total = sizes[at[:len(left)]][:, None] + sizes[at[len(left):]]
-    i, j = np.nonzero(open_ & (both / (total - both) >= similar))
+    texts = rows.column("line").take(pa.array(used)).to_pylist()
+    both, sizes = _overlaps(texts, at[:len(left)], at[len(left):])
+    yes, sure = _decided(both, sizes[at[:len(left)]][:, None] + sizes[at[len(left):]], similar)
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(open_ & ~sure))):
+        yes[i, j] = are_similar(texts[at[i]], texts[at[len(left) + j]], similar)
+    i, j = np.nonzero(open_ & yes)
     return h[left[i]], h[right[j]]
 
 
@@ -289,8 +341,8 @@ def _similar(similar: float):
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [are_similar(x, y, similar) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = _alike(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similar)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 

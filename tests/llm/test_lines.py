@@ -76,6 +76,23 @@ def test_recall_of_bands():
     assert total > 200 and hit >= 0.96 * total
 
 
+def test_pairs_at_once_are_judged_as_one_by_one(monkeypatch):
+    rng = random.Random(3)
+    pairs = [("ab", "ab"), ("ab", "ac"), ("ab", "ab\0\0\0"), ("abcd", "abcde"), ("aaaaaaaa", "aaaaaa"), ("x" * 3000, "x" * 2000 + "y")]
+    for _ in range(1500):
+        a = "".join(rng.choice("abcdé \U0001f600") for _ in range(rng.randrange(1, 120)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 4)):
+            b[rng.randrange(len(b))] = rng.choice("xyz")
+        pairs.append((a, "".join(b)))
+    want = [lines.are_similar(a, b, 0.8) for a, b in pairs]
+    assert 300 < sum(want) < 1200
+    judged, judge = [], lines.are_similar
+    monkeypatch.setattr(lines, "are_similar", lambda *args: judged.append(args) or judge(*args))
+    assert lines._alike(*map(list, zip(*pairs)), 0.8).tolist() == want
+    assert len(judged) < len(pairs) / 2
+
+
 def test_one_large_group(spark):
     base = "a line that very many documents share with one small change number "
     docs = spark.createDataFrame([(i, base + str(i)) for i in range(3000)], "doc_id long, text string").repartition(6)
