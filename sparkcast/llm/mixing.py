@@ -5,6 +5,9 @@ table apart. With tokens ``t``, memberships ``p`` and rates ``w`` the expected t
 the targets ``T``: least squares over rates between their bounds, by projected gradient steps from 1. A document's gradient is
 ``t p' (totals - T)``; the steps are scaled by the tokens of a document and by the inverse of the small Gram matrix of the memberships, so that a
 rare domain moves as fast as a large one. A step is one number for each domain, ``w = clip(w + p' v)``, and one sum over the documents.
+
+The first step is an implicit one: along the gradient at its own end, ``v = (T - totals) / e``. This is the least of a convex function of ``v``,
+found by Newton's method with smaller and smaller ``e``. Explicit steps would creep along the bounds of documents that are nearly of one domain.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ MIN_Z = 4.0
 STEPS = 200
 TRIED = (1.0, 0.25, 0.0625, 0.0078125)  # parts of a scaled step that one pass tries
 PLAIN = (256.0, 32.0, 4.0, 1.0)  # the same for steps that aren't scaled; a whole one always leads down
+EASED = (1e-3, 1e-5, 1e-7, 1e-9)  # parts of the trace of the Gram matrix that weigh the implicit step
+HALVED = (1.0, 0.5, 0.125, 0.015625)  # parts of a Newton step that one pass tries
+NEWTON = 12  # passes for each weight, at most
+NEAR = 1e-3  # of the distance to the targets: what is left of the implicit equation, and what a smaller weight must gain
 RIDGE = 1e-9  # of the trace of the Gram matrix
 STILL = 1e-7  # of the distance to the targets: no part of a step brings them nearer by more
 BUCKETS = 1 << 13
@@ -154,28 +161,75 @@ def _clip(rate: Column, most: float | None) -> Column:
     return low if most is None else F.least(F.lit(float(most)), low)
 
 
-def _passes(members: DataFrame, mix: Mixture, step: np.ndarray, parts: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each part of ``step`` after those of ``mix``, of one pass: the totals, and the Gram matrix of the documents between the bounds."""
-    k, t = len(step), F.col("tokens")
-    p = [F.col("posterior")[i] for i in range(k)]
-    along = sum((x * F.lit(float(v)) for x, v in zip(p, step)), F.lit(0.0))
-    now = members.select("tokens", "posterior", mix.rate(F.col("posterior")).alias("w"), along.alias("v"))
-    now = now.select("tokens", "posterior", *[_clip(F.col("w") + F.col("v") * part, mix.most).alias(f"w{n}") for n, part in enumerate(parts)])
+@dataclass
+class _Sums:
+    """Of the rates that a step leads to: totals, Gram matrix of the documents between the bounds, and the function that an implicit step makes least."""
+
+    totals: np.ndarray
+    free: np.ndarray
+    value: float
+
+
+def _passes(members: DataFrame, mix: Mixture, step: np.ndarray, parts: tuple[float, ...], start: np.ndarray | None = None) -> list[_Sums]:
+    """The sums for each part of ``step``, of one pass: after the steps of ``mix``, or from ``start``, as one step with it."""
+    k, t, posterior = len(step), F.col("tokens"), F.col("posterior")
+    p = [posterior[i] for i in range(k)]
+    along = lambda v: _dot(posterior, F.from_json(F.lit(json.dumps(list(map(float, v)))), "array<double>"))
+    rate = mix.rate(posterior) if start is None else _clip(F.lit(1.0), mix.most) + along(start)
+    now = members.select("tokens", "posterior", rate.alias("w"), along(step).alias("v"))
+    now = now.select("tokens", "posterior", *[(F.col("w") + F.col("v") * part).alias(f"x{n}") for n, part in enumerate(parts)])
+    now = now.select("*", *[_clip(F.col(f"x{n}"), mix.most).alias(f"w{n}") for n in range(len(parts))])
     sums = []
     for n in range(len(parts)):
         w = F.col(f"w{n}")
         free = (w > 0) if mix.most is None else (w > 0) & (w < float(mix.most))
+        over = F.lit(0.0) if mix.most is None else F.greatest(F.col(f"x{n}") - float(mix.most), F.lit(0.0)) * float(mix.most)
         sums += [F.sum(t * w * x) for x in p]
         sums += [F.sum(F.when(free, t * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(i + 1)]
+        sums += [F.sum(t * (w * w / 2 + over))]
     got = np.array([x or 0.0 for x in now.agg(*[s.alias(f"s{n}") for n, s in enumerate(sums)]).first()]).reshape(len(parts), -1)
     found = []
-    for row in got:
+    for part, row in zip(parts, got):
         gram = np.zeros((k, k))
-        gram[np.tril_indices(k)] = row[k:]
-        found.append((row[:k], gram + np.tril(gram, -1).T))
+        gram[np.tril_indices(k)] = row[k:-1]
+        end = part * step if start is None else start + part * step
+        found.append(_Sums(row[:k], gram + np.tril(gram, -1).T, row[-1] - end @ mix.targets))
     return found
 
 
+def _implicit(members: DataFrame, mix: Mixture, first: _Sums, all_rows: np.ndarray) -> tuple[np.ndarray, _Sums]:
+    """The implicit step from rates of 1 that comes nearest to the targets, and its sums; ``first`` are those of no step.
+
+    The weight ``e`` of the step falls until it gains nothing more. Where Newton's step leads nowhere, because too few documents are
+    between the bounds, the Gram matrix of all rows, which is never too small, takes its place.
+    """
+    k, targets = len(mix.targets), np.array(mix.targets)
+    off = lambda s: np.linalg.norm(s.totals - targets)
+    v, now = np.zeros(k), first
+    best, sums = v, now
+    for part in EASED:
+        e, bounded, before = part * np.trace(all_rows), False, off(sums)
+        for _ in range(NEWTON):
+            left = now.totals - targets + e * v
+            if _within(now.totals - targets, targets) or np.linalg.norm(left) <= NEAR * off(now):
+                break
+            step = np.linalg.solve((all_rows if bounded else now.free) + e * np.eye(k), -left)
+            tried = _passes(members, mix, step, HALVED, v)
+            values = [s.value + e / 2 * (x := v + h * step) @ x for s, h in zip(tried, HALVED)]
+            at = int(np.argmin(values))
+            if values[at] < now.value + e / 2 * v @ v:
+                v, now, bounded = v + HALVED[at] * step, tried[at], False
+                if off(now) < off(sums):
+                    best, sums = v, now
+            elif bounded:
+                break
+            else:
+                bounded = True
+        if _within(sums.totals - targets, targets) or part != EASED[0] and off(sums) > before * (1 - NEAR):
+            break
+    return best, sums
+
+
 def match(members: DataFrame, weights: list[float], total: float | None = None, anchor: int | None = None,
           most: float | None = None) -> Mixture:
     """Rates for ``members`` (``tokens``, ``posterior``) whose expected totals are nearest to ``weights`` times ``total``.
@@ -195,27 +249,32 @@ def match(members: DataFrame, weights: list[float], total: float | None = None,
     mix = Mixture(targets.tolist(), have.tolist(), most)
     if tokens == 0:
         return mix
-    whole = _passes(members, mix, np.zeros(k), (1.0,))[0]
+    here = _passes(members, mix, np.zeros(k), (1.0,))[0]
     all_rows = np.array(members.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"g{i}_{j}")
                                             for i in range(k) for j in range(k)]).first(), float).reshape(k, k)
-    (here, free), stuck = whole, 0
-    while not _within(here - targets, targets) and len(mix.steps) < STEPS:
+    if not _within(here.totals - targets, targets):
+        step, here = _implicit(members, mix, here, all_rows)
+        if step.any():
+            mix.steps.append(step.tolist())
+    stuck, off = 0, here.totals - targets
+    while not _within(off, targets) and len(mix.steps) < STEPS:
         if stuck % 2:  # the plain gradient: bounds may leave it as the only way down
-            scaled, parts = (targets - here) / np.linalg.eigvalsh(all_rows)[-1], PLAIN
+            scaled, parts = -off / np.linalg.eigvalsh(all_rows)[-1], PLAIN
         else:
-            gram = (free if stuck == 0 else all_rows) + 1e-6 * all_rows
-            scaled, parts = np.linalg.solve(gram + RIDGE * np.trace(gram) * np.eye(k), targets - here), TRIED
+            gram = (here.free if stuck == 0 else all_rows) + 1e-6 * all_rows
+            scaled, parts = np.linalg.solve(gram + RIDGE * np.trace(gram) * np.eye(k), -off), TRIED
         found = _passes(members, mix, scaled, parts)
-        left = [np.linalg.norm(f[0] - targets) for f in found]
+        left = [np.linalg.norm(f.totals - targets) for f in found]
         best = int(np.argmin(left))
-        if left[best] < np.linalg.norm(here - targets) * (1 - STILL):
+        if left[best] < np.linalg.norm(off) * (1 - STILL):
             mix.steps.append((parts[best] * scaled).tolist())
-            (here, free), stuck = found[best], stuck % 2
+            here, stuck = found[best], stuck % 2
+            off = here.totals - targets
             continue
         stuck += 1
         if stuck > 3:
             break
-    mix.expected, mix.converged = here.tolist(), stuck > 3 or _within(here - targets, targets)
+    mix.expected, mix.converged = here.totals.tolist(), stuck > 3 or _within(off, targets)
     if not mix.converged:
         warnings.warn(f"the rates are not settled after {len(mix.steps)} steps: {mix.expected} instead of {mix.targets}", stacklevel=2)
     return mix

@@ -83,3 +83,18 @@ def test_odd_rows(spark):
     plain = mixing.rates(docs, labelled, {"law": 0.6, "food": 0.3, "sea": 0.1})[0]
     assert sorted(r[0] for r in plain.select("_copies").collect()) == sorted(r[0] for r in got.select("_copies").collect())
     assert "Python" not in got._jdf.queryExecution().toString()
+
+
+def test_nearly_pure_documents_at_the_bound(spark):
+    """Explicit steps crept along the bounds and were not settled after 200; the end is now reached in few passes."""
+    x = np.random.default_rng(5).uniform(-30, 4, 20_000)
+    raw = 1 / (1 + np.exp(-x))
+    members = spark.createDataFrame([(100.0, [float(1 - r), float(r)]) for r in raw], "tokens double, posterior array<double>").coalesce(1)
+    fitted = mixing.match(members, [0.99, 0.01], anchor=0, most=1.0)
+    assert fitted.converged and len(fitted.steps) < 20
+    targets = np.array(fitted.targets)
+    # without a bound on the steps the nearest rates are 1 on one side of a line and 0 on the other, up to one document
+    order = np.argsort(raw)
+    sums = np.cumsum(100.0 * np.stack([1 - raw, raw], axis=1)[order], axis=0)
+    nearest = np.linalg.norm(sums - targets, axis=1).min()
+    assert np.linalg.norm(np.array(fitted.expected) - targets) <= max(nearest * 1.01, 1e-4 * targets.min())
