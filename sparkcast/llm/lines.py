@@ -34,6 +34,7 @@ SEEN = 1 << 18  # lines a task remembers to have signed
 TABLE = 26  # the table of wanted lines has 2 ** 26 bits, 8 MB, for any number of lines
 BLOCK, BLOCK_CHARS = 1 << 10, 1 << 18  # lines, and their characters, of a crowded band that are compared with as many others at a time
 COLUMNS = 1 << 12  # shingles counted at a time
+SORTED = 1 << 19  # rows of bands that a task sorts, about
 PAIRS = 1 << 10  # pairs of lines compared at a time
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,9 +111,10 @@ def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(SHINGLE):
         mixed = (mixed ^ codes[k:k + span]) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-    owner = np.repeat(np.arange(len(lines)), sizes)[:span]
-    inside = np.arange(span) + SHINGLE <= np.cumsum(sizes)[owner]
-    return mixed[inside], owner[inside]
+    starts = np.cumsum(sizes) - sizes
+    inside = np.ones(span, bool)
+    inside[(starts[1:, None] - np.arange(1, SHINGLE)).ravel()] = False  # from one line into the next
+    return mixed[inside], np.repeat(np.arange(len(lines)), sizes - SHINGLE + 1)
 
 
 def _decided(both: np.ndarray, total: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +165,13 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
 
     def out(rows: list, fresh: list[int], texts: list[str]) -> pa.RecordBatch:
-        bands: list = [None] * len(rows)
-        if texts:
-            for at, keys in zip(fresh, signatures(texts)):
-                bands[at] = keys
+        sizes = np.zeros(len(rows) + 1, np.int32)
+        sizes[np.array(fresh, np.int64) + 1] = BANDS + 1
+        keys = pa.array(signatures(texts).ravel() if texts else np.zeros(0, np.int64))
+        bands = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), keys, mask=pa.array(sizes[1:] == 0))
         columns = list(zip(*rows))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(bands, pa.list_(pa.int64()))], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)] + [bands], names)
 
     rows: list = []
     fresh: list[int] = []
@@ -193,8 +195,25 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows, fresh, texts)
 
 
+def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """All rows ``(band, h, sketch)`` of a task by band and line, a part at a time."""
+    held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+    if not held:
+        return
+    columns = [np.concatenate(c) for c in zip(*held)]
+    held.clear()
+    bands, h = columns[:2]
+    order = np.argsort(bands)
+    same = bands[order[1:]] == bands[order[:-1]]
+    at = np.nonzero(np.append(same, False) | np.append(False, same))[0]  # most bands have one row
+    order[at] = order[at][np.lexsort((h[order[at]], bands[order[at]]))]
+    for i in range(0, len(order), CHUNK):
+        yield [c[order[i:i + CHUNK]] for c in columns]
+
+
+@giving_back
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among sorted ``(band, h, sketch)``: each with the first of its band here and with the one before, if their
+    """Candidates among ``(band, h, sketch)``, sorted here: each with the first of its band here and with the one before, if their
     sketches are close. Bands that may go on in other tasks are handed on by their first line. Distinct lines of a band that has
     more than these pairs cover, or may have with other tasks, follow without ``b``."""
     first_band = band = head = last = None
@@ -203,11 +222,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def members(at: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"band": at, "a": lines, "b": pa.nulls(len(at), pa.int64())})
 
-    for batch in batches:
-        bands, *row = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    for bands, *row in _sorted(batches):
         n = len(bands)
-        if not n:
-            continue
         rows = np.stack(row, axis=1)
         starts = np.concatenate([[band is None or bands[0] != band], bands[1:] != bands[:-1]])
         run = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
@@ -242,9 +258,8 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = signed.where("bands IS NOT NULL").select(
         F.explode(F.slice("bands", 1, BANDS)).alias("band"), "h", F.element_at("bands", BANDS + 1).alias("sketch"))
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = rows.repartitionByRange(int(parts), "band", "h").sortWithinPartitions("band", "h")
-    found = cut_lineage(ordered.mapInArrow(_pairs, "band long, a long, b long"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() * BANDS // SORTED))
+    found = cut_lineage(rows.repartitionByRange(parts, "band", "h").mapInArrow(_pairs, "band long, a long, b long"))
     ends = found.where("a = b")
     heads = ends.groupBy("band").agg(F.min("a").alias("head"))
     across = ends.join(heads, "band").where("a > head").select("a", F.col("head").alias("b"))
@@ -257,14 +272,16 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _overlaps(texts: list[str], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Common hashed shingles of every line of ``left`` with every one of ``right``, and those of each text."""
     hashes, owner = _hashed(texts)
-    ids = np.unique(hashes, return_inverse=True)[1]
-    columns = int(ids.max()) + 1
-    owner, ids = np.divmod(np.unique(owner * columns + ids), columns)
+    bits = np.uint64(len(texts).bit_length())
+    keys = hashes >> bits << bits | owner.astype(np.uint64)  # one plain sort of hash and text
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    owner, hashes = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), keys >> bits
+    ids = np.cumsum(np.concatenate([[False], hashes[1:] != hashes[:-1]]))
+    columns = int(ids[-1]) + 1
     sizes = np.bincount(owner, minlength=len(texts))
     shared = np.bincount(ids, minlength=columns) > 1
     ids, owner, columns = (np.cumsum(shared) - 1)[ids[shared[ids]]], owner[shared[ids]], int(shared.sum())
-    order = np.argsort(ids, kind="stable")
-    ids, owner = ids[order], owner[order]
     both = np.zeros((len(left), len(right)), np.int64)
     for start in range(0, columns, COLUMNS):
         part = slice(*np.searchsorted(ids, [start, start + COLUMNS]))
@@ -308,17 +325,19 @@ def _compare_blocks(similar: float):
     return run
 
 
+@giving_back
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-            keys = pa.array(list(signatures(part.column(1).to_pylist())), pa.list_(pa.int64()))
+            offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (BANDS + 1))
+            keys = pa.ListArray.from_arrays(offsets, pa.array(signatures(part.column(1).to_pylist()).ravel()))
             yield pa.RecordBatch.from_arrays([*part.columns, keys], ["h", "line", "keys"])
 
 
 def left_over(crowds: DataFrame, texts: DataFrame, roots: DataFrame, similar: float) -> DataFrame | None:
     """Links between lines that share a band and that ``roots`` (``node``, ``component``) doesn't join; None without such a band.
 
-    Lines of a band are dealt into blocks, and each pair of blocks is a group of its own. A pair of lines that shares several bands is
+    ``texts`` has ``h``, ``line`` and ``keys``, the row of ``signatures``. Lines of a band are dealt into blocks, and each pair of blocks is a group of its own. A pair of lines that shares several bands is
     compared in the first.
     """
     placed = crowds.join(loose(roots.toDF("h", "c")), "h", "left").select("band", "h", F.coalesce("c", "h").alias("c"))
@@ -331,8 +350,7 @@ def left_over(crowds: DataFrame, texts: DataFrame, roots: DataFrame, similar: fl
     sizes = placed.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
     dealt = placed.join(loose(sizes), "band").withColumn("block", F.pmod(F.xxhash64("h"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    known = texts.join(loose(placed.select("h").distinct()), "h", "left_semi").mapInArrow(_with_keys, "h long, line string, keys array<long>")
-    rows = dealt.join(cut_lineage(known), "h").select(
+    rows = dealt.join(texts, "h").select(
         "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "c", "line", "keys")
     return rows.groupBy("band", "lo", "hi").applyInArrow(_compare_blocks(similar), EDGES)
 
@@ -354,6 +372,11 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u & mask, (u >> np.uint64(TABLE)) & mask
 
 
+def _set_in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    first, second = (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) for at in _bits(h))
+    return (first & second).astype(bool)
+
+
 def wanted_table(wanted: DataFrame) -> np.ndarray:
     """A table of bits, of one size whatever it holds, that is set for every ``h``: most other lines needn't be shuffled."""
     mask = (1 << TABLE) - 1
@@ -376,8 +399,7 @@ def _line_texts(table):
                 for _, s, h in _numbered(text):
                     found[h] = s
             h = np.fromiter(found, np.int64, len(found))
-            held = [bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) for at in _bits(h)]
-            keep = pa.array((held[0] & held[1]).astype(bool))
+            keep = pa.array(_set_in(bits, h))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(found.values()), pa.string())], ["h", "line"]).filter(keep)
 
     return run
@@ -390,8 +412,8 @@ def linked_lines(docs: DataFrame, signed: DataFrame, similar: float = SIMILAR) -
     table = docs.sparkSession.sparkContext.broadcast(wanted_table(wanted))
     texts = (docs.select("text").mapInArrow(_line_texts(table), "h long, line string").join(loose(wanted), "h", "left_semi")
              .groupBy("h").agg(F.first("line").alias("line")))
-    texts = cut_lineage(texts)
-    left, right = texts.toDF("a", "x"), texts.toDF("b", "y")
+    texts = cut_lineage(texts.mapInArrow(_with_keys, "h long, line string, keys array<long>"))
+    left, right = (texts.select(F.col("h").alias(h), F.col("line").alias(line)) for h, line in (("a", "x"), ("b", "y")))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     roots = components(both.mapInArrow(_similar(similar), EDGES))
     more = left_over(crowds, texts, roots, similar)
@@ -416,6 +438,15 @@ def keyed(docs: DataFrame, k1: str, k2: str, doc_id: str = "doc_id", text: str =
     return docs.withColumns({k1: F.xxhash64(text, doc_id), k2: F.xxhash64(F.lit(1), doc_id, text)})
 
 
+def _held(table):
+    """Are keys in a broadcast table of bits? A few that were not put there are, too."""
+    @F.arrow_udf("boolean")
+    def held(keys: pa.Array) -> pa.Array:
+        return pa.array(_set_in(table.value, keys.to_numpy(zero_copy_only=False)))
+
+    return held
+
+
 def _without(text: int, gone: int):
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,12 +471,14 @@ def without_duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str =
     Of the lines of the whole corpus that are equal or similar, directly or by way of others, the first stays: the one with the
     smallest document id (NULL last), then the smallest key of the text, then the first line. Lines without a word stay. A text that loses
     all its lines becomes empty, NULL texts stay NULL. Rows equal in id and text are one document and get the same
-    result. An empty table gives an empty result. Runs jobs when called.
+    result. An empty table gives an empty result. Runs jobs when called. Documents that lose nothing are not shuffled, up to a few.
     """
     k1, k2, gone = (unused(docs, name) for name in ("_k1", "_k2", "_gone"))
     with_keys = keyed(docs, k1, k2, doc_id, text)
     base = with_keys.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"),
                             F.col(text).alias("text"))
-    lost = loose(duplicate_lines(base, similar).toDF(k1, k2, gone))
-    joined = with_keys.join(lost, [k1, k2], "left").select(*docs.columns, gone)
-    return joined.mapInArrow(_without(docs.columns.index(text), len(docs.columns)), joined.schema)
+    lost = cut_lineage(duplicate_lines(base, similar).toDF(k1, k2, gone))
+    held = _held(docs.sparkSession.sparkContext.broadcast(wanted_table(lost.select(F.col(k1).alias("h")))))
+    joined = with_keys.where(held(k1)).join(loose(lost), [k1, k2], "left").select(*docs.columns, gone)
+    shorter = joined.mapInArrow(_without(docs.columns.index(text), len(docs.columns)), joined.schema)
+    return shorter.union(with_keys.where(~held(k1)).select(*docs.columns, F.lit(None).cast(joined.schema[gone].dataType).alias(gone)))

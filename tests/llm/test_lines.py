@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from sparkcast.llm import lines
 
 
@@ -139,3 +142,34 @@ def test_names_of_its_own_columns(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, _k1 string, _k2 string, _gone string")
     got = sorted(tuple(r) for r in lines.without_duplicate_lines(frame).collect())
     assert got == [(1, "one line of text here", "a", "b", "c", None), (2, "and another", "d", "e", "f", [0])]
+
+
+def test_pairs_of_rows_in_any_order():
+    """A task sorts its rows of bands itself; Spark's sort of every row took most of the time of the stage."""
+    rng = np.random.default_rng(4)
+    rows = np.stack([rng.integers(0, 300, 2000) * 7919, rng.integers(0, 900, 2000), np.zeros(2000, np.int64)], axis=1)
+
+    def found(order):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in part.T], ["band", "h", "sketch"]) for part in np.array_split(rows[order], 7)]
+        return pa.Table.from_batches(list(lines._pairs(iter(batches)))).to_pylist()
+
+    want = found(np.lexsort((rows[:, 1], rows[:, 0])))
+    assert want == found(rng.permutation(2000)) and len(want) > 2000
+
+
+def test_common_shingles_of_blocks():
+    texts = ["a line of text", "a line of test", "ab", "aaaaaaaaaa", "a line of text, and more of it", "ab"]
+    left, right = np.array([2, 3, 4]), np.array([1, 5, 0])
+    both, sizes = lines._overlaps(texts, left, right)
+    sets = [lines._shingles(s) for s in texts]
+    assert sizes.tolist() == [len(x) for x in sets]
+    assert both.tolist() == [[len(sets[i] & sets[j]) for j in right] for i in left]
+
+
+def test_documents_that_lose_nothing_are_not_shuffled(spark):
+    rows = [(i, f"{i} a line that is no other line {i * 7919} at all") for i in range(400)]
+    rows += [(1000 + i, "the same line of both of them\n" + str(i) * 9) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lines.without_duplicate_lines(docs)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in rows)
+    assert "Union" in got._jdf.queryExecution().toString() and {r.doc_id for r in got.where("size(_gone) > 0").collect()} == {1001}
