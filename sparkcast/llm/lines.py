@@ -2,9 +2,10 @@
 
 Lines are compared in lower case with single spaces. MinHash signatures of their character shingles fall into bands; lines that
 share a band are candidates, exact Jaccard similarity decides, union-find joins what is similar, and one line per component stays.
+Keys of lines travel as bytes, and rows of bands packed by range, many to a row of Spark.
 
 With 5 rows in 9 bands a pair at similarity 0.8 is missed with 2.8 % probability, at 0.9 with 0.03 %. Lines of one band are
-sorted by band and line over all tasks, and each is paired with the first of the band in its task and with its neighbour, which
+sorted by band and line over all ranges, and each is paired with the first of the band in its range and with its neighbour, which
 links the similar lines of most bands by way of each other. Bands that still hold lines of several components are then compared in
 full, block by block: two lines that share a band and have close sketches are always held against each other or already linked.
 """
@@ -33,15 +34,20 @@ CHUNK = 1 << 16  # characters hashed at a time
 SEEN = 1 << 18  # lines a task remembers to have signed
 TABLE = 26  # the table of wanted lines has 2 ** 26 bits, 8 MB, for any number of lines
 BLOCK, BLOCK_CHARS = 1 << 10, 1 << 18  # lines, and their characters, of a crowded band that are compared with as many others at a time
+FEW = 1 << 6  # lines of a crowded band whose open pairs are judged together with those of other bands
 COLUMNS = 1 << 12  # shingles counted at a time
-SORTED = 1 << 19  # rows of bands that a task sorts, about
+SORTED = 1 << 17  # rows of bands that are sorted together, about
+PICKED = 1 << 11  # one line in so many tells where the bands are cut into ranges
 PAIRS = 1 << 10  # pairs of lines compared at a time
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(line: str) -> str:
     """The form of a line that is compared; empty without a word."""
-    return " ".join(line.lower().split())
+    s = line.lower()
+    if s.isprintable() and "  " not in s and s[:1] != " " != s[-1:]:  # the only printable white space is the space
+        return s
+    return " ".join(s.split())
 
 
 def _factors() -> np.ndarray:
@@ -77,6 +83,26 @@ def signatures(lines: list[str]) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def packed(rows: np.ndarray, offsets: np.ndarray | None = None) -> pa.Array:
+    """The longs of every row as bytes; or, with ``offsets``, of the rows from each offset to the next."""
+    if offsets is None:
+        offsets = np.arange(len(rows) + 1)
+    data = np.ascontiguousarray(rows)
+    ends = pa.py_buffer((offsets * (8 * rows.shape[1])).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, ends, pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """All rows of longs of a column of ``packed`` ones, without a NULL, in order."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    parts = []
+    for c in chunks:
+        first, last = np.frombuffer(c.buffers()[1], np.int32, len(c) + 1, 4 * c.offset)[[0, -1]].tolist() if len(c) else (0, 0)
+        if last > first:
+            parts.append(np.frombuffer(c.buffers()[2], np.int64, (last - first) // 8, first))
+    return np.concatenate([np.zeros(0, np.int64), *parts]).reshape(-1, width)
+
+
 def _shingles(s: str) -> set[str]:
     return {s[i:i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))}
 
@@ -107,10 +133,11 @@ def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
     span = len(codes) - SHINGLE + 1
-    mixed = np.zeros(span, np.uint64)
+    mixed, high = np.zeros(span, np.uint64), np.empty(span, np.uint64)
     for k in range(SHINGLE):
-        mixed = (mixed ^ codes[k:k + span]) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
+        mixed ^= codes[k:k + span]
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= np.right_shift(mixed, np.uint64(32), out=high)
     starts = np.cumsum(sizes) - sizes
     inside = np.ones(span, bool)
     inside[(starts[1:, None] - np.arange(1, SHINGLE)).ravel()] = False  # from one line into the next
@@ -127,28 +154,43 @@ def _decided(both: np.ndarray, total: np.ndarray, similar: float) -> tuple[np.nd
     return yes, np.where(yes, both - 1 >= similar * (apart + 1) + 1e-6, both + 1 < similar * (apart - 1) - 1e-6)
 
 
-def _alike(xs: list[str], ys: list[str], similar: float) -> np.ndarray:
-    """``are_similar`` of pairs: shingles are counted by their hashes, many pairs at a time, and what that leaves open by themselves."""
-    found = np.zeros(len(xs), bool)
-    ends = np.cumsum(np.fromiter((len(x) + len(y) for x, y in zip(xs, ys)), np.int64, len(xs)))
+def _judged(texts: list[str], i: np.ndarray, j: np.ndarray, similar: float) -> np.ndarray:
+    """``are_similar`` of pairs of ``texts``: shingles are counted by their hashes, many pairs at a time, and what that leaves open one by one."""
+    found = np.zeros(len(i), bool)
+    chars = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(chars[i] + chars[j])
     low = 0
-    while low < len(xs):
-        high = max(low + 1, min(low + PAIRS, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 4 * CHUNK, "right"))))
-        hashes, owner = _hashed([s for pair in zip(xs[low:high], ys[low:high]) for s in pair])
-        keys = (owner >> 1).astype(np.uint64) << np.uint64(54) | hashes >> np.uint64(11) << np.uint64(1) | (owner & 1).astype(np.uint64)
+    while low < len(i):
+        high = max(low + 1, min(low + PAIRS, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK, "right"))))
+        count = high - low
+        used, at = np.unique(np.stack([i[low:high], j[low:high]], axis=1), return_inverse=True)
+        hashes, owner = _hashed([texts[k] for k in used.tolist()])
+        sizes = np.bincount(owner, minlength=len(used))
+        at = at.ravel()
+        own = sizes[at]
+        tags = np.arange(2 * count, dtype=np.uint64)  # number of the pair, and which of the two
+        tags = tags >> np.uint64(1) << np.uint64(54) | tags & np.uint64(1)
+        keys = (hashes >> np.uint64(11) << np.uint64(1))[
+            np.repeat(np.cumsum(sizes)[at] - np.cumsum(own), own) + np.arange(int(own.sum()))] | np.repeat(tags, own)
         keys.sort()
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-        total = np.bincount((keys >> np.uint64(54)).astype(np.int64), minlength=high - low)
-        shared = keys[1:][keys[1:] >> np.uint64(1) == keys[:-1] >> np.uint64(1)]
-        both = np.bincount((shared >> np.uint64(54)).astype(np.int64), minlength=high - low)
-        yes, sure = _decided(both, total, similar)
-        for i in np.nonzero(~sure)[0].tolist():
-            yes[i] = are_similar(xs[low + i], ys[low + i], similar)
+        cuts = np.append(np.searchsorted(keys, tags[::2]), len(keys))
+        shared = np.nonzero(keys[1:] ^ keys[:-1] == np.uint64(1))[0]
+        yes, sure = _decided(np.diff(np.searchsorted(shared, cuts)), np.diff(cuts), similar)
+        for k in np.nonzero(~sure)[0].tolist():
+            yes[k] = jaccard(texts[i[low + k]], texts[j[low + k]]) >= similar
         found[low:high] = yes
         low = high
     return found
 
 
+def _alike(xs: list[str], ys: list[str], similar: float) -> np.ndarray:
+    """``are_similar`` of ``xs`` with ``ys``, pair by pair."""
+    number: dict[str, int] = {}
+    i, j = (np.fromiter((number.setdefault(s, len(number)) for s in side), np.int64, len(side)) for side in (xs, ys))
+    return _judged(list(number), i, j, similar)
+
+
 def _numbered(text: str | None) -> Iterator[tuple[int, str, int]]:
     """Number, plain form and 64-bit hash of every line with a word."""
     for i, line in enumerate((text or "").split("\n")):
@@ -161,17 +203,20 @@ def _numbered(text: str | None) -> Iterator[tuple[int, str, int]]:
 @giving_back
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line with its place; its band keys and sketch too, where this task hasn't met it lately."""
-    names = ["doc_id", "k1", "k2", "line", "h", "bands"]
+    names = ["doc_id", "k1", "k2", "line", "h", "bands", "picked"]
     seen: set[int] = set()
 
     def out(rows: list, fresh: list[int], texts: list[str]) -> pa.RecordBatch:
-        sizes = np.zeros(len(rows) + 1, np.int32)
-        sizes[np.array(fresh, np.int64) + 1] = BANDS + 1
-        keys = pa.array(signatures(texts).ravel() if texts else np.zeros(0, np.int64))
-        bands = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), keys, mask=pa.array(sizes[1:] == 0))
         columns = list(zip(*rows))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)] + [bands], names)
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        place = np.full(len(rows), -1)
+        place[fresh] = np.arange(len(fresh))
+        h = arrays[4].to_numpy()
+        keys = packed(signatures(texts) if texts else np.zeros((0, BANDS + 1), np.int64))
+        for mine in (place >= 0, (place >= 0) & (h % PICKED == 0)):
+            arrays.append(keys.take(pa.array(place, mask=~mine)))
+        return pa.RecordBatch.from_arrays(arrays, names)
 
     rows: list = []
     fresh: list[int] = []
@@ -195,8 +240,46 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows, fresh, texts)
 
 
+def _cut_off(bands: np.ndarray, h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The range of every row: how many of the sorted ``edges`` (band, line) aren't after it."""
+    at, over = (np.searchsorted(edges[:, 0], bands, side) for side in ("left", "right"))
+    inner = np.nonzero(at < over)[0]  # an edge's own band, which may go over many ranges
+    for band in np.unique(bands[inner]):
+        mine = inner[bands[inner] == band]
+        lines = edges[at[mine[0]]:over[mine[0]], 1]
+        at[mine] += np.searchsorted(lines, h[mine], "right")
+    return at
+
+
+def _ranges(edges):
+    """Rows ``(h, bands)`` become ``(range, rows)``: rows ``(band, h, sketch)`` of one range, many as one."""
+    @giving_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt(h: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+            rows = np.empty((len(h), BANDS, 3), np.int64)
+            rows[:, :, 0], rows[:, :, 1], rows[:, :, 2] = keys[:, :BANDS], h[:, None], keys[:, BANDS:]
+            rows = rows.reshape(-1, 3)
+            at = _cut_off(rows[:, 0], rows[:, 1], edges.value)
+            order = np.argsort(at.astype(np.uint16) if len(edges.value) < 1 << 16 else at, kind="stable")
+            at = at[order]
+            starts = np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1])
+            return pa.RecordBatch.from_arrays([pa.array(at[starts]), packed(rows[order], np.append(starts, len(rows)))], ["range", "rows"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column(0).to_numpy(), unpacked(batch.column(1), BANDS + 1)))
+            if sum(len(h) for h, _ in held) >= CHUNK:
+                yield dealt(*map(np.concatenate, zip(*held)))
+                held = []
+        if held:
+            yield dealt(*map(np.concatenate, zip(*held)))
+
+    return run
+
+
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """All rows ``(band, h, sketch)`` of a task by band and line, a part at a time."""
+    """All rows ``(band, h, sketch)`` of a range by band and line, a part at a time."""
     held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
     if not held:
         return
@@ -214,8 +297,8 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 @giving_back
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates among ``(band, h, sketch)``, sorted here: each with the first of its band here and with the one before, if their
-    sketches are close. Bands that may go on in other tasks are handed on by their first line. Distinct lines of a band that has
-    more than these pairs cover, or may have with other tasks, follow without ``b``."""
+    sketches are close. Bands that may go on in other ranges are handed on by their first line. Distinct lines of a band that has
+    more than these pairs cover, or may have with other ranges, follow without ``b``."""
     first_band = band = head = last = None
     open_bands = open_lines = np.zeros(0, np.int64)
 
@@ -251,15 +334,34 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"band": [int(band)], "a": [int(head[0])], "b": [int(head[0])]})
 
 
+def _range_pairs(packs: pa.Table) -> pa.Table:
+    """``_pairs`` of the rows of a range."""
+    rows = unpacked(packs.column("rows"), 3)
+    return pa.Table.from_batches(list(_pairs(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["band", "h", "sketch"])]))))
+
+
+def edges_of(picked: DataFrame, count: int) -> np.ndarray:
+    """``(band, line)``, sorted, that cut the rows of all bands into ``count`` ranges of about the same size, by the few lines ``picked``."""
+    found = picked.toArrow()
+    keys = unpacked(found.column(1), BANDS + 1)[:, :BANDS]
+    h = np.repeat(found.column(0).to_numpy(), BANDS)
+    keys = keys.ravel()
+    order = np.lexsort((h, keys))
+    rows = np.stack([keys[order], h[order]], axis=1)
+    at = np.arange(1, count) * len(rows) // count
+    return rows[np.unique(at[at > 0])]
+
+
 def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(a, b)``, a > b: distinct pairs of lines that share a band; and ``(band, h)``: the lines of bands that have more pairs.
 
-    ``signed`` has ``h`` and ``bands`` (NULL: signed elsewhere).
+    ``signed`` has ``h`` and ``bands`` (NULL: signed elsewhere), and ``picked``, the ``bands`` of a few lines.
     """
-    rows = signed.where("bands IS NOT NULL").select(
-        F.explode(F.slice("bands", 1, BANDS)).alias("band"), "h", F.element_at("bands", BANDS + 1).alias("sketch"))
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() * BANDS // SORTED))
-    found = cut_lineage(rows.repartitionByRange(parts, "band", "h").mapInArrow(_pairs, "band long, a long, b long"))
+    spark = signed.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() * BANDS // SORTED))
+    edges = spark.sparkContext.broadcast(edges_of(signed.where("picked IS NOT NULL").select("h", "picked"), count))
+    packs = signed.where("bands IS NOT NULL").select("h", "bands").mapInArrow(_ranges(edges), "range long, rows binary")
+    found = cut_lineage(packs.groupBy("range").applyInArrow(_range_pairs, "band long, a long, b long"))
     ends = found.where("a = b")
     heads = ends.groupBy("band").agg(F.min("a").alias("head"))
     across = ends.join(heads, "band").where("a > head").select("a", F.col("head").alias("b"))
@@ -295,7 +397,7 @@ def _near(rows: pa.Table, similar: float) -> tuple[np.ndarray, np.ndarray]:
     """Similar lines of different components, one of block ``lo`` and one of ``hi``, that share no earlier band and have close sketches."""
     band, lo, hi = (rows.column(n)[0].as_py() for n in ("band", "lo", "hi"))
     block, h, c = (rows.column(n).to_numpy() for n in ("block", "h", "c"))
-    keys = rows.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS + 1)
+    keys = unpacked(rows.column("keys"), BANDS + 1)
     left, right = np.nonzero(block == lo)[0], np.nonzero(block == hi)[0]
     sketch = keys[:, BANDS].astype(np.uint64)
     open_ = (c[left][:, None] != c[right]) & (np.bitwise_count(sketch[left][:, None] ^ sketch[right]) <= APART)
@@ -312,47 +414,68 @@ def _near(rows: pa.Table, similar: float) -> tuple[np.ndarray, np.ndarray]:
     both, sizes = _overlaps(texts, at[:len(left)], at[len(left):])
     yes, sure = _decided(both, sizes[at[:len(left)]][:, None] + sizes[at[len(left):]], similar)
     for i, j in zip(*map(np.ndarray.tolist, np.nonzero(open_ & ~sure))):
-        yes[i, j] = are_similar(texts[at[i]], texts[at[len(left) + j]], similar)
+        yes[i, j] = jaccard(texts[at[i]], texts[at[len(left) + j]]) >= similar
     i, j = np.nonzero(open_ & yes)
     return h[left[i]], h[right[j]]
 
 
+def _near_in_small(rows: pa.Table, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_near`` for many whole bands of few lines, one after the other, at a time."""
+    band, h, c = (rows.column(n).to_numpy() for n in ("band", "h", "c"))
+    keys = unpacked(rows.column("keys"), BANDS + 1)
+    ends = np.append(np.nonzero(band[1:] != band[:-1])[0] + 1, len(band))
+    later = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(band)) - 1  # lines of the band after a line
+    i = np.repeat(np.arange(len(band)), later)
+    j = i + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later) + 1
+    open_ = (c[i] != c[j]) & (np.bitwise_count((keys[i, BANDS] ^ keys[j, BANDS]).view(np.uint64)) <= APART)
+    i, j = i[open_], j[open_]
+    first = (keys[i, :BANDS] == keys[j, :BANDS]).argmax(axis=1)
+    mine = keys[i, first] == band[i]
+    i, j = i[mine], j[mine]
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    yes = _judged(rows.column("line").take(pa.array(used)).to_pylist(), at[:len(i)], at[len(i):], similar)
+    return h[i[yes]], h[j[yes]]
+
+
 def _compare_blocks(similar: float):
     def run(rows: pa.Table) -> pa.Table:
-        a, b = forest(*_near(rows, similar))
+        rows = rows.take(pa.array(np.argsort(rows.column("band").to_numpy(), kind="stable")))
+        texts = rows.column("line").to_pylist()
+        keys = np.concatenate([signatures(texts[i:i + 256]) for i in range(0, len(texts), 256)])
+        rows = rows.append_column("keys", packed(keys))
+        _, at, sizes = np.unique(rows.column("band").to_numpy(), return_inverse=True, return_counts=True)
+        ends = np.cumsum(sizes)
+        small = (sizes <= FEW) & (rows.column("lo")[0].as_py() == rows.column("hi")[0].as_py())
+        found = [_near_in_small(rows.filter(pa.array(small[at])), similar)]
+        found += [_near(rows.slice(ends[k] - sizes[k], sizes[k]), similar) for k in np.nonzero(~small)[0].tolist()]
+        a, b = forest(*map(np.concatenate, zip(*found)))
         return pa.table({"a": a, "b": b})
 
     return run
 
 
-@giving_back
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-            offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * (BANDS + 1))
-            keys = pa.ListArray.from_arrays(offsets, pa.array(signatures(part.column(1).to_pylist()).ravel()))
-            yield pa.RecordBatch.from_arrays([*part.columns, keys], ["h", "line", "keys"])
-
-
 def left_over(crowds: DataFrame, texts: DataFrame, roots: DataFrame, similar: float) -> DataFrame | None:
     """Links between lines that share a band and that ``roots`` (``node``, ``component``) doesn't join; None without such a band.
 
-    ``texts`` has ``h``, ``line`` and ``keys``, the row of ``signatures``. Lines of a band are dealt into blocks, and each pair of blocks is a group of its own. A pair of lines that shares several bands is
-    compared in the first.
+    ``texts`` has ``h``, ``line`` and ``chars``, the length of the line; hardly any that is in no such band is shuffled. Lines of a band are dealt into blocks, and each pair of blocks is a group of its own; bands of one block are grouped
+    by many. A pair of lines that shares several bands is compared in the first.
     """
     placed = crowds.join(loose(roots.toDF("h", "c")), "h", "left").select("band", "h", F.coalesce("c", "h").alias("c"))
     placed = cut_lineage(placed)
     several = placed.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     placed = cut_lineage(placed.join(loose(several.select("band")), "band")
-                         .join(texts.select("h", F.length("line").alias("chars")), "h"))
+                         .join(texts.select("h", "chars"), "h"))
     if placed.isEmpty():
         return None
     sizes = placed.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
+    groups = placed.agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("chars") / BLOCK_CHARS))).first()[0]
+    sizes = sizes.withColumn("group", F.when(F.col("blocks") > 1, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), F.lit(groups))))
     dealt = placed.join(loose(sizes), "band").withColumn("block", F.pmod(F.xxhash64("h"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = dealt.join(texts, "h").select(
-        "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "c", "line", "keys")
-    return rows.groupBy("band", "lo", "hi").applyInArrow(_compare_blocks(similar), EDGES)
+    held = _held(placed.sparkSession.sparkContext.broadcast(wanted_table(placed.select("h").distinct())))
+    rows = dealt.join(texts.where(held("h")).drop("chars"), "h").select(
+        "group", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "h", "c", "line")
+    return rows.groupBy("group", "lo", "hi").applyInArrow(_compare_blocks(similar), EDGES)
 
 
 def _similar(similar: float):
@@ -412,7 +535,7 @@ def linked_lines(docs: DataFrame, signed: DataFrame, similar: float = SIMILAR) -
     table = docs.sparkSession.sparkContext.broadcast(wanted_table(wanted))
     texts = (docs.select("text").mapInArrow(_line_texts(table), "h long, line string").join(loose(wanted), "h", "left_semi")
              .groupBy("h").agg(F.first("line").alias("line")))
-    texts = cut_lineage(texts.mapInArrow(_with_keys, "h long, line string, keys array<long>"))
+    texts = cut_lineage(texts.withColumn("chars", F.length("line")))
     left, right = (texts.select(F.col("h").alias(h), F.col("line").alias(line)) for h, line in (("a", "x"), ("b", "y")))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     roots = components(both.mapInArrow(_similar(similar), EDGES))
@@ -423,7 +546,7 @@ def linked_lines(docs: DataFrame, signed: DataFrame, similar: float = SIMILAR) -
 def duplicate_lines(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``(k1, k2, gone)``: for each document that loses lines, their numbers from 0. ``docs`` has ``doc_id, text, k1, k2``."""
     signed = cut_lineage(docs.select("doc_id", "k1", "k2", "text").mapInArrow(
-        _line_rows, "doc_id long, k1 long, k2 long, line int, h long, bands array<long>"))
+        _line_rows, "doc_id long, k1 long, k2 long, line int, h long, bands binary, picked binary"))
     roots = linked_lines(docs, signed, similar).select(F.col("node").alias("h"), "component")
     lines = signed.select("doc_id", "k1", "k2", "line", "h").join(loose(roots), "h", "left")
     lines = lines.select(F.coalesce("component", "h").alias("c"), F.struct(

@@ -173,3 +173,63 @@ def test_documents_that_lose_nothing_are_not_shuffled(spark):
     got = lines.without_duplicate_lines(docs)
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in rows)
     assert "Union" in got._jdf.queryExecution().toString() and {r.doc_id for r in got.where("size(_gone) > 0").collect()} == {1001}
+
+
+def test_plain_form_of_odd_spaces():
+    odd = ["", " ", "A  b", " a", "a ", "a\tb", "a\u00a0B", "\u3000x", "x\u2028y", "a\x1cb", "a\x85b", "\u1680", "x\u200by", "\u0130 \u0391\u03a3", "one two"]
+    assert [lines.plain(s) for s in odd] == [" ".join(s.lower().split()) for s in odd]
+
+
+def test_ranges_of_bands():
+    """Rows travel packed by ranges of (band, line); a band of very many lines goes over several."""
+    rng = np.random.default_rng(5)
+    h = np.arange(3000) * 104729 - 10 ** 8
+    keys = rng.integers(-2 ** 62, 2 ** 62, (3000, lines.BANDS + 1))
+    keys[:2000, 3] = 77  # one band of 2,000 lines
+    rows = [(b, x) for x, k in zip(h.tolist(), keys.tolist()) for b in k[:-1]]
+    edges = np.array(sorted(rows[::680] + [(77, x) for x in h[100:2000:300].tolist()]))
+    table = type("Table", (), {"value": edges})
+    batches = [pa.RecordBatch.from_arrays([pa.array(h[i::4]), lines.packed(keys[i::4])], ["h", "bands"]) for i in range(4)]
+    packs = pa.Table.from_batches(list(lines._ranges(table)(iter(batches))))
+    assert packs.num_rows == len(set(packs.column("range").to_pylist())) > 40
+    got = []
+    for at, one in zip(packs.column("range").to_pylist(), packs.column("rows").chunk(0)):
+        part = np.frombuffer(one.as_py(), np.int64).reshape(-1, 3)[:, :2].tolist()
+        assert all(sum(tuple(e) <= tuple(r) for e in edges.tolist()) == at for r in part[::50])
+        got += map(tuple, part)
+    assert sorted(got) == sorted(rows)
+    spread = [p for p, r in zip(packs.column("rows").to_pylist(), packs.column("range").to_pylist()) if 77 in np.frombuffer(p, np.int64)[::3]]
+    assert len(spread) >= 7
+    members = [r for p in spread for r in lines._range_pairs(pa.table({"rows": pa.array([p], pa.binary())})).to_pylist()
+               if r["band"] == 77 and r["b"] is None]
+    assert sorted(r["a"] for r in members) == h[:2000].tolist()
+
+
+def test_many_small_bands_at_once():
+    rng = random.Random(8)
+    texts, bands = [], []
+    for band in range(30):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(200))
+        for _ in range(rng.randrange(1, 12)):
+            at = rng.randrange(200)
+            texts.append(base[:at] + rng.choice("xyz") * rng.randrange(1, 40) + base[at:])
+            bands.append(band)
+    keys = lines.signatures(texts)
+    keys[:, 0] = bands
+    rows = pa.table({"band": bands, "lo": [0] * len(bands), "hi": [0] * len(bands), "block": [0] * len(bands), "h": list(range(len(bands))),
+                     "c": [i // 2 for i in range(len(bands))], "line": texts, "keys": lines.packed(keys)})
+    one_by_one = [lines._near(rows.filter(pa.array(np.array(bands) == b)), 0.8) for b in range(30)]
+    want = {(a, b) for part in one_by_one for a, b in zip(*map(np.ndarray.tolist, part))}
+    assert {(a, b) for a, b in zip(*map(np.ndarray.tolist, lines._near_in_small(rows, 0.8)))} == want and len(want) > 50
+    assert not len(lines._near_in_small(rows.slice(0, 0), 0.8)[0])
+
+
+def test_rows_of_bands_are_few_rows_of_spark(spark):
+    """Nine rows a line went through Spark's shuffle and most of its time there."""
+    docs = spark.createDataFrame([(i, f"{i} a line like no other {i * 7919}") for i in range(5000)], "doc_id long, text string").repartition(2)
+    keyed = lines.keyed(docs, "k1", "k2").select("doc_id", "k1", "k2", "text")
+    signed = lines.cut_lineage(keyed.mapInArrow(
+        lines._line_rows, "doc_id long, k1 long, k2 long, line int, h long, bands binary, picked binary"))
+    edges = spark.sparkContext.broadcast(lines.edges_of(signed.where("picked IS NOT NULL").select("h", "picked"), 8))
+    packs = signed.where("bands IS NOT NULL").select("h", "bands").mapInArrow(lines._ranges(edges), "range long, rows binary")
+    assert packs.count() <= 50 and packs.selectExpr("sum(length(rows))").first()[0] == 5000 * lines.BANDS * 24
