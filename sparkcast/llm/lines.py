@@ -36,7 +36,7 @@ TABLE = 26  # the table of wanted lines has 2 ** 26 bits, 8 MB, for any number o
 BLOCK, BLOCK_CHARS = 1 << 10, 1 << 18  # lines, and their characters, of a crowded band that are compared with as many others at a time
 FEW = 1 << 6  # lines of a crowded band whose open pairs are judged together with those of other bands
 COLUMNS = 1 << 12  # shingles counted at a time
-SORTED = 1 << 17  # rows of bands that are sorted together, about
+SORTED = 1 << 19  # rows of bands that a task sorts, about
 PICKED = 1 << 11  # one line in so many tells where the bands are cut into ranges
 PAIRS = 1 << 10  # pairs of lines compared at a time
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
@@ -334,10 +334,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"band": [int(band)], "a": [int(head[0])], "b": [int(head[0])]})
 
 
-def _range_pairs(packs: pa.Table) -> pa.Table:
+def _range_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``_pairs`` of the rows of a range."""
-    rows = unpacked(packs.column("rows"), 3)
-    return pa.Table.from_batches(list(_pairs(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["band", "h", "sketch"])]))))
+    rows = (unpacked(batch.column("rows"), 3) for batch in batches)
+    return _pairs(pa.RecordBatch.from_arrays([pa.array(c) for c in part.T], ["band", "h", "sketch"]) for part in rows)
 
 
 def edges_of(picked: DataFrame, count: int) -> np.ndarray:
@@ -361,7 +361,7 @@ def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() * BANDS // SORTED))
     edges = spark.sparkContext.broadcast(edges_of(signed.where("picked IS NOT NULL").select("h", "picked"), count))
     packs = signed.where("bands IS NOT NULL").select("h", "bands").mapInArrow(_ranges(edges), "range long, rows binary")
-    found = cut_lineage(packs.groupBy("range").applyInArrow(_range_pairs, "band long, a long, b long"))
+    found = cut_lineage(packs.repartitionById(count, F.col("range").cast("int")).mapInArrow(_range_pairs, "band long, a long, b long"))
     ends = found.where("a = b")
     heads = ends.groupBy("band").agg(F.min("a").alias("head"))
     across = ends.join(heads, "band").where("a > head").select("a", F.col("head").alias("b"))
@@ -516,14 +516,18 @@ def _line_texts(table):
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
+        sent: set[int] = set()
         for batch in batches:
             found: dict[int, str] = {}
             for text in batch.column(0).to_pylist():
                 for _, s, h in _numbered(text):
                     found[h] = s
             h = np.fromiter(found, np.int64, len(found))
-            keep = pa.array(_set_in(bits, h))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(found.values()), pa.string())], ["h", "line"]).filter(keep)
+            if len(sent) >= SEEN:
+                sent.clear()
+            kept = [x for x in h[_set_in(bits, h)].tolist() if x not in sent]
+            sent.update(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([found[x] for x in kept], pa.string())], ["h", "line"])
 
     return run
 

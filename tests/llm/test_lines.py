@@ -200,8 +200,8 @@ def test_ranges_of_bands():
     assert sorted(got) == sorted(rows)
     spread = [p for p, r in zip(packs.column("rows").to_pylist(), packs.column("range").to_pylist()) if 77 in np.frombuffer(p, np.int64)[::3]]
     assert len(spread) >= 7
-    members = [r for p in spread for r in lines._range_pairs(pa.table({"rows": pa.array([p], pa.binary())})).to_pylist()
-               if r["band"] == 77 and r["b"] is None]
+    members = [r for p in spread for part in lines._range_pairs(iter([pa.record_batch({"rows": pa.array([p], pa.binary())})]))
+               for r in part.to_pylist() if r["band"] == 77 and r["b"] is None]
     assert sorted(r["a"] for r in members) == h[:2000].tolist()
 
 
@@ -233,3 +233,10 @@ def test_rows_of_bands_are_few_rows_of_spark(spark):
     edges = spark.sparkContext.broadcast(lines.edges_of(signed.where("picked IS NOT NULL").select("h", "picked"), 8))
     packs = signed.where("bands IS NOT NULL").select("h", "bands").mapInArrow(lines._ranges(edges), "range long, rows binary")
     assert packs.count() <= 50 and packs.selectExpr("sum(length(rows))").first()[0] == 5000 * lines.BANDS * 24
+
+
+def test_a_task_hands_on_a_text_once():
+    table = type("Table", (), {"value": np.full(1 << lines.TABLE - 6, 2 ** 64 - 1, np.uint64)})
+    batches = [pa.record_batch({"text": pa.array(["one line\nand another", "One  line"])}), pa.record_batch({"text": pa.array(["one line\nmore", None])})]
+    got = [s for b in lines._line_texts(table)(iter(batches)) for s in b.column("line").to_pylist()]
+    assert got == ["one line", "and another", "more"]
